@@ -5,8 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import remainder, table
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, predict
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3) == 1
+    return predict(docs, fit(docs.where(~held_out)), held_out)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import fit, score
+
+    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
+    return score(docs, fit(docs, table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
