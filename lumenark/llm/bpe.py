@@ -32,7 +32,7 @@ _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 OTHER, LETTER, NUMBER, RUN_SPACE, LAST_SPACE, LAST_BLANK, SHORT_CUT, LONG_CUT, EDGE = range(9)
 #: States: at rest, in letters, in numbers, in others, in white space, after a blank, with one or two letters of a contraction to go.
 REST, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
 _SCAN = 128
 
 
@@ -125,7 +125,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], entries: int = CACHE_ENTRIES):
         self.ranks, self.entries = ranks, entries
         self.pieces = {i: b for b, i in ranks.items()}
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[bytes, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -171,13 +172,17 @@ class Encoder:
                 heappush(heap, (r, h, end))
         return tuple(ranks[piece[i : ends[i]]] for i in range(n) if alive[i])
 
-    def __call__(self, piece: bytes) -> tuple[int, ...]:
+    def __call__(self, piece: bytes) -> tuple[tuple[int, ...], str]:
+        """Ids, and the same in decimal, of a pre-token; of two generations of entries the older one goes when full."""
         got = self.cache.get(piece)
         if got is None:
-            got = self.merge(piece)
-            if len(self.cache) >= self.entries:
-                self.cache.clear()
+            got = self.older.pop(piece, None)
+            if got is None:
+                ids = self.merge(piece)
+                got = ids, ",".join(map(str, ids))
             if len(piece) <= 64:
+                if len(self.cache) >= self.entries // 2:
+                    self.cache, self.older = {}, self.cache
                 self.cache[piece] = got
         return got
 
@@ -218,7 +223,7 @@ def pre_tokens(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
 def encode_batch(texts: pa.Array, encoder: Encoder) -> Iterator[list[int]]:
     for _, rows in pre_tokens(texts):
         for own in rows:
-            yield [i for piece in own for i in encoder(piece)]
+            yield [i for piece in own for i in encoder(piece)[0]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -264,25 +269,14 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        names: dict[tuple[int, ...], str] = {}
         for batch in batches:
             counts, ids_sha, bytes_sha = [], [], []
             for _, rows in pre_tokens(batch.column(1)):
                 for own in rows:
-                    ids = [encoder(piece) for piece in own]
-                    if len(names) > CACHE_ENTRIES:
-                        names.clear()
-                    said = []
-                    for x in ids:
-                        s = names.get(x)
-                        if s is None:
-                            s = ",".join(map(str, x))
-                            if len(x) <= 64:
-                                names[x] = s
-                        said.append(s)
-                    flat = [i for x in ids for i in x]
+                    got = [encoder(piece) for piece in own]
+                    flat = [i for x, _ in got for i in x]
                     counts.append(len(flat))
-                    ids_sha.append(hashlib.sha256(",".join(said).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join([said for _, said in got]).encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(encoder.decode(flat)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -1,3 +1,13 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+        g AS (SELECT digest, max(page_id) AS response_id FROM d WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+        SELECT d.page_id, d.n::BIGINT AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN g.response_id IS NOT NULL AND g.response_id IS DISTINCT FROM d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN g.response_id IS NOT NULL AND g.response_id IS DISTINCT FROM d.page_id THEN g.response_id END AS refers_to
+        FROM d LEFT JOIN g ON d.n >= 1000 AND d.digest = g.digest
+    """,
+}

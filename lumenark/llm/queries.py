@@ -17,6 +17,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out)), held_out)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind).alias(c)
+    return archived(pages).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
