@@ -26,6 +26,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(pages).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import private_spans
+
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
