@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .shared import remainder, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, predict
 
