@@ -263,21 +263,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary")
 
 
-def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """Digests of the ids of each row of ``documents`` (doc_id, text), and of the bytes they decode to."""
+def round_trip(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Digests of the ids of each row of ``documents`` (doc_id, text), and of the bytes they decode to; the ids on demand."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
         for batch in batches:
-            counts, ids_sha, bytes_sha = [], [], []
+            at = 0
             for _, rows in pre_tokens(batch.column(1)):
+                counts, ids_sha, bytes_sha, kept = [], [], [], []
                 for own in rows:
                     got = [encoder(piece) for piece in own]
                     flat = [i for x, _ in got for i in x]
                     counts.append(len(flat))
                     ids_sha.append(hashlib.sha256(",".join([said for _, said in got]).encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(encoder.decode(flat)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        kept.append(flat)
+                columns = [batch.column(0).slice(at, len(rows)), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), pa.array(kept, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
+                at += len(rows)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

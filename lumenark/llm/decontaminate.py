@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,22 +168,42 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(_item_rows, f"item_id {kind}, length int, window long, fingerprint long").distinct()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): words, words inside item windows, items found, and their digest."""
-    spark = documents.sparkSession
-    docs, items = documents.select("doc_id", "text"), written(item_windows(benchmark), "items")
-    if items.count() > max_broadcast:
-        return _joined(docs, items)
+def _sent(spark: SparkSession, items: DataFrame):
+    """The windows of the test items, broadcast; the caller has checked their number."""
     got = items.withColumn("item_id", F.col("item_id").cast("string")).toArrow()
     names = sorted(set(got["item_id"].to_pylist()))
     number = {x: i for i, x in enumerate(names)}
     column = lambda c: np.asarray(got[c].to_numpy(), np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast({
+    return spark.sparkContext.broadcast({
         "names": names, "item": np.array([number[x] for x in got["item_id"].to_pylist()], np.int32),
         "length": got["length"].to_numpy().astype(np.int32), "window": column("window"), "fingerprint": column("fingerprint"),
     })
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Per row of ``documents`` (doc_id, text): words, words inside item windows, items found, and their digest."""
+    docs, items = documents.select("doc_id", "text"), written(item_windows(benchmark), "items")
+    if items.count() > max_broadcast:
+        return _joined(docs, items)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_documents_against(sent), f"doc_id {kind}, {RESULT}")
+    return docs.mapInArrow(_documents_against(_sent(documents.sparkSession, items)), f"doc_id {kind}, {RESULT}")
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of ``documents`` in which no window of the test items occurs, with all their columns."""
+    items = written(item_windows(benchmark), "items")
+    if items.count() > max_broadcast:
+        hit = _joined(documents.select("doc_id", "text"), items).where("contaminated").select("doc_id").distinct()
+        return documents.join(hit.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    judge, at = _documents_against(_sent(documents.sparkSession, items)), documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["doc_id", "text"])
+            for judged in judge(iter([plain])):
+                yield batch.filter(pa.compute.invert(judged.column(5)))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def _prints(lengths: list[int]):

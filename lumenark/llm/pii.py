@@ -274,8 +274,12 @@ def redacted(text: Column, spans_: Column) -> Column:
 
 def redact_documents(documents: DataFrame) -> DataFrame:
     """``documents`` with personal data in ``text`` replaced; ``n_chars``, where it is there, is counted anew."""
-    found = written(documents.withColumn("candidates", candidates(F.col("text"))), "redaction")
-    out = found.withColumn("text", redacted(F.col("text"), spans(F.col("candidates"), fit(found))))
+    # the row is kept in one column, so that no name of the table can clash with ours
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    found = written(documents.select(row, candidates(F.col("text")).alias("candidates")), "redaction")
+    text = redacted(F.col("row.text"), spans(F.col("candidates"), fit(found)))
+    columns = {c: F.col(f"row.`{c}`") for c in documents.columns} | {"text": text}
+    out = found.select(*[v.alias(c) for c, v in columns.items()])
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    return out
