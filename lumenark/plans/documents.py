@@ -13,7 +13,7 @@ from ..sources.tables import load
 #: Texts with facts of every kind, as the tables have but addresses and telephone numbers.
 SAMPLES = [
     (1, 1, "Blue Cafe", 0.05, 0.9), (1, 2, "Receipt", 0.1, 0.95), (1, 3, "Subtotal INR 1,100.00", 0.5, 0.9), (1, 4, "Tax INR 148", 0.6, 0.9), (1, 5, "Grand Total INR 1,248", 0.8, 0.9), (1, 6, "12 March 2024", 0.2, 0.9),
-    (2, 1, "Flight AG 204 departure time 18:45", 0.1, 0.8), (2, 2, "Booking reference: QX7-991 www.example.com/x", 0.2, 0.8), (3, 1, "WiFi password: s3cret, call phone +44 20 7946 0958", 0.3, 0.7), (3, 2, "visit https://a.example/b on 2024-05-06", 0.4, 0.7),
+    (2, 1, "Flight AG 204 departure time 18:45", 0.1, 0.8), (2, 2, "Order no: QX7-991 www.example.com/x", 0.2, 0.8), (3, 1, "WiFi password: s3cret, call phone +44 20 7946 0958", 0.3, 0.7), (3, 2, "visit https://a.example/b on 2024-05-06", 0.4, 0.7),
     (4, 1, "Card 4111 1111 1111 1111 paid $12.50", 0.5, 0.6), (4, 2, "Total 950", 0.9, 0.6), (4, 3, "at 1700000000000 ms", 0.9, 0.6),
 ]
 
