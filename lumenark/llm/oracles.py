@@ -10,4 +10,18 @@ ORACLES: dict[str, str] = {
                CASE WHEN g.response_id IS NOT NULL AND g.response_id IS DISTINCT FROM d.page_id THEN g.response_id END AS refers_to
         FROM d LEFT JOIN g ON d.n >= 1000 AND d.digest = g.digest
     """,
+    "op9_preferences": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+        k AS (SELECT conv_id, turns, len(turns) - list_position(list_reverse(list_transform(turns, lambda x: x.role = 'assistant')), true) + 1 AS cut FROM c WHERE len(list_filter(turns, lambda x: x.role = 'assistant')) > 0),
+        p AS (SELECT a.conv_id, a.turns[1:a.cut] AS chosen, list_concat(a.turns[1:a.cut - 1], [b.turns[b.cut]]) AS rejected FROM k a JOIN k b ON b.conv_id = a.conv_id + 1),
+        n AS (SELECT *, CASE WHEN chosen[len(chosen)] = rejected[len(rejected)] THEN len(chosen) ELSE len(chosen) - 1 END AS n FROM p),
+        s AS (SELECT conv_id, n, chosen[1:n] AS prompt, chosen[n + 1:] AS chosen, rejected[n + 1:] AS rejected FROM n),
+        r AS (SELECT conv_id, n, prompt, chosen, rejected, list_transform([prompt, chosen, rejected], lambda l:
+            coalesce(array_to_string(list_transform(l, lambda x: '<|' || replace(x.role, '<|', '< |') || '|>' || chr(10) || replace(x.text, '<|', '< |') || '<|end|>' || chr(10)), ''), '')) AS texts FROM s)
+        SELECT conv_id, n::BIGINT AS n_prompt_turns, sha256(texts[1]) AS prompt_sha256, sha256(texts[2]) AS chosen_sha256,
+            CASE WHEN len(chosen) > 0 THEN '14:' || (21 + length(replace(chosen[1].text, '<|', '< |'))) ELSE '' END AS chosen_mask, sha256(texts[3]) AS rejected_sha256,
+            CASE WHEN len(rejected) > 0 THEN '14:' || (21 + length(replace(rejected[1].text, '<|', '< |'))) ELSE '' END AS rejected_mask
+        FROM r
+    """,
 }

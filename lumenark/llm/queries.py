@@ -69,6 +69,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each conversation and itself with another's last reply (the tables have no rejected conversations)."""
+    from .preferences import conversations_of, preference_pairs, with_other_replies
+
+    pairs = preference_pairs(with_other_replies(conversations_of(table(spark, sf_dir, "conversations"))))
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return pairs.select(F.col("pair_id").alias("conv_id"), F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), digest("prompt"), digest("chosen"), mask("chosen_mask"), digest("rejected"), mask("rejected_mask"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
