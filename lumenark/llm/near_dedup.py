@@ -7,12 +7,12 @@ coordinate is filled. Coordinates of two sketches agree with the probability of
 for independent ones. Bands of ``ROWS`` coordinates are keys.
 
 Equal sets are one class, so copies never meet in a band. Within a band, classes are linked to a hub, the most central
-class, instead of to each other; links are confirmed on the full sets. What a hub leaves apart is compared exactly, but
-without all pairs: two classes of different components meet only if their sizes and the numbers of their shingles that
-occur in any other candidate (an upper bound of any overlap) allow a link at all.
+class, instead of to each other; links are confirmed on the full sets. What a hub leaves apart is compared within the
+family of its hub, but not as all pairs: two classes of different components meet only if their sizes allow a link and
+long one-bit sketches (``BITS`` coordinates) put their similarity within five standard errors of the threshold.
 
-At the production threshold a pair that shares no band is missed with a probability under 1e-6; every pair that shares
-one is confirmed, excluded by a bound, or known to be in one component already.
+At the production threshold a linked pair is missed with a probability of about 1e-6 (it shares no band, or its long
+sketch is five standard errors off); every other pair is confirmed, excluded, or known to be in one component already.
 
 Defined results: texts that are null or have no words are alone; texts of fewer words are one shingle; rows that repeat an
 id are returned as often, each with the component of its own text; a null id is never linked and is kept.
@@ -34,6 +34,10 @@ from .shared import written
 BINS, ROWS = 120, 5
 WORDS, PERCENT = 5, 80
 STAR_ROUNDS = 2
+#: Coordinates of the long sketches, of which a bit each is kept.
+BITS = 2048
+#: Members of a family that are compared in one part.
+PART = 1000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -49,38 +53,35 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
 
 
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
-    """Sketch of each set (sets x bins); sets must not be empty."""
-    n = len(sets)
+    """Sketch of each set (sets x bins); sets must not be empty.
+
+    Rounds are taken several at a time where little is left to place: the earliest round and then the least value counts.
+    """
+    n, value_bits = len(sets), np.uint64(32)
+    round_bits = np.uint64((2 * bins).bit_length())
+    if (n * bins).bit_length() + int(round_bits) + 32 > 64:
+        half = n // 2
+        return np.concatenate((sketches(sets[:half], bins), sketches(sets[half:], bins)))
     sketch, filled = np.zeros(n * bins, np.uint64), np.zeros(n * bins, bool)
-    owner, items = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    low_bits = np.uint64((1 << 40) - 1)
-    for r in range(2 * bins):
-        if not len(items):
-            break
-        h = mix(items, 7 + r)
-        if r < bins:
-            at = owner * bins + ((h >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
-        else:
-            at = owner * bins + (r - bins)
-        value = (h & low_bits) | (np.uint64(r) << np.uint64(40))
-        if n * bins < 1 << 24:
-            order = np.sort((at.astype(np.uint64) << np.uint64(40)) | (h & low_bits))
-            slot = (order >> np.uint64(40)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-            slot, least = slot[first], (order[first] & low_bits) | (np.uint64(r) << np.uint64(40))
-        else:
-            order = np.lexsort((value, at))
-            first = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
-            slot, least = at[order][first], value[order][first]
+    owner, items = np.repeat(np.arange(n, dtype=np.uint64), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    low = np.uint64((1 << 32) - 1)
+    r = 0
+    while r < 2 * bins and len(items):
+        many = 1 if r == 0 else max(1, min(20_000 // len(items), (bins if r < bins else 2 * bins) - r))
+        rounds = np.arange(r, r + many, dtype=np.uint64)[:, None]
+        h = mix(items[None, :] ^ mix(rounds, 6), 7)
+        at = owner[None, :] * np.uint64(bins) + ((h >> np.uint64(40)) % np.uint64(bins) if r < bins else rounds - np.uint64(bins))
+        keys = np.sort(((((at << round_bits) | rounds) << value_bits) | (h & low)).reshape(-1))
+        slot = (keys >> (round_bits + value_bits)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        slot, least = slot[first], keys[first] & ((np.uint64(1) << (round_bits + value_bits)) - np.uint64(1))
         new = ~filled[slot]
         sketch[slot[new]] = least[new]
         filled[slot] = True
+        r += many
         open_ = ~filled.reshape(n, bins).all(axis=1)
-        if not open_.any():
-            break
-        if r == 0 or r % 8 == 0 or r < 4:
-            keep = open_[owner]
-            owner, items = owner[keep], items[keep]
+        keep = open_[owner.astype(np.int64)]
+        owner, items = owner[keep], items[keep]
     return sketch.reshape(n, bins)
 
 
@@ -139,13 +140,37 @@ def _confirmed(percent: int):
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long one-bit sketches of the sets: an array of 64-bit words."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets))], names=["id", "item"])
+        for at in range(0, batch.num_rows, 32):
+            part = batch.slice(at, 32)
+            bits = mix(sketches([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)], BITS), 91) & np.uint64(1)
+            words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "bits"])
+
+
+def _alike(percent: int):
+    """Pairs of two blocks of at most ``PART`` members or so whose sizes and long sketches allow a link."""
+    alike = (1 + percent / 100) / 2  # the share of equal bits of two sets at the threshold
+    most = round(BITS * (1 - alike + 5 * (alike * (1 - alike) / BITS) ** 0.5))
+
+    def run(asks: pa.Table, offers: pa.Table) -> pa.Table:
+        def words(t: pa.Table) -> np.ndarray:
+            return t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+
+        n, m = (t["n"].to_numpy()[:, None] for t in (asks, offers))
+        m, own, other = m.T, asks["component"].to_numpy()[:, None], offers["component"].to_numpy()[None, :]
+        ok = (own != other) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        apart = np.zeros(ok.shape, np.uint16)
+        x, y = words(asks), words(offers)
+        for k in range(x.shape[1]):
+            apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+        a, b = np.nonzero(ok & (apart <= most))
+        return pa.table({"a": offers["id"].take(pa.array(b)), "id": asks["id"].take(pa.array(a))})
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, words_per_shingle: int = WORDS, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -159,21 +184,18 @@ def near_duplicates(documents: DataFrame, words_per_shingle: int = WORDS, percen
     keys = classes.select("id", "n", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(keys.join(buckets, "key"), "members")
-    links = None
-    if not members.isEmpty():
-        links = _links(docs, members, words_per_shingle, percent, kind)
-    if links is None:
+    labels = None if members.isEmpty() else _labels(docs, members, words_per_shingle, percent, kind)
+    if labels is None:
         rep = classes.select("k1", "k2", F.col("id").alias("component_id"))
     else:
-        labels = connected_components(links)
         rep = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
     out = table.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(rep, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, kind: str) -> DataFrame | None:
-    """Confirmed links (a, b) that join all classes which the bands show to be linked."""
+def _labels(docs: DataFrame, members: DataFrame, k: int, percent: int, kind: str) -> DataFrame | None:
+    """(id, component) of the classes that are linked to another; None if there are no links."""
     ids = members.groupBy("id").agg(F.first("n").alias("n"), F.sum("size").alias("central"))
     sets = docs.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi").mapInArrow(_set_rows(k), f"id {kind}, items binary")
     sets = written(sets.join(ids, "id"), "sets")
@@ -185,54 +207,60 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int, kind: str)
         both = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
         return written(both.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"), "confirmed")
 
-    found: DataFrame | None = None
-    placed = members.join(ids.select("id", "central"), "id").withColumn("component", F.col("id"))
-    placed = written(placed, "placed")
+    placed = written(members.join(ids.select("id", "central"), "id").withColumn("component", F.col("id")), "placed")
+    most_central = F.max_by(F.struct("id", "n", "component"), F.struct("central", F.negative("id"))).alias("hub")
+    # the hub of a bucket is its most central class; a family has all classes that share a bucket with its hub
+    hubs = placed.groupBy("key").agg(most_central)
+    families = written(placed.join(hubs, "key").select(F.col("hub.id").alias("family"), "id", "n").distinct(), "families")
+    labels: DataFrame | None = None
     for _ in range(STAR_ROUNDS):
-        # the hub of a bucket: its most central class; next, the most central outside the hub's component
-        hubs = placed.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("central", F.negative("id"))).alias("hub"))
         pairs = placed.join(hubs, "key").where("component <> hub.component")
-        if found is not None:
-            second = pairs.groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), F.struct("central", F.negative("id"))).alias("hub"))
-            pairs = placed.join(second, "key").where("component <> hub.component")
         pairs = pairs.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("m"), "n").where(fits)
         pairs = pairs.groupBy(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("h")).agg(F.first("a").alias("a"), F.first("b").alias("b")).select("a", "b")
-        new = confirm(pairs)
-        if new.isEmpty():
+        before, labels = labels, _relabelled(labels, confirm(pairs))
+        if labels is before:
             break
-        found = new if found is None else found.union(new)
-        placed = _still_apart(placed, connected_components(found))
+        placed = _still_apart(placed, "key", labels)
         if placed.isEmpty():
-            return found
-    placed = _still_apart(placed, None)
-    if placed.isEmpty():
-        return found
-    # what is still apart: shingles of a class that occur in another one bound its overlap with any
-    open_ids = placed.select("id").distinct()
-    items = sets.select("id", "items").join(open_ids, "id", "left_semi").mapInArrow(_exploded, f"id {kind}, item long")
-    shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1").select("item")
-    bound = items.join(shared, "item", "left_semi").groupBy("id").agg(F.count("*").alias("s"))
-    step = 0.02
-    bucket = lambda c: F.floor(F.log(c) / step).cast("int")
-    rich = written(placed.join(bound, "id").where(f"100 * s >= {percent} * n"), "bounded")
-    main = rich.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    offers = rich.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("component").alias("other"), bucket("n").alias("size_bin"))
-    # a partner has at least percent of n, and at most what an overlap of s allows
-    least, most = F.col("n") * (percent / 100), F.least(F.col("n") * (100 / percent), F.col("s") * (1 + 100 / percent) - F.col("n"))
-    asks = rich.join(main, "key").where("component <> main").where(most >= least * 0.999)
-    asks = asks.select("key", "id", "n", "s", "component", F.explode(F.sequence(bucket(least * 0.999), bucket(most * 1.001))).alias("size_bin"))
-    pairs = asks.join(offers, ["key", "size_bin"]).where(f"component <> other and id <> a and {fits} and 100 * least(s, t) >= {percent} * (n + m - least(s, t))")
-    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    last = confirm(pairs)
-    return last if found is None else found.union(last)
-
-
-def _still_apart(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the buckets in which more than one component is left, with their components."""
+            return labels
+        # next, the most central one outside the component of the first
+        first = placed.groupBy("key").agg(most_central)
+        hubs = placed.join(first, "key").where("component <> hub.component").groupBy("key").agg(most_central)
+    apart = _still_apart(families.withColumn("component", F.col("id")), "family", labels)
+    if apart.isEmpty():
+        return labels
+    bits = sets.select("id", "items").join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_bits, f"id {kind}, bits array<bigint>")
+    rich = written(apart.join(bits, "id"), "apart-bits")
+    # a large family is cut into parts; who asks in it meets each part, in blocks of bounded size
+    sizes = rich.groupBy("family", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.ceil(F.sum("c") / PART).cast("int").alias("parts"))
+    rich = rich.join(main, "family").withColumn("mine", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asks = rich.where("component <> main").select("family", F.col("mine").alias("p"), every.alias("q"), "id", "n", "component", "bits")
+    offers = rich.select("family", every.alias("p"), F.col("mine").alias("q"), "id", "n", "component", "bits").toDF("family", "p", "q", "id", "n", "component", "bits")
+    block = ("family", "p", "q")
+    near = asks.groupBy(*block).cogroup(offers.groupBy(*block)).applyInArrow(_alike(percent), f"a {kind}, id {kind}")
+    return _relabelled(labels, confirm(near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()))
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels with the components that the links join made one; the same object if they join none."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return written(connected_components(links), "labels")
+    named = links.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
+    roots = connected_components(named)
+    old = labels.join(roots.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return written(old.union(roots.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
+def _still_apart(placed: DataFrame, group: str, labels: DataFrame | None) -> DataFrame:
+    """Members of the groups in which more than one component is left, with their components."""
     if labels is not None:
         placed = placed.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return written(placed.join(apart, "key", "left_semi"), "apart")
+    apart = placed.groupBy(group).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(group)
+    return written(placed.join(apart, group, "left_semi"), "apart")
 
 
 def deduplicated(documents: DataFrame, **how) -> DataFrame:
