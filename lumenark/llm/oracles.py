@@ -24,4 +24,43 @@ ORACLES: dict[str, str] = {
             CASE WHEN len(rejected) > 0 THEN '14:' || (21 + length(replace(rejected[1].text, '<|', '< |'))) ELSE '' END AS rejected_mask
         FROM r
     """,
+    "op1_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        k AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS digest, s FROM s),
+        rep AS (SELECT digest, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY digest),
+        x AS (SELECT id, n, hash(unnest(s)) AS h FROM rep),
+        links AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.h = b.h AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(id, other) AS (SELECT id, id FROM rep UNION SELECT reach.id, e.b FROM reach JOIN both_ways e ON reach.other = e.a),
+        c AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+        SELECT k.doc_id, k.n::BIGINT AS n_shingles, coalesce(c.component, k.doc_id) AS component_id, k.doc_id = coalesce(c.component, k.doc_id) AS kept
+        FROM k LEFT JOIN rep ON k.n > 0 AND rep.digest = k.digest LEFT JOIN c ON c.id = rep.id
+    """,
+    "op7_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM p),
+        f AS (SELECT h, min(doc_id) AS first_id FROM h GROUP BY h),
+        r AS (SELECT h.doc_id, h.i FROM h JOIN f USING (h) WHERE f.first_id < h.doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM r),
+        g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+        kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS text FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i WHERE gone.i IS NULL GROUP BY words.doc_id)
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(len(g.gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bi AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
+        item AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM bi),
+        di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item) WHERE len(w) >= n),
+        win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM di),
+        hit AS (SELECT doc_id, win.n, i, item_id FROM win JOIN item ON item.n = win.n AND item.s = win.s),
+        covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
 }

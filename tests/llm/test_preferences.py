@@ -3,8 +3,6 @@
 import random
 
 from lumenark.llm.preferences import TURNS, conversations_of, preference_pairs, with_other_replies
-from lumenark.llm.queries import op9_preferences
-from oracle import connect, duck_rows, spark_rows
 
 
 def text(turns):
@@ -50,11 +48,3 @@ def test_odd_rows(spark):
     assert [(r.pair_id, [t.text for t in r.chosen], [t.text for t in r.rejected]) for r in pairs] == [(1, ["q", ""], ["q", "b"])]
     none = spark.createDataFrame([], df.schema)
     assert preference_pairs(with_other_replies(conversations_of(none))).count() == 0
-
-
-def test_query_matches_sql(spark, sf_dir):
-    from lumenark.llm.oracles import ORACLES
-
-    con = connect(sf_dir)
-    for name, f in (("op9_preferences", op9_preferences),):
-        assert spark_rows(f(spark, sf_dir)) == duck_rows(con, ORACLES[name])
