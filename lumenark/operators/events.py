@@ -23,14 +23,33 @@ def splits(gap: Column, album: Column, before_album: Column, km: Column) -> Colu
     return (gap > LONG_GAP) | (gap > ALBUM_GAP) & changed | (gap > MOVE_GAP) & F.coalesce(km > MOVE_KM, F.lit(False))
 
 
-def sessionize(captures: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Captures with ``session``, the number of their event for each owner; those without a time belong to none."""
-    w = Window.partitionBy(*by).orderBy("captured_ms", "id")
-    prev = lambda c: F.lag(c).over(w)
-    known = captures.where("captured_ms is not null")
-    km = haversine_km(prev("latitude"), prev("longitude"), F.col("latitude"), F.col("longitude"))
-    new = F.coalesce(splits(F.col("captured_ms") - prev("captured_ms"), F.col("album"), prev("album"), km), F.lit(True))
-    return known.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def sessionize(captures: DataFrame, by: Sequence[str] = ("user_id",), bucket_ms: int = 24 * HOUR) -> DataFrame:
+    """Captures with ``session``, the number of their event for each owner; those without a time belong to none.
+
+    A split depends on the capture before it alone, so an owner is cut into buckets of time: windows run within a bucket,
+    and what a bucket needs of those before it, the last capture and the number of events, comes from a row a bucket. An owner
+    of any size is thus spread over tasks; the captures themselves are shuffled once.
+    """
+    keys = [*by, "_bucket"]
+    known = captures.where("captured_ms is not null").withColumn("_bucket", F.floor(F.col("captured_ms") / bucket_ms))
+    w, buckets = Window.partitionBy(*keys).orderBy("captured_ms", "id"), Window.partitionBy(*by).orderBy("_bucket")
+    here = F.struct("captured_ms", "id", "album", "latitude", "longitude")
+
+    def joined(rows: DataFrame, a_bucket: DataFrame) -> DataFrame:
+        side = a_bucket.toDF(*[f"_{c}" if c in by else f"{c}_of" if c == "_bucket" else c for c in a_bucket.columns])
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("_bucket") == F.col("_bucket_of")]
+        return rows.join(side, on).drop(*[f"_{c}" for c in by], "_bucket_of")
+
+    ends = known.groupBy(*keys).agg(F.max_by(here, F.struct("captured_ms", "id")).alias("_end"))
+    before = ends.select(*keys, F.lag("_end").over(buckets).alias("_before"))
+    rows = joined(known.withColumn("_prev", F.lag(here).over(w)), before).withColumn("_prev", F.coalesce("_prev", "_before"))
+    km = haversine_km(F.col("_prev.latitude"), F.col("_prev.longitude"), F.col("latitude"), F.col("longitude"))
+    new = F.coalesce(splits(F.col("captured_ms") - F.col("_prev.captured_ms"), F.col("album"), F.col("_prev.album"), km), F.lit(True))
+    rows = rows.withColumn("_new", new.cast("long"))
+    counts = rows.groupBy(*keys).agg(F.sum("_new").alias("_n"))
+    offset = counts.select(*keys, F.coalesce(F.sum("_n").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return joined(rows.withColumn("_inside", inside), offset).withColumn("session", F.col("_offset") + F.col("_inside")).select(*captures.columns, "session")
 
 
 def compiled(sessions: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
