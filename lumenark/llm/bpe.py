@@ -32,7 +32,7 @@ _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 OTHER, LETTER, NUMBER, RUN_SPACE, LAST_SPACE, LAST_BLANK, SHORT_CUT, LONG_CUT, EDGE = range(9)
 #: States: at rest, in letters, in numbers, in others, in white space, after a blank, with one or two letters of a contraction to go.
 REST, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 _SCAN = 128
 
 
@@ -125,8 +125,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], entries: int = CACHE_ENTRIES):
         self.ranks, self.entries = ranks, entries
         self.pieces = {i: b for b, i in ranks.items()}
-        self.cache: dict[bytes, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[bytes, tuple[tuple[int, ...], str]] = {}
+        self.names = {i: str(i) for i in self.pieces}
+        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -172,14 +173,13 @@ class Encoder:
                 heappush(heap, (r, h, end))
         return tuple(ranks[piece[i : ends[i]]] for i in range(n) if alive[i])
 
-    def __call__(self, piece: bytes) -> tuple[tuple[int, ...], str]:
-        """Ids, and the same in decimal, of a pre-token; of two generations of entries the older one goes when full."""
+    def __call__(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of a pre-token; of two generations of entries the older one goes when full."""
         got = self.cache.get(piece)
         if got is None:
             got = self.older.pop(piece, None)
             if got is None:
-                ids = self.merge(piece)
-                got = ids, ",".join(map(str, ids))
+                got = self.merge(piece)
             if len(piece) <= 64:
                 if len(self.cache) >= self.entries // 2:
                     self.cache, self.older = {}, self.cache
@@ -223,7 +223,7 @@ def pre_tokens(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
 def encode_batch(texts: pa.Array, encoder: Encoder) -> Iterator[list[int]]:
     for _, rows in pre_tokens(texts):
         for own in rows:
-            yield [i for piece in own for i in encoder(piece)[0]]
+            yield [i for piece in own for i in encoder(piece)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -274,10 +274,9 @@ def round_trip(documents: DataFrame, path: str, with_ids: bool = False) -> DataF
             for _, rows in pre_tokens(batch.column(1)):
                 counts, ids_sha, bytes_sha, kept = [], [], [], []
                 for own in rows:
-                    got = [encoder(piece) for piece in own]
-                    flat = [i for x, _ in got for i in x]
+                    flat = [i for piece in own for i in encoder(piece)]
                     counts.append(len(flat))
-                    ids_sha.append(hashlib.sha256(",".join([said for _, said in got]).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join(map(encoder.names.__getitem__, flat)).encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(encoder.decode(flat)).hexdigest())
                     if with_ids:
                         kept.append(flat)

@@ -100,7 +100,6 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, first = word_bounds(buf, offsets, NOT_SPACE)
             words = slice_hashes(buf, starts, ends)
             at, keys = anchors(words, first)
-            bounds = np.searchsorted(at, first)
             one, two, sha = [], [], []
             for i in range(hi - lo):
                 a, b = int(first[i]), int(first[i + 1])
@@ -108,10 +107,15 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one.append(int(whole[0].astype(np.int64)))
                 two.append(int(mix(words[a:b] ^ mix(np.arange(b - a, dtype=np.uint64), 80), 81).sum(dtype=np.uint64).astype(np.int64)))
                 sha.append(joined_digest(buf, starts[a:b], ends[a:b]))
+            # a key once for each text, with all its places: runs of a word have the same key at every word
             texts = np.searchsorted(first, at, "right") - 1
-            lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))  # noqa: B023, E731
+            order = np.lexsort((at, keys, texts))
+            at, keys, texts = at[order], keys[order], texts[order]
+            head = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])))) if len(at) else np.zeros(0, np.int64)
+            bounds = pa.array(np.searchsorted(texts[head], np.arange(hi - lo + 1)).astype(np.int32))
+            places = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)).astype(np.int32)), pa.array((at - first[texts]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha), lists(keys.view(np.int64), pa.int64()), lists((at - first[texts]).astype(np.int32), pa.int32())],
+                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(bounds, pa.array(keys[head].view(np.int64))), pa.ListArray.from_arrays(bounds, places)],
                 names=["doc_id", "n_words", "k1", "k2", "sha", "keys", "places"],
             )
 
@@ -196,13 +200,13 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The parsed table, and for each document that loses words without being a copy what is left of it."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", "text")
-    parsed = written(docs.mapInArrow(_parsed, f"doc_id {kind}, n_words long, k1 long, k2 long, sha string, keys array<bigint>, places array<int>"), "parsed")
+    parsed = written(docs.mapInArrow(_parsed, f"doc_id {kind}, n_words long, k1 long, k2 long, sha string, keys array<bigint>, places array<array<int>>"), "parsed")
     named = parsed.where(f"n_words >= {WINDOW} and doc_id is not null")
     sources = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("places").alias("places"))
-    found = sources.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
+    found = sources.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("places"))
     found = written(found, "anchors")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    near = found.join(shared, "key").groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.max(F.col("low") < F.col("doc_id")).alias("later"))
+    near = found.join(shared, "key").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max(F.col("low") < F.col("doc_id")).alias("later"))
     wanted = written(docs.join(near, "doc_id").dropDuplicates(["doc_id"]), "candidates")
     spans = written(wanted.select("doc_id", "text", "places").mapInArrow(_windows, f"doc_id {kind}, at int, h long, g int"), "windows")
     lowest = spans.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
