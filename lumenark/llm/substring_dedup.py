@@ -209,7 +209,8 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = found.join(shared, "key").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max(F.col("low") < F.col("doc_id")).alias("later"))
     wanted = written(docs.join(near, "doc_id").dropDuplicates(["doc_id"]), "candidates")
     spans = written(wanted.select("doc_id", "text", "places").mapInArrow(_windows, f"doc_id {kind}, at int, h long, g int"), "windows")
-    lowest = spans.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low")
+    # as a table, so that the join deals both sides itself and Spark can split a window that very many documents have
+    lowest = written(spans.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"), "lowest")
     again = spans.join(lowest, ["h", "g"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     cut = wanted.where("later").select("doc_id", "text").join(again, "doc_id").mapInArrow(_cut, f"doc_id {kind}, n_removed long, kept_sha256 string, kept_text string")
     return parsed, cut
