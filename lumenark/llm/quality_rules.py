@@ -37,7 +37,7 @@ _POINT[[*range(0x80), *range(0xC0, 0x100)]] = True
 _BREAK = np.ones(256, bool)
 _BREAK[10] = False
 _BANG, _PIPE = np.zeros(256, bool), np.zeros(256, bool)
-_BANG[33] = _PIPE[[124, 0xBB]] = True
+_BANG[33] = _PIPE[124] = True
 _END = np.zeros(256, bool)
 _END[list(b".!?:;\"')]") + [0x80, 0xA6, 0x9D, 0x99, 0x82]] = True  # and the last bytes of typographic ends
 
@@ -84,7 +84,10 @@ class Judged:
         letters, lw = of(_LETTER), np.searchsorted(starts, self.le, "left") - (w0 := np.searchsorted(starts, self.ls, "left"))
         noise = 10 * (symbols[self.le] - symbols[self.ls]) > chars
         shout = (letters >= 12) & (10 * of(_UPPER) > 6 * letters) | (of(_BANG) * 4 > lw) & (lw >= 4)
-        menu = 4 * of(_PIPE) > lw
+        bars = _PIPE[buf]
+        bars[1:] |= (buf[1:] == 0xBB) & (buf[:-1] == 0xC2)  # '»'; its last byte alone is also in other letters
+        bars = np.concatenate(([0], np.cumsum(bars)))
+        menu = 4 * (bars[self.le] - bars[self.ls]) > lw
         last = np.searchsorted(ends, self.le, "right") - 1  # the last word of the line
         ended = _END[buf[np.maximum(ends[last] - 1, 0)]] if len(ends) else np.zeros(0, bool)
         short = ~ended & (lw < 4)

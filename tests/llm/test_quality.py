@@ -76,3 +76,19 @@ def test_score_without_labels_or_text(spark, docs, corpus):
     one = spark.createDataFrame([(i, 0) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")
     assert all(r.predicted == 0 for r in score(docs(rows), fit(corpus, one, F.lit(True)), F.lit(False)).collect())
     assert score(docs([]), fit(corpus, none, F.lit(True)), F.lit(False)).count() == 0
+
+
+def test_letters_that_end_like_a_separator(docs):
+    lines = {
+        "ru": "Летом люди любили долго гулять вдоль реки, слушали волны и ловили мелкую рыбу до темноты, пока солнце не село за лес {}.",
+        "el": "Όλα τα καλά βιβλία λένε πολλά για τη ζωή, αλλά ο λόγος του λαού μιλά πάλι για άλλα παλιά και μεγάλα πελάγη {}.",
+        "vi": "Việt Nam hiện có nhiều bệnh viện hiện đại, nhưng việc điều trị những bệnh hiểm nghèo vẫn là nhiệm vụ lớn của mọi tỉnh miền núi {}.",
+    }
+    lines = {name: line.replace(" {}", "").split() for name, line in lines.items()}
+    texts = ["\n".join(" ".join(f"{w}{i}" if j % 3 == 0 else w for j, w in enumerate(words[:-1])) + f" {words[-1]}" for i in range(6)) for words in lines.values()]
+    menu = "Home » News » About » Contact » Imprint."
+    rows = list(enumerate(texts)) + [(9, texts[0] + "\n" + menu)]
+    got = {r.doc_id: r for r in quality_report(docs(rows)).collect()}
+    assert all(got[i].kept and got[i].lost_chars == 0 for i in range(3))
+    assert got[9].kept and got[9].lost_chars == len(menu.replace(" ", ""))
+    assert {r.doc_id: r.text for r in clean_documents(docs(rows)).collect()} == {**dict(rows), 9: texts[0]}
