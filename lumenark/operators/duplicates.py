@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import hamming
-from .components import components
+from .components import checkpointed, components
 
 HASH_BITS, MAX_DISTANCE, BURST_MS, FRAME_DISTANCE = 64, 6, 15_000, 8
 
@@ -88,22 +88,33 @@ def pick_diverse(pdf: pd.DataFrame, most: int) -> list[int]:
 
 
 def selected_diverse(items: DataFrame, group: str, most: int) -> DataFrame:
-    """The choice of each group, with its place.
+    """The choice of each group, with its place: that of ``pick_diverse`` over all rows of the group.
 
-    A group can be of any size, so it is not gathered: tasks first keep, of each of many slices of a group, their own
-    greedy choice of ``pool`` items, and the final choice is made among those. With up to ``pool`` items in a slice
-    (64 slices of 256, a group of 16,000) the result is the greedy choice over the whole group.
+    A group can be of any size, so it is not gathered: each of ``most`` rounds is an aggregate with partial maxima over
+    all rows, which are joined with the few chosen before, one row a group. Null faces and frames are 0, a null
+    has_text is false; equal values go to the lesser id.
     """
-    pool, slices = 256, 64
-    kind = items.schema[group].dataType.simpleString()
-
-    def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf if len(pdf) <= pool else pdf.iloc[pick_diverse(pdf, pool)]
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pick_diverse(pdf, most)
-        return pd.DataFrame({group: pdf[group].iloc[at].to_numpy(), "id": pdf.id.iloc[at].to_numpy(), "place": range(len(at))})
-
-    small = items.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(slices))).groupBy(group, "_slice").applyInPandas(lambda pdf: shrink(pdf).drop(columns="_slice"), items.schema)
-    return small.groupBy(group).applyInPandas(choose, f"{group} {kind}, id long, place int")
-
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    own = ["q", "phash", "t", "faces", "has_text", "frame", "row"]
+    rows = checkpointed(items.select(
+        group, F.col("id").cast("long").alias("id"), zero("quality").alias("q"), F.col("phash").cast("long").alias("phash"), zero("captured_ms").alias("t"), zero("faces").alias("faces"),
+        F.coalesce("has_text", F.lit(False)).alias("has_text"), zero("frame").alias("frame"), F.monotonically_increasing_id().alias("row"),
+    ).withColumnRenamed(group, "grp"))
+
+    def apart(c: Column) -> Column:
+        bits = F.when(F.col("phash").isNull() | c["phash"].isNull(), 0.5).otherwise(hamming(F.col("phash"), c["phash"]) / 64)
+        near = lambda name, most_of: F.least(F.lit(1.0), F.abs(F.col(name) - c[name]) / most_of)
+        other = (F.col("has_text") != c["has_text"]).cast("double")
+        return 0.35 * bits + 0.2 * near("t", 86_400_000) + 0.15 * near("faces", 4) + 0.15 * other + 0.15 * near("frame", 1)
+
+    def best(value: Column) -> Column:
+        return F.max_by(F.struct("id", *own), F.when(value.isNotNull(), F.struct(value, F.bitwise_not("id"), F.bitwise_not("row"))))
+
+    chosen = rows.groupBy("grp").agg(F.count("*").alias("n"), F.array(best(F.col("q"))).alias("picks"))
+    for _ in range(1, most):
+        rest = rows.join(chosen.withColumnRenamed("grp", "of"), F.col("grp").eqNullSafe(F.col("of"))).drop("of")
+        value = F.when(F.col("n") <= most, F.col("q")).otherwise(0.35 * F.col("q") + 0.65 * F.array_min(F.transform("picks", apart)))
+        free = F.when(~F.array_contains(F.col("picks.row"), F.col("row")), value)
+        chosen = rest.groupBy("grp").agg(F.first("n").alias("n"), F.first("picks").alias("picks"), best(free).alias("pick"))
+        chosen = chosen.select("grp", "n", F.when(F.col("pick").isNull(), F.col("picks")).otherwise(F.concat("picks", F.array("pick"))).alias("picks"))
+    return chosen.select(F.col("grp").alias(group), F.posexplode("picks").alias("place", "pick")).select(group, F.col("pick.id").alias("id"), "place")

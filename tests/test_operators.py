@@ -8,7 +8,7 @@ from lumenark.functions import ids
 from lumenark.functions import text as T
 from lumenark.operators import answers, events, filters, identity, ingest, metrics, retrieval
 from lumenark.operators.components import components
-from lumenark.operators.duplicates import duplicate_links, pick_diverse, thinned_frames
+from lumenark.operators.duplicates import duplicate_links, pick_diverse, selected_diverse, thinned_frames
 from lumenark.plans.documents import blocks
 from lumenark.sources.tables import captures, load, media
 
@@ -81,6 +81,40 @@ def test_diverse_choice_prefers_quality_then_distance():
     assert pick_diverse(pdf, 9) == [0, 1, 3, 2]
 
 
+def test_diverse_choice_is_greedy_over_whole_groups(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    slices = {0: [], 1: []}  # ids by a hash, so that many of a group share it
+    for r in spark.range(40_000).select("id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).where("s < 2").collect():
+        slices[r.s].append(r.id)
+    a, (first, *_) = slices[0][:302], slices[1]
+    rows = [("hot", first, 1.0, 0, 0, 0, False, 1.0), ("hot", a[0], 0.91, -1 ^ 0b111111, 0, 0, False, 1.0), ("hot", a[1], 0.9, -1, 0, 0, False, 1.0)]
+    rows += [("hot", i, 0.89, rng.getrandbits(63), 0, 0, False, 1.0) for i in a[2:]]
+    some = lambda *xs: rng.choice([None, *xs])
+    for g, n in (("x", 1), ("y", 3), (None, 5), ("z", 60)):
+        rows += [(g, 1000 + i, some(0.2, 0.5, 0.9), some(0, 7, 2**60 - 1, rng.getrandbits(63)), some(0, 10**7, 10**9), rng.randrange(6), rng.random() < 0.5, rng.choice([0.5, 1.0, 1.5])) for i in range(n)]
+    df = spark.createDataFrame(rows, "album string, id long, quality double, phash long, captured_ms long, faces long, has_text boolean, frame double").repartition(5)
+    got = {(r.album, r.place): r.id for r in selected_diverse(df, "album", 3).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        columns = dict(zip(df.columns, zip(*own, strict=True), strict=True))
+        pdf = pd.DataFrame(columns | {"phash": pd.array(columns["phash"], "Int64"), "quality": pd.Series(columns["quality"], dtype=float), "captured_ms": pd.Series(columns["captured_ms"], dtype=float)})
+        want |= {(g, place): own[i][1] for place, i in enumerate(pick_diverse(pdf, 3))}
+    assert got == want and got["hot", 1] == a[1]
+
+
+def test_clips_are_short(spark, sf_dir):
+    from lumenark.plans.events import keyframes_kept
+
+    rows = keyframes_kept(spark, sf_dir).collect()
+    assert {r.media_id for r in rows} == {r[0] // 12 for r in load(spark, sf_dir, "embeddings").select("vec_id").collect()}
+    assert all(r.media_id == r.at_ms // 12 for r in rows)
+
+
 def test_duplicate_links_near_and_equal(spark):
     rows = [(1, "IMAGE", "", 0b1111, 0), (2, "IMAGE", "", 0b0011, 14_000), (3, "IMAGE", "", 0b0011, 60_000), (4, "VIDEO", "", 0b1111, 0), (5, "IMAGE", "x", 0b1111, 0), (6, "IMAGE", "", 2**50 - 1, 0), (7, "IMAGE", "", None, 0)]
     got = {(r.a, r.b) for r in duplicate_links(spark.createDataFrame(rows, "id long, kind string, text string, phash long, captured_ms long")).collect()}
