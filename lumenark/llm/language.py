@@ -4,8 +4,9 @@ Features are hashed byte n-grams (1 to 3 bytes) of the lower-cased text with eve
 as shares of the text. Linear models over shares need no histogram to predict: a text's margin is the mean of its
 n-grams' weights, so whole texts of any length are scored by gathers and sums in one pass.
 
-The fit uses at most ``per_language`` labelled documents of each language, those with the lowest hash of their id; the
-bound is a parameter and the sample's feature vectors are all that reaches the driver. Languages outside ``FAMILIES``
+The fit learns every labelled language, from at most ``per_language`` documents of each, those with the lowest hash of
+id and text (repeated rows count once); the bound is a parameter, it holds before anything is collected, and the
+sample's feature vectors are all that reaches the driver. Languages outside ``FAMILIES``
 are families of their own. A linear SVM (squared hinge, L2) is fitted for each pair of families and for each pair of
 languages within a family; the most votes win, then the larger sum of margins. The score is the least probability of
 the winner against a rival, at either level, by logistic scaling of the margins.
@@ -22,13 +23,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import blocks, lowered
 
 ORDERS, DIM = (1, 2, 3), 2048
-PER_LANGUAGE, MAX_LANGUAGES = 400, 50
+PER_LANGUAGE = 400
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "is": "germanic",
@@ -132,19 +133,21 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200)
     return w[:-1], float(w[-1])
 
 
+def sampled(train: DataFrame, per_language: int) -> DataFrame:
+    """(h, lang, text): of each language the ``per_language`` rows with the lowest hash of id and text, or all it has."""
+    own = train.where("lang is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    lowest = own.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_language)
+    last = lowest.groupBy("lang").agg(F.max("h").alias("last"))
+    return own.join(F.broadcast(last), "lang").where("h <= last").groupBy("h", "lang").agg(F.min("text").alias("text"))
+
+
 def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from ``train`` (doc_id, text, lang); None if it has no labelled text."""
-    own = train.where("lang is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "lang", "text")
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, 1.3 * per_language / n))])
-    sample = own.where(F.pmod("h", F.lit(1 << 20)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 20))
-    rows = sample.mapInArrow(_features, "h long, lang string, vector binary").collect()  # about 1.3 * per_language a language
+    rows = sampled(train, per_language).mapInArrow(_features, "h long, lang string, vector binary").collect()
     kept: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.h % (1 << 20), r.h, r.vector)):
-        if len(kept.setdefault(r.lang, [])) < per_language:
-            kept[r.lang].append(np.frombuffer(r.vector, np.float32))
+    for r in sorted(rows, key=lambda r: (r.h, r.vector)):
+        kept.setdefault(r.lang, []).append(np.frombuffer(r.vector, np.float32))
     languages = sorted(kept)
     x = np.array([v for k in languages for v in kept[k]], np.float32)
     lang = np.array([k for k in languages for _ in kept[k]], object)

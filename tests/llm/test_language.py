@@ -1,7 +1,9 @@
 """Held-out accuracy, and defined results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lumenark.llm import language
 from lumenark.llm.language import fit, predict
 from lumenark.llm.shared import remainder
 
@@ -24,3 +26,15 @@ def test_no_letters_nulls_and_nothing_learned(spark, docs, corpus):
     one = fit(corpus.where("lang = 'fr'"), per_language=5)
     assert predict(docs(rows[3:4]), one, F.lit(False)).first()[2:] == ("fr", 1.0)
     assert predict(docs([]), model, F.lit(False)).count() == 0
+
+
+def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    rows = [(i, f"w{i} q{k} q{k}", f"l{k}") for k in range(60) for i in range(1 + k % 3)]
+    rows += [(None, f"null {i}", "hot") for i in range(300)] + [(7, "a copy", "copies")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    monkeypatch.setattr(language, "linear_svm", lambda x, y: seen.append(len(x)) or (np.zeros(x.shape[1], np.float32), 0.0))
+    assert fit(df, per_language=5).languages == sorted({r[2] for r in rows})
+    n = {r.lang: r["count"] for r in language.sampled(df, 5).groupBy("lang").count().collect()}
+    assert n == {f"l{k}": 1 + k % 3 for k in range(60)} | {"hot": 5, "copies": 1}
+    assert max(seen) <= 10
