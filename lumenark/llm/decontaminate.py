@@ -9,9 +9,11 @@ Items of fewer than 10 words are one window each; for them every window of that
 Where the fingerprints and windows of the test set are at most ``max_broadcast`` (a checked bound), they travel to the
 tasks and the documents are never shuffled. Beyond it, fingerprints and windows are joined by key.
 
-Defined results: a null or empty text has no words, ``n_hit`` 0 and no items; items that are null or have no words, and
-items with a null id, are ignored; repeated rows are each returned; equal items each count; columns beyond the named
-ones are ignored. An empty benchmark leaves every document clean.
+Defined results: a null or empty text has no words, ``n_hit`` 0 and no items; items that are null or have no words find
+nothing; items with a null id hit words as any other, but are neither counted nor named, as they have no id; repeated rows
+are each returned, and each is judged by its own text; equal items each count; texts of any length are read whole; columns
+beyond the named ones are kept by ``decontaminated`` and ignored elsewhere, whatever their names. An empty benchmark leaves
+every document clean, an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -149,6 +151,8 @@ def _documents_against(table: dict):
                     np.add.at(cover, at, 1), np.add.at(cover, at + n, -1)
                     for doc, a, b in zip(np.searchsorted(first, at, "right") - 1, np.searchsorted(keys, here, "left"), np.searchsorted(keys, here, "right"), strict=True):
                         which[doc].update(items[a:b].tolist())
+                for items_of in which:
+                    items_of.discard(-1)
                 inside = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
                 n_words += np.diff(first).tolist()
                 n_hit += (inside[first[1:]] - inside[first[:-1]]).tolist()
@@ -163,7 +167,7 @@ def _documents_against(table: dict):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    rows = benchmark.select("item_id", "text").where("text is not null")
     kind = benchmark.schema["item_id"].dataType.simpleString()
     return rows.mapInArrow(_item_rows, f"item_id {kind}, length int, window long, fingerprint long").distinct()
 
@@ -171,11 +175,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def _sent(spark: SparkSession, items: DataFrame):
     """The windows of the test items, broadcast; the caller has checked their number."""
     got = items.withColumn("item_id", F.col("item_id").cast("string")).toArrow()
-    names = sorted(set(got["item_id"].to_pylist()))
+    names = sorted(set(got["item_id"].to_pylist()) - {None})
     number = {x: i for i, x in enumerate(names)}
     column = lambda c: np.asarray(got[c].to_numpy(), np.int64).view(np.uint64)
     return spark.sparkContext.broadcast({
-        "names": names, "item": np.array([number[x] for x in got["item_id"].to_pylist()], np.int32),
+        "names": names, "item": np.array([number.get(x, -1) for x in got["item_id"].to_pylist()], np.int32),
         "length": got["length"].to_numpy().astype(np.int32), "window": column("window"), "fingerprint": column("fingerprint"),
     })
 
@@ -193,8 +197,10 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, max_broadcast: in
     """The rows of ``documents`` in which no window of the test items occurs, with all their columns."""
     items = written(item_windows(benchmark), "items")
     if items.count() > max_broadcast:
-        hit = _joined(documents.select("doc_id", "text"), items).where("contaminated").select("doc_id").distinct()
-        return documents.join(hit.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+        # the whole row is one column, so that no name of the table can clash with ours
+        rows = written(documents.select(F.expr("uuid()").alias("row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("kept")), "rows")
+        hit = _hits(rows.select("row", F.col("kept.text").alias("text")), items).select("row").distinct()
+        return rows.join(hit, "row", "left_anti").select(*[F.col(f"kept.`{c}`").alias(c) for c in documents.columns])
     judge, at = _documents_against(_sent(documents.sparkSession, items)), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,23 +267,37 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["row", "doc_id", "n_words"])
 
 
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same result with the test set in a shuffled join, for a test set of any size."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _hits(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows of the test items in ``rows`` (row, text), by shuffled joins: row, at, length, window."""
     lengths = sorted(r.length for r in items.where(f"length < {WINDOW}").select("length").distinct().collect())  # 9 values at most
-    rows = written(docs.withColumn("row", F.expr("uuid()")), "rows")
-    prints = rows.select("row", "text").mapInArrow(_prints(lengths), "row string, fingerprint long")
+    prints = rows.mapInArrow(_prints(lengths), "row string, fingerprint long")
     matched = prints.join(items.select("fingerprint").distinct(), "fingerprint", "left_semi").select("row").distinct()
-    spans = rows.select("row", "text").join(matched, "row", "left_semi").mapInArrow(_windows_of(lengths), "row string, at long, length int, window long")
-    known = items.select("length", "window").distinct()
-    hits = written(spans.join(known, ["length", "window"], "left_semi"), "hits")
+    spans = rows.join(matched, "row", "left_semi").mapInArrow(_windows_of(lengths), "row string, at long, length int, window long")
+    return written(spans.join(items.select("length", "window").distinct(), ["length", "window"], "left_semi"), "hits")
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same result with the test set in a shuffled join, for a test set of any size.
+
+    Items that share a window are a set with one name, and documents with the same sets share one digest, so a window
+    that all items have isn't multiplied by the documents that hold it.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = written(docs.select(F.expr("uuid()").alias("row"), "doc_id", "text"), "rows")
+    hits = _hits(rows.select("row", "text"), items)
     covered = hits.select("row", F.explode(F.sequence("at", F.expr("at + length - 1"))).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    named = (
-        hits.select("row", "length", "window").distinct().join(items.select("length", "window", F.col("item_id").cast("string").alias("item")), ["length", "window"])
-        .select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    )
+    owners = items.groupBy("length", "window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("owners"))
+    owners = written(owners.withColumn("owned", F.sha1(F.array_join(F.transform("owners", F.hex), ","))), "owners")
+    held = hits.select("row", "length", "window").distinct().join(owners.select("length", "window", "owned"), ["length", "window"])
+    held = held.groupBy("row").agg(F.sort_array(F.collect_set("owned")).alias("sets"))
+    held = written(held.withColumn("sets_id", F.sha1(F.array_join("sets", ","))), "held")
+    each = held.groupBy("sets_id").agg(F.first("sets").alias("sets")).select("sets_id", F.explode("sets").alias("owned"))
+    items_of = each.join(owners.groupBy("owned").agg(F.first("owners").alias("owners")), "owned").select("sets_id", F.explode("owners").alias("item")).distinct()
+    found = items_of.groupBy("sets_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    found = found.select("sets_id", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    named = held.select("row", "sets_id").join(found, "sets_id").drop("sets_id")
     base = rows.select("row", "doc_id", "text").mapInArrow(_counted, f"row string, doc_id {kind}, n_words long")
-    n_hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    n_hit, none = F.coalesce("n_hit", F.lit(0).cast("long")), F.lit(0).cast("long")
     return base.join(covered, "row", "left").join(named, "row", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.array_join(found, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
