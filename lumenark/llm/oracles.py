@@ -14,7 +14,10 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
         k AS (SELECT conv_id, turns, len(turns) - list_position(list_reverse(list_transform(turns, lambda x: x.role = 'assistant')), true) + 1 AS cut FROM c WHERE len(list_filter(turns, lambda x: x.role = 'assistant')) > 0),
-        p AS (SELECT a.conv_id, a.turns[1:a.cut] AS chosen, list_concat(a.turns[1:a.cut - 1], [b.turns[b.cut]]) AS rejected FROM k a JOIN k b ON b.conv_id = a.conv_id + 1),
+        d AS (SELECT *, md5(conv_id::VARCHAR) AS digest, greatest(1, (SELECT ceil(count(*) / 50000) FROM k))::BIGINT AS buckets FROM k),
+        o AS (SELECT *, ('0x' || digest[1:8])::BIGINT % buckets AS bucket FROM d),
+        e AS (SELECT conv_id, turns, cut, coalesce(lead(turns[cut]) OVER u, first_value(turns[cut]) OVER u) AS other FROM o WINDOW u AS (PARTITION BY bucket ORDER BY digest, conv_id)),
+        p AS (SELECT conv_id, turns[1:cut] AS chosen, list_concat(turns[1:cut - 1], [other]) AS rejected FROM e),
         n AS (SELECT *, CASE WHEN chosen[len(chosen)] = rejected[len(rejected)] THEN len(chosen) ELSE len(chosen) - 1 END AS n FROM p),
         s AS (SELECT conv_id, n, chosen[1:n] AS prompt, chosen[n + 1:] AS chosen, rejected[n + 1:] AS rejected FROM n),
         r AS (SELECT conv_id, n, prompt, chosen, rejected, list_transform([prompt, chosen, rejected], lambda l:
@@ -53,13 +56,13 @@ ORACLES: dict[str, str] = {
     "op10_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-        bi AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0 AND item_id IS NOT NULL),
+        bi AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
         item AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM bi),
         di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item) WHERE len(w) >= n),
         win AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM di),
         hit AS (SELECT doc_id, win.n, i, item_id FROM win JOIN item ON item.n = win.n AND item.s = win.s),
         covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
-        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,

@@ -7,16 +7,18 @@ exclusive) that count for the loss: text and end marker of the assistant's turns
 
 A conversation is one training example, so its turns become one row; conversations are not gathered with each other.
 
-Defined results: a null text is empty, a null role is ``unknown``; rows without a conversation id are ignored; equal turns with the
+A conversation is read whole, whatever the length of its texts. Defined results: a null text is empty, a null role is ``unknown``; rows without a conversation id are ignored; equal turns with the
 same number count once, others with the same number follow each other by role and text, null numbers come first; pairs
-whose sides are equal have empty completions; an empty table gives no pairs.
+whose sides are equal have empty completions; an empty table gives no pairs; columns beyond the named ones are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Conversations that are put in order together.
+BUCKET = 50_000
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
@@ -73,14 +75,25 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def with_other_replies(conversations: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: up to its last reply a conversation is chosen, and rejected with the last reply of the next id."""
-    replies = F.filter("turns", lambda t: t["role"] == "assistant")
-    last = F.get(F.reverse(replies), F.lit(0))
-    known = conversations.select("conv_id", "turns", last.alias("reply")).where("reply is not null")
-    other = known.select((F.col("conv_id") - 1).alias("conv_id"), F.col("reply").alias("other"))
+def with_other_replies(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Pairs from plain conversations: up to its last reply a conversation is chosen, and rejected with another's last reply.
+
+    The other one is the next by the digest of the id, in buckets of about ``bucket`` conversations that are cut by that
+    digest; the last of a bucket takes the first. Every conversation with a reply gives a pair; one that is alone is
+    paired with itself. Those without a reply have nothing to learn from and give none.
+    """
+    is_reply = lambda t: t["role"] == "assistant"
+    known = conversations.where(F.exists("turns", is_reply))
+    at = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), is_reply), True).cast("int") + 1
+    buckets = max(1, -(-known.count() // bucket))
+    digest = F.md5(F.col("conv_id").cast("string"))
+    known = known.select("conv_id", "turns", at.alias("at"), F.get("turns", at - 1).alias("reply"), digest.alias("digest"))
+    known = known.withColumn("bucket", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % buckets)
+    order = Window.partitionBy("bucket").orderBy("digest", "conv_id")
+    other = F.coalesce(F.lead("reply").over(order), F.first("reply").over(order))
+    both = known.select("conv_id", "turns", "at", other.alias("other"))
     # behind its last reply a conversation has nothing to learn from
-    at = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"] == "assistant"), True).cast("int") + 1
-    both = known.join(other, "conv_id").withColumn("at", at)
-    before = F.slice("turns", F.lit(1), F.col("at") - 1)
-    return both.select(F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("at")).alias("chosen"), F.concat(before, F.array("other")).cast(TURNS).alias("rejected"))
+    return both.select(
+        F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("at")).alias("chosen"),
+        F.concat(F.slice("turns", F.lit(1), F.col("at") - 1), F.array("other")).cast(TURNS).alias("rejected"),
+    )

@@ -44,7 +44,22 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as turns", "2 as pair_id")
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in conversations_of(df).collect()}
     assert got == {1: [(0, "user", "q"), (1, "assistant", ""), (2, "unknown", "z")], 2: [(None, "system", "s"), (1, "assistant", "b")], 3: [(0, "user", "only")]}
-    pairs = with_other_replies(conversations_of(df)).collect()
-    assert [(r.pair_id, [t.text for t in r.chosen], [t.text for t in r.rejected]) for r in pairs] == [(1, ["q", ""], ["q", "b"])]
+    pairs = sorted(with_other_replies(conversations_of(df)).collect())
+    assert [(r.pair_id, [t.text for t in r.chosen], [t.text for t in r.rejected]) for r in pairs] == [(1, ["q", ""], ["q", "b"]), (2, ["s", "b"], ["s", ""])]
     none = spark.createDataFrame([], df.schema)
     assert preference_pairs(with_other_replies(conversations_of(none))).count() == 0
+
+
+def test_every_conversation_with_a_reply_is_paired(spark):
+    rng = random.Random(3)
+    rows = [(f"c{rng.randrange(10**9)}", t, "assistant" if t == 1 else "user", f"{i} {t}" + "x" * (200_000 if i == 5 else 0)) for i in range(300) for t in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    known = {r[0] for r in rows if r[2] == "assistant"}
+    for bucket in (10**6, 20):
+        got = with_other_replies(conversations_of(df), bucket).collect()
+        assert sorted(r.pair_id for r in got) == sorted(known)
+        replies = {r.pair_id: r.chosen[-1].text for r in got}
+        assert all(r.rejected[-1].text in set(replies.values()) and r.chosen[:-1] == r.rejected[:-1] for r in got)
+        assert sorted(r.rejected[-1].text for r in got) == sorted(replies.values())  # each is another's rejected reply once
+    alone = with_other_replies(conversations_of(df.where(df.conv_id == min(known)))).first()
+    assert alone.chosen == alone.rejected
