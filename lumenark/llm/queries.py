@@ -24,12 +24,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import archived
+    from .warc import archive, indexed
 
     pages = table(spark, sf_dir, "pages")
-    kind = pages.schema["page_id"].dataType
-    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind).alias(c)
-    return archived(pages).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+    number = lambda c: F.col(c).cast(pages.schema["page_id"].dataType).alias(c)
+    return indexed(archive(pages)).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
