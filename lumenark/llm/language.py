@@ -4,15 +4,17 @@ Features are hashed byte n-grams (1 to 3 bytes) of the lower-cased text with eve
 as shares of the text. Linear models over shares need no histogram to predict: a text's margin is the mean of its
 n-grams' weights, so whole texts of any length are scored by gathers and sums in one pass.
 
-The fit learns every labelled language, from at most ``per_language`` documents of each, those with the lowest hash of
-id and text (repeated rows count once); the bound is a parameter, it holds before anything is collected, and the
-sample's feature vectors are all that reaches the driver. Languages outside ``FAMILIES``
-are families of their own. A linear SVM (squared hinge, L2) is fitted for each pair of families and for each pair of
+The fit learns every labelled language, from at most ``per_language`` documents of each and about ``in_all`` together
+(never under ``LEAST`` of a language), those with the lowest hash of id and text (repeated rows count once); the bounds
+are parameters, they hold before anything is collected, and the sample's feature vectors (24 KB each) are all that
+reaches the driver. Languages outside ``FAMILIES`` are families of their own. A linear SVM (squared hinge, L2) is fitted for each pair of families and for each pair of
 languages within a family; the most votes win, then the larger sum of margins. The score is the least probability of
 the winner against a rival, at either level, by logistic scaling of the margins.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is everything when there is
-nothing to learn from; with one language learned, that one has score 1. Null or repeated ids and rows are kept as rows.
+nothing to learn from; with one language learned, that one has score 1. Of equal votes and sums the language that comes
+first by name wins. Null or repeated ids and rows are kept as rows; an empty table gives an empty result; a text is read
+whole, whatever its length; columns beyond the named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import blocks, lowered
 
 ORDERS, DIM = (1, 2, 3), 2048
-PER_LANGUAGE = 400
+PER_LANGUAGE, IN_ALL, LEAST = 400, 8000, 20
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "is": "germanic",
@@ -116,6 +119,7 @@ def family(lang: str) -> str:
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Squared-hinge SVM with balanced classes, by accelerated gradient steps; ``y`` is +1 or -1."""
+    x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)  # one type, so that no product converts the matrix again
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     top, v = 0.0, np.ones(x1.shape[1], x1.dtype)
@@ -133,18 +137,20 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200)
     return w[:-1], float(w[-1])
 
 
-def sampled(train: DataFrame, per_language: int) -> DataFrame:
+def sampled(train: DataFrame, per_language: int, in_all: int = IN_ALL) -> DataFrame:
     """(h, lang, text): of each language the ``per_language`` rows with the lowest hash of id and text, or all it has."""
     own = train.where("lang is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "lang", "text")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     lowest = own.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_language)
-    last = lowest.groupBy("lang").agg(F.max("h").alias("last"))
+    share = F.greatest(F.lit(LEAST), F.floor(F.lit(in_all) / F.count("*").over(Window.partitionBy())))
+    last = lowest.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h"))  # at most per_language hashes a language
+    last = last.select("lang", F.element_at("h", F.least(F.size("h"), share.cast("int"))).alias("last"))
     return own.join(F.broadcast(last), "lang").where("h <= last").groupBy("h", "lang").agg(F.min("text").alias("text"))
 
 
-def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(train: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model | None:
     """A model from ``train`` (doc_id, text, lang); None if it has no labelled text."""
-    rows = sampled(train, per_language).mapInArrow(_features, "h long, lang string, vector binary").collect()
+    rows = sampled(train, per_language, in_all).mapInArrow(_features, "h long, lang string, vector binary").collect()
     kept: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.h, r.vector)):
         kept.setdefault(r.lang, []).append(np.frombuffer(r.vector, np.float32))
@@ -179,7 +185,7 @@ def _predictor(sent):
             langs: list[str] = []
             scores: list[float] = []
             for lo, hi, buf, offsets in blocks(batch.column(2)):
-                letters = [any(map(str.isalpha, t)) if t else False for t in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                letters = pa.compute.match_substring_regex(batch.column(2).slice(lo, hi - lo).fill_null(""), r"\p{L}").to_pylist()
                 if model is None:
                     langs += ["und"] * (hi - lo)
                     scores += [0.0] * (hi - lo)

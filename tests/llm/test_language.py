@@ -1,5 +1,8 @@
 """Held-out accuracy, and defined results."""
 
+import collections
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -38,3 +41,58 @@ def test_every_language_is_learned_from_a_bounded_sample(spark, monkeypatch):
     n = {r.lang: r["count"] for r in language.sampled(df, 5).groupBy("lang").count().collect()}
     assert n == {f"l{k}": 1 + k % 3 for k in range(60)} | {"hot": 5, "copies": 1}
     assert max(seen) <= 10
+
+
+def plain(model, text):
+    """(lang, score) of one text, n-gram by n-gram."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    own = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    margins = [float(b) for b in model.bias]
+    for j, k in enumerate(language.ORDERS):
+        grams = collections.Counter(own[i : i + k] for i in range(len(own) - k + 1))
+        for p in range(len(model.pairs)):
+            total = 0.0
+            for gram, times in grams.items():
+                code = 0
+                for b in gram:
+                    code = (code * 257 + b) % 2**32
+                slot = code * 2654435761 % 2**32 >> 32 - 11
+                total += times * float(model.weights[p, j * 2048 + slot])
+            margins[p] += total / max(1, sum(grams.values()))
+
+    def winner(level, names):
+        votes, sums, least = ({n: x for n in names} for x in (0, 0.0, 1.0))
+        for p, (at, a, b) in enumerate(model.pairs):
+            if at == level:
+                m = margins[p]
+                votes[a if m >= 0 else b] += 1
+                sums[a], sums[b] = sums[a] + m, sums[b] - m
+                share = 1 / (1 + math.exp(-max(-30, min(30, model.scale[p] * m))))
+                least[a], least[b] = min(least[a], share), min(least[b], 1 - share)
+        best = min(names, key=lambda n: (-votes[n], -sums[n], n))
+        return best, least[best]
+
+    group, p = winner("", sorted({language.family(x) for x in model.languages}))
+    lang, q = winner(group, sorted(x for x in model.languages if language.family(x) == group))
+    return lang, min(p, q)
+
+
+def test_every_row_against_a_plain_predictor(spark, docs, corpus):
+    model = fit(corpus.where("doc_id % 2 = 0").unionByName(spark.createDataFrame([(10**6 + i, f"dit is een zin {i} van het huis", "nl", "x", 1) for i in range(30)], corpus.schema)), per_language=60)
+    assert "nl" in model.languages and {p[0] for p in model.pairs} > {""}
+    rows = [(r.doc_id, r.text) for r in corpus.where("doc_id < 200").collect()] + [(-1, None), (-2, ""), (-3, "a"), (-4, "Ab"), (-5, "…é"), (-6, "中文 text"), (-7, "x" * 30_000), (-8, "12")]
+    text = dict(rows)
+    got = predict(docs(rows), model, F.lit(False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = plain(model, text[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-5, r.doc_id
+
+
+def test_the_sample_is_bounded_in_all(spark):
+    rows = [(i, f"text {i}", f"l{i % 10}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = {r.lang: r["count"] for r in language.sampled(df, 100, in_all=300).groupBy("lang").count().collect()}
+    assert n == {f"l{k}": 30 for k in range(10)}
+    assert {r["count"] for r in language.sampled(df, 100, in_all=1).groupBy("lang").count().collect()} == {language.LEAST}
