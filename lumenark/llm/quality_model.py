@@ -3,12 +3,14 @@
 zstandard dictionaries are built from a bounded sample of labelled good and bad texts (at most ``per_label`` documents of
 each label, those with the lowest hash of their id; of them half build the dictionaries and half calibrate). A text is
 compressed in pieces of ``PIECE`` bytes (every piece of the whole text) with either dictionary; the difference of the two
-total sizes over their sum is the raw score. A logistic curve fitted on the calibration half turns it, together with
-the logarithm of the compression ratio (repetitions compress to nothing with either), into the probability of label 1.
-
-Defined results: null and empty texts have no difference and get the curve's value at 0; without labels of both kinds the
-score is the share of label 1 among those learned from (0.5 without any); rows with a null label, id or text are never
-learned from; a document with several labels counts once for each; repeated rows are each returned.
+total sizes over their sum is the raw score, and a logistic curve fitted on the calibration half turns it into the
+probability of label 1.
+
+The bound is one on rows: whole texts of any length are learned from and scored. Defined results: null and empty texts
+have no difference and get the curve's value at 0; without labels of both kinds the score is the share of label 1 among
+those learned from (0.5 without any); rows with a null label, id or text are never learned from; a document with several
+labels counts once for each, one with several texts is learned from by the least of them, and equal labels count once;
+repeated rows are each scored; an empty table gives an empty result; columns beyond the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_LABEL, PIECE, DICTIONARY, LEVEL = 600, 2048, 48 << 10, 3
-#: Sampled documents are at most this long, so that the sample is bounded in bytes; longer ones are scored, not learned.
-MAX_SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 
 
@@ -32,16 +32,16 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    slopes: tuple[float, ...]
+    slope: float
     at_zero: float
 
     def score(self, raw: np.ndarray) -> np.ndarray:
-        """``raw``: difference and log ratio of each text."""
-        return 1 / (1 + np.exp(-np.clip(raw @ np.array(self.slopes) + self.at_zero, -30, 30)))
+        """``raw``: the difference of each text."""
+        return 1 / (1 + np.exp(-np.clip(raw * self.slope + self.at_zero, -30, 30)))
 
 
 class Measure:
-    """Normalised difference of the compressed sizes of whole texts, and the logarithm of their mean over the text's size."""
+    """Normalised difference of the compressed sizes of whole texts."""
 
     def __init__(self, good: bytes, bad: bytes):
         def compressor(data: bytes) -> zstandard.ZstdCompressor:
@@ -51,12 +51,12 @@ class Measure:
 
         self.by = (compressor(good), compressor(bad)) if good and bad else None
 
-    def __call__(self, text: str | None) -> tuple[float, float]:
+    def __call__(self, text: str | None) -> float:
         if not text or not self.by:
-            return 0.0, 0.0
+            return 0.0
         data = text.encode()
-        sizes = [sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in self.by]
-        return (sizes[1] - sizes[0]) / (sizes[1] + sizes[0]), float(np.log((sizes[0] + sizes[1]) / (2 * len(data))))
+        good, bad = (sum(len(c.compress(data[i : i + PIECE])) for i in range(0, len(data), PIECE)) for c in self.by)
+        return (bad - good) / (bad + good)
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -71,10 +71,9 @@ def dictionary(texts: list[str]) -> bytes:
         return b"".join(pieces)[-DICTIONARY:].rjust(8, b" ")
 
 
-def calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Slopes and intercept of a logistic curve, by Newton steps with a weak prior."""
-    x, w = np.hstack([raw, np.ones((len(raw), 1))]), np.zeros(raw.shape[1] + 1)
-    prior = np.array([1e-4, 1e-2, 1e-3])
+def calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve, by Newton steps with a weak prior."""
+    x, w, prior = np.stack([raw, np.ones(len(raw))], axis=1), np.zeros(2), np.array([1e-4, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(prior)
@@ -82,32 +81,38 @@ def calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[tuple[float, ...], f
         w += np.clip(step, -50, 50)
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(map(float, w[:-1])), float(w[-1])
+    return float(w[0]), float(w[1])
+
+
+def sampled(documents: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
+    """(quality, h, text): for each label the documents of the lowest hashes of their ids, ``2 * per_label`` at most."""
+    known = labels.select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
+    ids = known.withColumn("place", place).where(F.col("place") <= 2 * per_label).select("doc_id", "quality", "h")
+    texts = documents.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(ids), "doc_id")  # the bound is per_label's
+    return texts.groupBy("quality", "h", "doc_id").agg(F.min("text").alias("text")).select("quality", "h", "text")
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL) -> Model:
     """A model from the rows of ``labels`` (doc_id, quality) for which ``learn`` holds and their texts."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").where(learn).select("doc_id", "quality", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)).alias("h"))
+    known = labels.where("doc_id is not null and quality in (0, 1)").where(learn).select("doc_id", "quality")
     sizes = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model(b"", b"", (0.0, 0.0), 0.0)
+        return Model(b"", b"", 0.0, 0.0)
     share = sizes.get(1, 0) / sum(sizes.values())
+    prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     if len(sizes) < 2:
-        return Model(b"", b"", (0.0, 0.0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    wanted = F.when(F.col("quality") == 1, F.lit(min(1.0, 1.5 * per_label / sizes[1]))).otherwise(F.lit(min(1.0, 1.5 * per_label / sizes[0])))
-    sample = known.where(F.col("h") < wanted * (1 << 20))  # about 3 * per_label ids: bounded, so that it can be broadcast
-    found = documents.select("doc_id", "text").where(F.length("text").between(1, MAX_SAMPLE_CHARS)).join(F.broadcast(sample), "doc_id")
-    rows = sorted(found.collect(), key=lambda r: (r.h, r.doc_id, r.text))
+        return Model(b"", b"", 0.0, prior)
+    rows = sorted(sampled(documents, known, per_label).collect(), key=lambda r: (r.h, r.text))
     texts = {q: [r.text for r in rows if r.quality == q][:per_label] for q in (0, 1)}
     good, bad = dictionary(texts[1][::2]), dictionary(texts[0][::2])
     measure, rest = Measure(good, bad), [(t, q) for q in (0, 1) for t in texts[q][1::2]]
     raw, label = np.array([measure(t) for t, _ in rest]), np.array([float(q) for _, q in rest])
     if not good or not bad or len({*label}) < 2:
-        return Model(b"", b"", (0.0, 0.0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    slopes, at_zero = calibrated(raw, label)
+        return Model(b"", b"", 0.0, prior)
+    slope, at_zero = calibrated(raw, label)
     drawn = label.mean()  # the sample is balanced; the corpus is not
-    at_zero += np.log((share + 1e-3) / (1 - share + 1e-3)) - np.log(drawn / (1 - drawn))
-    return Model(good, bad, slopes, float(at_zero))
+    return Model(good, bad, slope, float(at_zero + prior - np.log(drawn / (1 - drawn))))
 
 
 def _scorer(sent):
@@ -115,9 +120,9 @@ def _scorer(sent):
         model: Model = sent.value
         measure = Measure(model.good, model.bad)
         for batch in batches:
-            raw = np.array([measure(t.as_py()) for t in batch.column(2)], float).reshape(-1, 2)
+            raw = np.array([measure(t.as_py()) for t in batch.column(2)], float)
             score = model.score(raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(raw[:, 0])], names=["doc_id", "held_out", "score", "predicted", "size_difference"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(raw)], names=["doc_id", "held_out", "score", "predicted", "size_difference"])
 
     return run
 

@@ -1,11 +1,15 @@
 """Counts of the rules against Python, the verdicts on labelled documents, and the compression score."""
 
 import collections
+import math
 import random
 import re
 
+import zstandard
+
 from pyspark.sql import functions as F
 
+from lumenark.llm import quality_model
 from lumenark.llm.quality_model import fit, score
 from lumenark.llm.quality_rules import clean_documents, quality_report
 from lumenark.llm.shared import remainder
@@ -92,3 +96,31 @@ def test_letters_that_end_like_a_separator(docs):
     assert all(got[i].kept and got[i].lost_chars == 0 for i in range(3))
     assert got[9].kept and got[9].lost_chars == len(menu.replace(" ", ""))
     assert {r.doc_id: r.text for r in clean_documents(docs(rows)).collect()} == {**dict(rows), 9: texts[0]}
+
+
+def test_scores_of_every_row_against_a_plain_loop(spark, sf_dir, docs, corpus):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(corpus, labels, remainder(F.col("doc_id"), 5) != 0)
+    rows = [(r.doc_id, r.text) for r in corpus.where("doc_id < 400").collect()] + [(-1, None), (-2, ""), (-3, "a"), (-4, "é" * 3000), (-5, "word " * 60_000)]
+    text = dict(rows)
+    by = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for k, d in (("good", model.good), ("bad", model.bad))}
+    got = score(docs(rows, extra=True), model, F.lit(False)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        data, size = (text[r.doc_id] or "").encode(), {}
+        for k, c in by.items():
+            size[k] = 0
+            for at in range(0, len(data), 2048):
+                size[k] += len(c.compress(data[at : at + 2048]))
+        difference = (size["bad"] - size["good"]) / (size["bad"] + size["good"]) if data else 0.0
+        p = 1 / (1 + math.exp(-max(-30, min(30, model.slope * difference + model.at_zero))))
+        assert abs(r.size_difference - difference) < 1e-12 and abs(r.score - p) < 1e-9 and r.predicted == (p >= 0.3), r.doc_id
+
+
+def test_the_sample_bounds_rows_alone(spark):
+    rows = [(i, "x" * 30_000 if i % 3 else f"text {i}") for i in range(300)] + [(7, "again")] * 500 + [(None, "null")] * 50 + [(8, None), (9, "")]
+    texts, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(300)] * 2 + [(7, 0)], "doc_id long, quality int")
+    got = quality_model.sampled(texts, labels, 40).groupBy("quality").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).collect()
+    assert {r.quality: r.n for r in got} == {0: 80, 1: 80} and all(r.longest == 30_000 for r in got)
+    every = quality_model.sampled(texts, labels, 1000).collect()
+    assert len(every) == 301 and sum(r.text in ("again", "x" * 30_000) for r in every) >= 200
