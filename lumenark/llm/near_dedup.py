@@ -4,18 +4,22 @@ A document is the set of its distinct shingles of ``words_per_shingle`` words. I
 is filled in rounds: in each of the first ``BINS`` rounds every shingle is hashed to a bin and a value, and an empty
 bin takes the least value placed in it; in the rounds after those, all shingles go to one given bin, so that every
 coordinate is filled. Coordinates of two sketches agree with the probability of the sets' similarity, concentrated as
-for independent ones. Bands of ``ROWS`` coordinates are keys.
-
-Equal sets are one class, so copies never meet in a band. Within a band, classes are linked to a hub, the most central
-class, instead of to each other; links are confirmed on the full sets. What a hub leaves apart is compared within the
-family of its hub, but not as all pairs: two classes of different components meet only if their sizes allow a link and
-long one-bit sketches (``BITS`` coordinates) put their similarity within five standard errors of the threshold.
-
-At the production threshold a linked pair is missed with a probability of about 1e-6 (it shares no band, or its long
-sketch is five standard errors off); every other pair is confirmed, excluded, or known to be in one component already.
-
-Defined results: texts that are null or have no words are alone; texts of fewer words are one shingle; rows that repeat an
-id are returned as often, each with the component of its own text; a null id is never linked and is kept.
+for independent ones. Bands of coordinates are keys, of as many rows as miss a pair at the threshold with a probability
+of at most ``MISS``: 24 bands of 5 for 0.85 (8e-7), 30 bands of 4 for 0.8 (1.4e-7).
+
+Equal sets are one class with a number of its own, so copies never meet in a band. Within a band, classes are linked to
+a hub, the most central class, instead of to each other; links are confirmed on the full sets. A hub with many partners
+is dealt over several tasks, each with its text once. What a hub leaves apart is compared within the family of its hub
+(the classes that share a band with it), in blocks: two classes of different components are confirmed only if their
+sizes allow a link and long one-bit sketches (``BITS`` coordinates) put their similarity within five standard errors of
+the threshold; what a link joins needs no other link. Every other pair is confirmed, excluded, or known to be in one
+component already.
+
+Defined results: texts that are null or have no words are alone; texts of fewer words are one shingle; texts of any length
+are read whole; rows that repeat an id are returned as often, each with the component of its own text, where the least id
+of the component names it; of equally central classes the one of the least number is the hub, which changes no result; a
+null id is never linked and is kept; an empty table gives an empty result; columns beyond the named ones are ignored, and
+kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +33,22 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import LOWER, NOT_SPACE, blocks, mix, slice_hashes, windows, word_bounds
-from .shared import written
+from .shared import passing, written
 
-BINS, ROWS = 120, 5
+BINS, MISS = 120, 1e-6
 WORDS, PERCENT = 5, 80
 STAR_ROUNDS = 2
+#: Partners of a hub that one task confirms.
+PARTNERS = 500
 #: Coordinates of the long sketches, of which a bit each is kept.
 BITS = 2048
-#: Members of a family that are compared in one part.
-PART = 1000
+#: Members of a family, and bytes of their texts, that are compared in one part.
+PART, PART_BYTES = 4000, 16 << 20
+
+
+def rows_per_band(percent: int, bins: int = BINS, miss: float = MISS) -> int:
+    """The most rows a band may have so that a pair at the threshold shares none with a probability of ``miss`` at most."""
+    return max((r for r in range(1, 9) if (1 - (percent / 100) ** r) ** (bins // r) <= miss), default=1)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
@@ -107,52 +118,62 @@ def _sketched(k: int, bins: int, rows: int):
                 with np.errstate(over="ignore"):
                     one, two = ([int(mix(s, seed).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets] for seed in (3, 4))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    [batch.column(0).slice(at, len(sets)), batch.column(2).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "hash", "n_shingles", "k1", "k2", "bands"],
                 )
                 at += len(sets)
 
     return run
 
 
-def _set_rows(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for sets in shingle_sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
-                at += len(sets)
+def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    return run
 
+def _confirmed(k: int, percent: int):
+    """Links of hubs to partners: rows come in order, the text of the hub ``a`` (``b`` is null) before those of its partners."""
 
-def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            at, left, right = 0, [], []
+            ids, partners = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for sets in shingle_sets(batch.column(2), k):
+                for x in sets:
+                    a, b = ids[at], partners[at]
+                    at += 1
+                    if b is None:
+                        hub, own = a, x
+                    elif a != hub:
+                        raise ValueError("a partner came before its hub")
+                    elif _enough(own, x, percent):
+                        left.append(a), right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(k: int):
     """Long one-bit sketches of the sets: an array of 64-bit words."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 32):
-            part = batch.slice(at, 32)
-            bits = mix(sketches([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)], BITS), 91) & np.uint64(1)
-            words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for sets in shingle_sets(batch.column(1), k):
+                for lo in range(0, len(sets), 32):
+                    some = sets[lo : lo + 32]
+                    bits = mix(sketches(some, BITS), 91) & np.uint64(1)
+                    words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), lists], names=["id", "text", "bits"])
+                    at += len(some)
+
+    return run
 
 
-def _alike(percent: int):
-    """Pairs of two blocks of at most ``PART`` members or so whose sizes and long sketches allow a link."""
+def _linked(k: int, percent: int):
+    """Confirmed links that join what is apart in two blocks of bounded size."""
     alike = (1 + percent / 100) / 2  # the share of equal bits of two sets at the threshold
     most = round(BITS * (1 - alike + 5 * (alike * (1 - alike) / BITS) ** 0.5))
 
@@ -160,57 +181,100 @@ def _alike(percent: int):
         def words(t: pa.Table) -> np.ndarray:
             return t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
 
-        n, m = (t["n"].to_numpy()[:, None] for t in (asks, offers))
-        m, own, other = m.T, asks["component"].to_numpy()[:, None], offers["component"].to_numpy()[None, :]
-        ok = (own != other) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        apart = np.zeros(ok.shape, np.uint16)
-        x, y = words(asks), words(offers)
-        for k in range(x.shape[1]):
-            apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-        a, b = np.nonzero(ok & (apart <= most))
-        return pa.table({"a": offers["id"].take(pa.array(b)), "id": asks["id"].take(pa.array(a))})
+        def set_of(t: pa.Table, i: int, known: dict[int, np.ndarray]) -> np.ndarray:
+            if i not in known:
+                known[i] = next(shingle_sets(t["text"].slice(i, 1), k))[0]
+            return known[i]
+
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        left, right, sets, others = [], [], {}, {}
+        if asks.num_rows and offers.num_rows:
+            x, y, m = words(asks), words(offers), offers["n"].to_numpy()[None, :]
+            mine, theirs = asks["component"].to_numpy(), offers["component"].to_numpy()
+            a_id, b_id, n = asks["id"].to_numpy(), offers["id"].to_numpy(), asks["n"].to_numpy()
+            step = max(1, (1 << 22) // len(y))
+            for lo in range(0, len(x), step):
+                part = slice(lo, lo + step)
+                apart = np.zeros((len(x[part]), len(y)), np.uint16)
+                for j in range(x.shape[1]):
+                    apart += np.bitwise_count(x[part, j, None] ^ y[None, :, j])
+                size = n[part, None]
+                ok = (mine[part, None] != theirs[None, :]) & (100 * np.minimum(size, m) >= percent * np.maximum(size, m)) & (apart <= most)
+                i, j = np.nonzero(ok)
+                for at in np.argsort(apart[i, j], kind="stable"):
+                    a, b = int(i[at]) + lo, int(j[at])
+                    p, q = find(int(mine[a])), find(int(theirs[b]))
+                    if p != q and _enough(set_of(asks, a, sets), set_of(offers, b, others), percent):
+                        root[max(p, q)] = min(p, q)
+                        left.append(int(a_id[a])), right.append(int(b_id[b]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def near_duplicates(documents: DataFrame, words_per_shingle: int = WORDS, percent: int = PERCENT, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text)."""
+def _rows(documents: DataFrame, k: int, percent: int, bins: int) -> DataFrame:
+    """doc_id, hash (of the text), n_shingles, component_id, named (has a set and an id) of each row of ``documents``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", "text")
-    table = written(docs.mapInArrow(_sketched(words_per_shingle, bins, rows), f"doc_id {kind}, n_shingles long, k1 long, k2 long, bands array<bigint>"), "sketches")
-    named = table.where("k1 is not null and doc_id is not null")
-    classes = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    keys = classes.select("id", "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keys.join(buckets, "key"), "members")
-    labels = None if members.isEmpty() else _labels(docs, members, words_per_shingle, percent, kind)
-    if labels is None:
-        rep = classes.select("k1", "k2", F.col("id").alias("component_id"))
-    else:
-        rep = classes.join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(rep, ["k1", "k2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    with passing(documents.sparkSession):
+        made = docs.select("doc_id", "text", "hash").mapInArrow(_sketched(k, bins, rows_per_band(percent, bins)), f"doc_id {kind}, hash long, n_shingles long, k1 long, k2 long, bands array<bigint>")
+        table = written(made, "sketches")
+        named = table.where("k1 is not null and doc_id is not null")
+        classes = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        # numbers are given once, as the table is written
+        classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "least.doc_id", "least.hash", "n", "bands"), "classes")
+        keys = classes.select("id", "n", F.explode("bands").alias("key"))
+        # tables where a join follows, here and below: it then deals both sides itself, and Spark can split a hot key
+        buckets = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+        members = written(keys.join(buckets, "key"), "members")
+        labels = None if members.isEmpty() else _labels(docs, classes.select("id", "doc_id", "hash"), members, k, percent)
+        rep = classes.select("id", "k1", "k2", "doc_id")
+        if labels is None:
+            rep = rep.select("k1", "k2", F.col("doc_id").alias("component_id"))
+        else:
+            rep = written(rep.join(labels, "id", "left").select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component")), "roots")
+            first = written(rep.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "components")
+            rep = rep.join(first, "component", "left").select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id"))
+        rep = written(rep, "named")
+        out = table.select("doc_id", "hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(rep, ["k1", "k2"], "left")
+        return written(out.select("doc_id", "hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component_id").isNotNull().alias("named")), "near-duplicates", result=True)
+
+
+def near_duplicates(documents: DataFrame, words_per_shingle: int = WORDS, percent: int = PERCENT, bins: int = BINS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``documents`` (doc_id, text)."""
+    rows = _rows(documents, words_per_shingle, percent, bins)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _labels(docs: DataFrame, members: DataFrame, k: int, percent: int, kind: str) -> DataFrame | None:
+def _labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(id, component) of the classes that are linked to another; None if there are no links."""
-    ids = members.groupBy("id").agg(F.first("n").alias("n"), F.sum("size").alias("central"))
-    sets = docs.withColumnRenamed("doc_id", "id").join(ids.select("id"), "id", "left_semi").mapInArrow(_set_rows(k), f"id {kind}, items binary")
-    sets = written(sets.join(ids, "id"), "sets")
+    ids = written(members.groupBy("id").agg(F.sum("size").alias("central")), "ids")
+    asked = written(classes.join(ids.select("id"), "id", "left_semi"), "asked")
+    texts = written(docs.join(asked, ["doc_id", "hash"]).select("id", "text"), "texts")
+    if texts.count() > asked.count():  # rows that repeat an id and a text
+        texts = written(texts.dropDuplicates(["id"]), "texts")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        # first the side that repeats little; then the rows are large where one id has many pairs, and can be split
-        near = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        both = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
-        return written(both.mapInArrow(_confirmed(percent), f"a {kind}, b {kind}"), "confirmed")
-
-    placed = written(members.join(ids.select("id", "central"), "id").withColumn("component", F.col("id")), "placed")
+        pairs = written(pairs, "pairs")
+        hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "hubs")
+        hub_rows = hubs.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+        asks = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+        asks = asks.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+        dealt = hub_rows.union(asks).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return written(dealt.select("a", "b", "text").mapInArrow(_confirmed(k, percent), "a long, b long"), "confirmed")
+
+    placed = written(members.join(ids, "id").select("id", "n", "key", "central", F.col("id").alias("component")), "placed")
     most_central = F.max_by(F.struct("id", "n", "component"), F.struct("central", F.negative("id"))).alias("hub")
     # the hub of a bucket is its most central class; a family has all classes that share a bucket with its hub
-    hubs = placed.groupBy("key").agg(most_central)
+    hubs = written(placed.groupBy("key").agg(most_central), "hubs")
     families = written(placed.join(hubs, "key").select(F.col("hub.id").alias("family"), "id", "n").distinct(), "families")
     labels: DataFrame | None = None
     for _ in range(STAR_ROUNDS):
@@ -224,23 +288,24 @@ def _labels(docs: DataFrame, members: DataFrame, k: int, percent: int, kind: str
         if placed.isEmpty():
             return labels
         # next, the most central one outside the component of the first
-        first = placed.groupBy("key").agg(most_central)
-        hubs = placed.join(first, "key").where("component <> hub.component").groupBy("key").agg(most_central)
+        first = written(placed.groupBy("key").agg(most_central), "hubs")
+        hubs = written(placed.join(first, "key").where("component <> hub.component").groupBy("key").agg(most_central), "hubs")
     apart = _still_apart(families.withColumn("component", F.col("id")), "family", labels)
     if apart.isEmpty():
         return labels
-    bits = sets.select("id", "items").join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_bits, f"id {kind}, bits array<bigint>")
+    bits = texts.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_bits(k), "id long, text string, bits array<bigint>")
     rich = written(apart.join(bits, "id"), "apart-bits")
     # a large family is cut into parts; who asks in it meets each part, in blocks of bounded size
-    sizes = rich.groupBy("family", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.ceil(F.sum("c") / PART).cast("int").alias("parts"))
+    sizes = written(rich.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum(F.octet_length("text")).alias("size")), "sizes")
+    parts = F.greatest(F.ceil(F.sum("c") / PART), F.ceil(F.sum("size") / PART_BYTES)).cast("int").alias("parts")
+    main = written(sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), parts), "mains")
     rich = rich.join(main, "family").withColumn("mine", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asks = rich.where("component <> main").select("family", F.col("mine").alias("p"), every.alias("q"), "id", "n", "component", "bits")
-    offers = rich.select("family", every.alias("p"), F.col("mine").alias("q"), "id", "n", "component", "bits").toDF("family", "p", "q", "id", "n", "component", "bits")
+    kept = ("id", "n", "component", "bits", "text")
+    asks = rich.where("component <> main").select("family", F.col("mine").alias("p"), every.alias("q"), *kept)
+    offers = rich.select("family", every.alias("p"), F.col("mine").alias("q"), *kept).toDF("family", "p", "q", *kept)
     block = ("family", "p", "q")
-    near = asks.groupBy(*block).cogroup(offers.groupBy(*block)).applyInArrow(_alike(percent), f"a {kind}, id {kind}")
-    return _relabelled(labels, confirm(near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()))
+    return _relabelled(labels, written(asks.groupBy(*block).cogroup(offers.groupBy(*block)).applyInArrow(_linked(k, percent), "a long, b long"), "confirmed"))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -250,7 +315,7 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     if labels is None:
         return written(connected_components(links), "labels")
     named = links.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
-    roots = connected_components(named)
+    roots = written(connected_components(named), "roots")
     old = labels.join(roots.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
     return written(old.union(roots.join(labels.select("id"), "id", "left_anti")), "labels")
 
@@ -258,13 +323,21 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 def _still_apart(placed: DataFrame, group: str, labels: DataFrame | None) -> DataFrame:
     """Members of the groups in which more than one component is left, with their components."""
     if labels is not None:
-        placed = placed.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy(group).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(group)
+        placed = written(placed.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    apart = written(placed.groupBy(group).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(group), "apart-groups")
     return written(placed.join(apart, group, "left_semi"), "apart")
 
 
-def deduplicated(documents: DataFrame, **how) -> DataFrame:
-    """``documents`` with one document of each group of near duplicates; of rows that repeat an id, one."""
-    kept = near_duplicates(documents, **how).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return named.unionByName(documents.where("doc_id is null"))
+def deduplicated(documents: DataFrame, words_per_shingle: int = WORDS, percent: int = PERCENT, bins: int = BINS) -> DataFrame:
+    """``documents`` with one row of each group of near duplicates: that of the least id, and of its texts that of the least hash.
+
+    Rows that repeat an id with texts of different groups are each the row of their group; of rows that repeat an id and a
+    text one stays, and so does one of those with an id and without words. All rows without an id stay.
+    """
+    rows = _rows(documents, words_per_shingle, percent, bins).where("doc_id is not null")
+    kept = rows.groupBy("component_id", "named").agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.doc_id", "least.hash")
+    # the row is one column, so that no name of the table can clash with ours
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    own = documents.select(row).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))
+    one = own.join(kept, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    return one.select("row").union(own.where("doc_id is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -22,13 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage and outlives the executors that made it."""
+def written(df: DataFrame, name: str, result: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: it cuts the lineage and outlives the executors that made it.
+
+    Inside ``passing`` it is removed at the end, unless it is a ``result``, which lives as long as what is around.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lumenark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for open_ in _SCOPES:
-        open_.append(path)
+    for paths in _SCOPES[: len(_SCOPES) - result]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,17 +39,16 @@ _SCOPES: list[list[str]] = []
 
 
 @contextmanager
-def passing(spark: SparkSession) -> Iterator[list[str]]:
-    """Removes the tables that are written inside, but for those that are taken off the list: nothing may read them later."""
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are written inside, at its end: nothing may read them later."""
     paths: list[str] = []
     _SCOPES.append(paths)
     try:
-        yield paths
+        yield
     finally:
         _SCOPES.remove(paths)
-        jvm = spark.sparkContext._jvm
         for path in paths:
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from lumenark.llm.near_dedup import band_keys, deduplicated, near_duplicates, sketches
+from lumenark.llm import near_dedup
+from lumenark.llm.near_dedup import band_keys, deduplicated, near_duplicates, rows_per_band, sketches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,6 +70,47 @@ def test_kept_rows_repeats_and_null_ids(docs):
     assert sorted(((r.doc_id, r.key) for r in left), key=str) == [(1, "x"), (7, "x"), (8, "x"), (None, "x")]
 
 
+def test_families_and_hubs_are_dealt_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 20)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 7)
+    rng = random.Random(9)
+    rows = list(enumerate(family(rng, 150, 150, 14) + family(rng, 90, 80, 12)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), words_per_shingle=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_repeats_cost_no_more_than_rows(docs, monkeypatch):
+    """60 equal rows of one id and 60 of another are one pair to confirm."""
+    seen = []
+    keep = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, result=False: seen.append((name, keep(df, name, result))) or seen[-1][1])
+    monkeypatch.setattr(near_dedup, "passing", lambda spark: __import__("contextlib").nullcontext())
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base))] * 60 + [(2, " ".join([*base, "end"]))] * 60
+    got = near_duplicates(docs(rows).repartition(5)).collect()
+    assert len(got) == 120 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1)}
+    assert {n: df.count() for n, df in seen if n in ("classes", "pairs", "confirmed", "texts")} == {"classes": 2, "pairs": 1, "confirmed": 1, "texts": 2}
+
+
+def test_an_id_with_several_texts(docs):
+    base, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    rows = [(5, base), (5, other), (5, None), (5, ""), (7, base + " x"), (3, other + " y"), (9, None), (9, None), (None, base), (None, base)]
+    got = {(r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(docs(rows, extra=True).selectExpr("*", "1 as hash", "2 as row")).collect()}
+    assert got == {(5, 5, 96), (5, 3, 96), (5, 5, 0), (7, 5, 97), (3, 3, 97), (9, 9, 0), (None, None, 96)}
+    for _ in range(2):
+        df = docs(rows, extra=True).selectExpr("*", "1 as hash", "2 as row").repartition(3)
+        left = deduplicated(df)
+        assert left.columns == df.columns
+        texts = sorted(((r.doc_id, r.text or "") for r in left.collect()), key=str)
+        assert texts == sorted([(5, base), (5, ""), (3, other + " y"), (9, ""), (None, base), (None, base)], key=str)
+    assert near_duplicates(docs([(1, "word " * 50_000 + "end"), (2, "word " * 70_000 + "end")])).where("component_id = 1").count() == 2
+
+
+def test_the_chance_to_miss_a_pair():
+    for percent, rows, bands in ((85, 5, 24), (80, 4, 30)):
+        assert rows_per_band(percent) == rows and near_dedup.BINS // rows == bands and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+
+
 def test_empty_table(docs):
     assert near_duplicates(docs([])).count() == 0 and deduplicated(docs([], extra=True)).count() == 0
 
