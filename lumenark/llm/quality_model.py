@@ -2,7 +2,8 @@
 
 zstandard dictionaries are built from a bounded sample of labelled good and bad texts (at most ``per_label`` documents of
 each label, those with the lowest hash of their id; of them half build the dictionaries and half calibrate). A text is
-compressed in pieces of ``PIECE`` bytes (every piece of the whole text) with either dictionary; the difference of the two
+compressed in pieces of ``PIECE`` bytes (every piece of the whole text; so short that a piece finds little to repeat in
+itself and the dictionary decides) with either dictionary; the difference of the two
 total sizes over their sum is the raw score, and a logistic curve fitted on the calibration half turns it into the
 probability of label 1.
 
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LABEL, PIECE, DICTIONARY, LEVEL = 600, 2048, 48 << 10, 3
+PER_LABEL, PIECE, DICTIONARY, LEVEL = 600, 128, 48 << 10, 3
 THRESHOLD = 0.3
 
 

@@ -110,8 +110,8 @@ def test_scores_of_every_row_against_a_plain_loop(spark, sf_dir, docs, corpus):
         data, size = (text[r.doc_id] or "").encode(), {}
         for k, c in by.items():
             size[k] = 0
-            for at in range(0, len(data), 2048):
-                size[k] += len(c.compress(data[at : at + 2048]))
+            for at in range(0, len(data), quality_model.PIECE):
+                size[k] += len(c.compress(data[at : at + quality_model.PIECE]))
         difference = (size["bad"] - size["good"]) / (size["bad"] + size["good"]) if data else 0.0
         p = 1 / (1 + math.exp(-max(-30, min(30, model.slope * difference + model.at_zero))))
         assert abs(r.size_difference - difference) < 1e-12 and abs(r.score - p) < 1e-9 and r.predicted == (p >= 0.3), r.doc_id
