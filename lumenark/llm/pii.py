@@ -1,26 +1,35 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Candidates are spans of a text found by patterns of each kind, strict and loose. Labelers vote on each: whether the
-strict pattern and its check (checksum, range, number of digits) hold, whether words of a gazetteer stand before it,
-whether the surroundings look like code or a measurement, whether the form is a usual one. Votes are counted by
-pattern (a few hundred at most, whatever the size of the corpus); expectation-maximisation over these counts estimates
-how reliable each labeler is for each kind, and a logistic span classifier is then trained on the votes with the
-estimated labels. Spans of strict matches that pass their check (the base) always stay; other candidates are added where
-the classifier is sure enough and they do not overlap a base span.
+Candidates are spans of a text found by patterns of each kind, strict and loose. Labelers vote on each: whether a check
+(checksum, range, number of digits) holds, whether words of a gazetteer stand before it, whether the surroundings look
+like code or a measurement, whether the form is a usual one. Votes are counted by pattern; expectation-maximisation over
+these counts estimates how reliable each labeler is for each kind. A span that fails its check is none.
+
+A logistic span classifier is then trained on every candidate with the estimated labels. It sees the shape of a span and
+its neighbours (number of digits, separators, opening, leading digit, grouping, characters around), and the votes, but
+not that a check was passed: so it carries over from strict matches to spans that no strict pattern takes. Features are
+small integers, so their combinations are counted and their number is bounded whatever the size of the corpus. Spans of
+strict matches that pass their check (the base) always stay; of the other candidates those are added whose probability
+reaches the threshold and that overlap neither a base span nor one added before, by start and then kind. The threshold
+is the least at which the estimated labels of what is added are right in ``PRECISION`` of the cases.
 
 Positions come from splitting a text at the matches of the pattern: gaps and matches alternate, so their lengths add up to
 the places of the matches, in code points, end exclusive. Patterns take possessive repeats and look back where a start
 within a failed run cannot match, so that matching is linear in the text. All is done within a row: a repeated row is
 returned as often, and no row is joined with another.
 
-Defined results: null and empty texts have no spans; an empty table gives an empty result; a text of any length is read whole.
+Defined results: null and empty texts have no spans; an empty table gives an empty result; a text of any length is read
+whole; of spans with equal starts the kind that comes first in ``KINDS`` goes first, then the shorter one; columns beyond
+the named ones are ignored, and kept by ``redact_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,29 +44,41 @@ STRICT = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])(?=(?:[0-9][\x20-]?+){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Further candidates: addresses with written-out signs, and telephone numbers without a country prefix.
+#: Further candidates: addresses with written-out signs, IPv6 addresses, and card and telephone numbers within longer runs
+#: or without a country prefix.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+ ?(?:[\[(]dot[\])] ?|\.)[A-Za-z]{2,24}+",
-    "phone": r"(?<![0-9+.()-])(?<![0-9+] )\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[-. ][0-9]{4}(?![0-9.-])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9.-])(?:[0-9]{13,19}+|[0-9]{4}+([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}+)(?![0-9-])",
+    "phone": r"(?<![0-9+.()-])(?:\+[0-9]{1,3}+[ .-]?|(?<![0-9+] ))\(?[0-9]{3}\)?[ .-][0-9]{3}[-. ][0-9]{4}(?![0-9-])",
 }
 #: A text without these cannot have a match.
 HINTS = {"email": "@", "ip": r"\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-LOOSE_HINTS = {"email": r"[\[(](?:at|dot)[\])]", "phone": r"[0-9][ .)-]{1,2}[0-9]{3}[-. ][0-9]{4}"}
-#: Words that announce a kind, in a few languages.
+LOOSE_HINTS = {"email": r"[\[(]at[\])]", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{13}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}", "phone": r"[0-9]\)?[ .-][0-9]{3}[-. ][0-9]{4}"}
+#: Words that announce a kind, in a few languages. ``END`` is the end of the text before a span.
+END = r"(?![\s\S])"
 GAZETTEER = {
-    "email": r"(?i)(?:e-?mail|contact|write|reach|kontakt|correo|courriel|adress\w*|mailto)\W*(?:\w+\W+){0,2}$",
-    "ip": r"(?i)(?:\bip\b|address|host|server|client|login|logged|connection|serveur|servidor)\W*(?:\w+\W+){0,2}$",
-    "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit|carte|tarjeta|karte|payment)\W*(?:\w+\W+){0,2}$",
-    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|contact|reach|appel\w*|llam\w*|telefon\w*|t[eé]l[eé]phone|rufen)\W*(?:\w+\W+){0,2}$",
+    "email": r"(?i)(?:e-?mail|contact|write|reach|kontakt|correo|courriel|adress\w*|mailto)\W*(?:\w+\W+){0,2}" + END,
+    "ip": r"(?i)(?:\bip\b|address|host|server|client|login|logged|connection|serveur|servidor)\W*(?:\w+\W+){0,2}" + END,
+    "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit|carte|tarjeta|karte|payment)\W*(?:\w+\W+){0,2}" + END,
+    "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|contact|reach|appel\w*|llam\w*|telefon\w*|t[eé]l[eé]phone|rufen)\W*(?:\w+\W+){0,2}" + END,
 }
 AGAINST = {
-    "email": r"(?i)(?:git|ssh|rsync|scp)\W*$",
-    "ip": r"(?i)(?:version|release|v|section|chapter|build)\W*$",
-    "card": r"(?i)(?:isbn|order|invoice|serial|timestamp|hash|token|key|id)\W*$",
-    "phone": r"(?i)(?:isbn|order|invoice|serial|version|score|part)\W*$",
+    "email": r"(?i)(?:git|ssh|rsync|scp)\W*" + END,
+    "ip": r"(?i)(?:version|release|v|section|chapter|build)\W*" + END,
+    "card": r"(?i)(?:isbn|order|invoice|serial|timestamp|hash|token|key|id)\W*" + END,
+    "phone": r"(?i)(?:isbn|order|invoice|serial|version|score|part)\W*" + END,
+}
+USUAL = {
+    "email": r"(?i)(?:@|\bat\b).*\.?[a-z]{2,24}" + END,
+    "ip": r"^[1-9][0-9]{0,2}(\.[0-9]{1,3}){3}" + END + r"|^[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{1,4}){7}" + END,
+    "card": r"^(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})" + END,
+    "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}" + END,
 }
 LABELERS = ("checked", "gazetteer", "against", "shape", "bounded")
-CONTEXT, THRESHOLD, STEPS = 40, 0.9, 25
+#: The classifier's own features, and how many values each has; after them come votes (0, 1, 2), of the check only that it failed.
+OWN = (("digits", 7), ("separators", 4), ("opening", 4), ("leading", 5), ("grouping", 3), ("before", 3), ("after", 3))
+CONTEXT, PRECISION, STEPS = 40, 0.9, 25
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -94,21 +115,18 @@ def passes(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def _votes(kind: str, text: Column, span: Column, strict: bool) -> Column:
-    """One small integer for the labelers' votes: in base 3 by LABELERS; 0 abstains, 1 is for, 2 against."""
-    value = span["value"]
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+def _code(digits: list[tuple[Column, int]]) -> Column:
+    """Small integers in one, the first least."""
+    return reduce(lambda code, d: code * d[1] + d[0], reversed(digits), F.lit(0)).cast("int")
+
+
+def _votes(kind: str, value: Column, before: Column, after: Column, strict: bool) -> Column:
+    """The labelers' votes: in base 3 by LABELERS; 0 abstains, 1 is for, 2 against."""
     last = F.right(before, F.lit(1))
     vote = lambda yes, no: F.when(no, 2).when(yes, 1).otherwise(0)
     no = F.lit(False)
-    checked = vote(passes(kind, value), ~passes(kind, value)) if strict else F.lit(0)
-    usual = {
-        "email": value.rlike(r"(?i)(?:@|\bat\b).*\.?[a-z]{2,24}$"),
-        "ip": value.rlike(r"^[1-9][0-9]{0,2}(\.[0-9]{1,3}){3}$"),
-        "card": value.rlike(r"^(?:[3-6][0-9]{12,18}|[3-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})$"),
-        "phone": value.rlike(r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}$"),
-    }[kind]
+    checked = vote(passes(kind, value), ~passes(kind, value)) if strict or kind == "card" else F.lit(0)
+    usual = value.rlike(USUAL[kind])
     votes = [
         checked,
         vote(before.rlike(GAZETTEER[kind]), no),
@@ -116,33 +134,47 @@ def _votes(kind: str, text: Column, span: Column, strict: bool) -> Column:
         vote(usual, ~usual),
         vote((last == "") | last.rlike(r"[\s(<\[\"':,;]"), (last != "") & last.rlike(r"[\w=/#$]") | after.rlike(r"\w")),
     ]
-    code = F.lit(0)
-    for v in reversed(votes):
-        code = code * 3 + v
-    return code
+    return _code([(v, 3) for v in votes])
+
+
+def _own(value: Column, before: Column, after: Column) -> Column:
+    """The classifier's own features in one integer, by OWN."""
+    digits = F.regexp_replace(value, r"[^0-9]", "")
+    n, first = F.length(digits), F.substring(digits, 1, 1)
+    marks = F.length(F.regexp_replace(value, r"[^ .()-]", ""))
+    around = lambda c: F.when(c.rlike(r"[A-Za-z0-9_]"), 1).when(c.rlike(r"[=/#$@:*+-]"), 2).otherwise(0)
+    values = [
+        F.when(n == 0, 0).when(n < 7, 1).when(n < 10, 2).when(n < 12, 3).when(n < 16, 4).when(n == 16, 5).otherwise(6),
+        F.when(marks == 0, 0).when(marks < 3, 1).when(marks < 5, 2).otherwise(3),
+        F.when(value.startswith("+"), 1).when(value.startswith("("), 2).when(value.rlike(r"^[0-9]"), 3).otherwise(0),
+        F.when(first == "", 0).when(first < "2", 1).when(first < "3", 2).when(first < "7", 3).otherwise(4),
+        F.when(value.rlike(r"^[^0-9]*[0-9]+" + END), 1).when(value.rlike(r"^[^0-9]{0,2}[0-9]{1,4}(?:[^0-9]{1,2}[0-9]{2,4})+" + END), 2).otherwise(0),
+        around(F.right(before, F.lit(1))), around(after),
+    ]
+    return _code([(v, size) for v, (_, size) in zip(values, OWN, strict=True)])
 
 
 def _candidate(number: int, kind: str, text: Column, strict: bool):
     def of(s: Column) -> Column:
+        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+        after = F.substring(text, s["end"] + 1, F.lit(1))
         passed = passes(kind, s["value"]) if strict else F.lit(False)
+        votes, own = _votes(kind, s["value"], before, after, strict), _own(s["value"], before, after)
         return F.struct(
-            F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(strict).alias("strict"),
-            passed.alias("passed"), _votes(kind, text, s, strict).cast("int").alias("votes"),
+            F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(strict).alias("strict"), passed.alias("passed"), votes.alias("votes"), own.alias("own"),
         )
 
     return of
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text: array of (kind, start, end, strict, passed, votes), by kind and start."""
+    """All candidate spans of a text: array of (kind, start, end, strict, passed, votes, own), by kind and start."""
     text = F.coalesce(text, F.lit(""))
-    kind_of = "array<struct<kind:int,start:int,end:int,strict:boolean,passed:boolean,votes:int>>"
+    kind_of = "array<struct<kind:int,start:int,end:int,strict:boolean,passed:boolean,votes:int,own:int>>"
     empty = F.array().cast(kind_of)
     found = []
     for number, kind in enumerate(KINDS):
         for patterns, hints, strict in ((STRICT, HINTS, True), (LOOSE, LOOSE_HINTS, False)):
-            if kind not in patterns:
-                continue
             hint = text.contains(hints[kind]) if len(hints[kind]) == 1 else text.rlike(hints[kind])
             spans = F.transform(places(text, patterns[kind]), _candidate(number, kind, text, strict))
             found.append(F.when(hint, spans.cast(kind_of)).otherwise(empty))
@@ -151,19 +183,25 @@ def candidates(text: Column) -> Column:
 
 @dataclass
 class Model:
-    """For each kind the weights of the span classifier: bias, then for each labeler a weight for and one against."""
+    """For each kind the weights of the span classifier (bias, then a table of weights for each feature) and a threshold."""
 
-    weights: dict[int, list[float]] = field(default_factory=dict)
+    bias: dict[int, float] = field(default_factory=dict)
+    weights: dict[int, list[list[float]]] = field(default_factory=dict)
+    thresholds: dict[int, float] = field(default_factory=dict)
     reliabilities: dict[int, list[tuple[float, float]]] = field(default_factory=dict)
 
-    def probability(self, kind: Column, votes: Column) -> Column:
-        out = F.lit(0.0)
-        for k, w in self.weights.items():
-            z = F.lit(w[0])
-            for i in range(len(LABELERS)):
-                v = F.pmod(F.floor(votes / (3**i)), F.lit(3))
-                z = z + F.when(v == 1, F.lit(w[1 + 2 * i])).when(v == 2, F.lit(w[2 + 2 * i])).otherwise(F.lit(0.0))
-            out = F.when(kind == k, 1 / (1 + F.exp(-z))).otherwise(out)
+    def wanted(self, kind: Column, votes: Column, own: Column) -> Column:
+        """Whether the classifier reaches the threshold of the kind."""
+        out = F.lit(False)
+        digits, step = [], 1
+        for _, size in OWN:
+            digits.append(F.pmod(F.floor(own / step), F.lit(size)))
+            step *= size
+        digits += [F.pmod(F.floor(votes / 3**i), F.lit(3)) for i in range(len(LABELERS))]
+        digits[len(OWN)] = F.when(digits[len(OWN)] == 2, 2).otherwise(0)  # of the check only that it failed
+        for k, tables in self.weights.items():
+            z = reduce(lambda z, x: z + F.element_at(F.array(*map(F.lit, x[0])), x[1].cast("int") + 1), zip(tables, digits, strict=True), F.lit(self.bias[k]))
+            out = F.when(kind == k, 1 / (1 + F.exp(-z)) >= self.thresholds[k]).otherwise(out)
         return out
 
 
@@ -171,10 +209,27 @@ def _split_votes(code: int) -> list[int]:
     return [code // 3**i % 3 for i in range(len(LABELERS))]
 
 
-def expectation_maximisation(counts: dict[int, int], steps: int = STEPS) -> tuple[dict[int, float], list[tuple[float, float]]]:
-    """From counts of vote patterns: the probability of each pattern, and each labeler's (right on yes, right on no)."""
+def features_of(votes: int, own: int) -> list[int]:
+    """The values of all features of a pattern; that a check was passed isn't among them."""
+    out = []
+    for _, size in OWN:
+        out.append(own % size)
+        own //= size
+    checked, *rest = _split_votes(votes)
+    return [*out, 2 * (checked == 2), *rest]
+
+
+def failed(votes: int) -> bool:
+    """Whether a check speaks against a span: such spans are labelled as none, and never added."""
+    return votes % 3 == 2
+
+
+def expectation_maximisation(counts: dict[int, int], steps: int = STEPS, none: frozenset[int] = frozenset()) -> tuple[dict[int, float], list[tuple[float, float]]]:
+    """From counts of vote patterns: the probability of each pattern (0 for those of ``none``), and each labeler's (right on yes, right on no)."""
     votes = {p: _split_votes(p) for p in counts}
-    prior, right = 0.5, [(0.8, 0.8)] * len(LABELERS)
+    # a check is taken to be right more often than a hint, before any vote is seen
+    before = [(0.95, 0.95), *[(0.8, 0.8)] * (len(LABELERS) - 1)]
+    prior, right = 0.5, before
     post: dict[int, float] = {}
     for _ in range(steps):
         for p, vs in votes.items():
@@ -183,7 +238,7 @@ def expectation_maximisation(counts: dict[int, int], steps: int = STEPS) -> tupl
                 if v:
                     yes += math.log(a if v == 1 else 1 - a)
                     no += math.log(1 - b if v == 1 else b)
-            post[p] = 1 / (1 + math.exp(max(-500, min(500, no - yes))))
+            post[p] = 0.0 if p in none else 1 / (1 + math.exp(max(-500, min(500, no - yes))))
         total = sum(counts.values())
         prior = min(0.99, max(0.01, (sum(post[p] * n for p, n in counts.items()) + 1) / (total + 2)))
         right = []
@@ -196,48 +251,79 @@ def expectation_maximisation(counts: dict[int, int], steps: int = STEPS) -> tupl
                 yes, no = yes + n * post[p], no + n * (1 - post[p])
                 a += n * post[p] * (v == 1)
                 b += n * (1 - post[p]) * (v == 2)
-            # eight times as sure before as one vote; better than chance
-            right.append((min(0.99, max(0.55, (a + 8) / (yes + 10))), min(0.99, max(0.55, (b + 8) / (no + 10)))))
+            # ten times as sure before as one vote; better than chance
+            p, q = before[i]
+            right.append((min(0.99, max(0.55, (a + 10 * p) / (yes + 10))), min(0.99, max(0.55, (b + 10 * q) / (no + 10)))))
     return post, right
 
 
-def _logistic(counts: dict[int, int], target: dict[int, float], steps: int = 400) -> list[float]:
-    """Weights of the votes for the estimated labels, by gradient steps on the counted patterns."""
-    w, total = [0.0] * (1 + 2 * len(LABELERS)), sum(counts.values())
-    on = {p: [0, *(1 + 2 * i + (v == 2) for i, v in enumerate(_split_votes(p)) if v)] for p in counts}
+def _logistic(patterns: list[tuple[int, int, int]], target: dict[int, float], steps: int = 30) -> tuple[float, list[list[float]]]:
+    """Bias and weights of all features for the estimated labels, by Newton steps on counted patterns (votes, own, n)."""
+    sizes = [*(size for _, size in OWN), *[3] * len(LABELERS)]
+    starts = np.concatenate(([1], 1 + np.cumsum(sizes)))
+    x = np.zeros((len(patterns), int(starts[-1])))
+    x[:, 0] = 1
+    for row, (votes, own, _) in enumerate(patterns):
+        x[row, starts[:-1] + features_of(votes, own)] = 1
+    n, y = np.array([p[2] for p in patterns], float), np.array([target[p[0]] for p in patterns])
+    n, w = n * min(1.0, 1e5 / n.sum()), np.zeros(x.shape[1])
     for _ in range(steps):
-        slope = [0.01 * x / total for x in w]
-        for p, n in counts.items():
-            z = max(-500.0, min(500.0, sum(w[i] for i in on[p])))
-            gap = n / total * (1 / (1 + math.exp(-z)) - target[p])
-            for i in on[p]:
-                slope[i] += gap
-        w = [x - 1.5 * d for x, d in zip(w, slope, strict=True)]
-    return w
-
-
-def fit(found: DataFrame) -> Model:
-    """A model from candidate spans (a column ``candidates``): only counts of vote patterns reach the driver, 3**5 a kind at most."""
-    counted = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n")).collect()
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), x.T @ (n * (y - p)) - 0.5 * w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    w = np.round(w, 6)
+    return float(w[0]), [w[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def probability(bias: float, weights: list[list[float]], votes: int, own: int) -> float:
+    z = bias + sum(w[f] for w, f in zip(weights, features_of(votes, own), strict=True))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def _threshold(scored: list[tuple[float, float, int]], precision: float) -> float:
+    """The least probability from which the estimated labels (probability, label, n) are right as often as wanted; 1.01 if there is none."""
+    best, right, total = 1.01, 0.0, 0
+    scored = sorted(scored, reverse=True)
+    for i, (p, label, n) in enumerate(scored):
+        right, total = right + n * label, total + n
+        last = i + 1 == len(scored) or scored[i + 1][0] < p
+        if last and p >= 0.5 and right >= precision * total:
+            best = p
+    return best - 1e-9
+
+
+def fit(found: DataFrame, precision: float = PRECISION) -> Model:
+    """A model from candidate spans (a column ``candidates``): only counts of patterns of bounded features reach the driver."""
+    counted = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.own", "c.passed").agg(F.count("*").alias("n")).collect()
     model = Model()
     for kind in range(len(KINDS)):
-        counts = {r.votes: r.n for r in sorted(counted) if r.kind == kind}
-        if not counts:
+        own = sorted((r.votes, r.own, r.passed, r.n) for r in counted if r.kind == kind)
+        if not own:
             continue
-        post, model.reliabilities[kind] = expectation_maximisation(counts)
-        model.weights[kind] = _logistic(counts, post)
+        counts: dict[int, int] = {}
+        for votes, _, _, n in own:
+            counts[votes] = counts.get(votes, 0) + n
+        post, model.reliabilities[kind] = expectation_maximisation(counts, none=frozenset(filter(failed, counts)))
+        bias, weights = _logistic([(v, o, n) for v, o, _, n in own], post)
+        model.bias[kind], model.weights[kind] = bias, weights
+        model.thresholds[kind] = _threshold([(probability(bias, weights, v, o), post[v], n) for v, o, passed, n in own if not passed and not failed(v)], precision)
     return model
 
 
-def spans(found: Column, model: Model, threshold: float = THRESHOLD) -> Column:
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def spans(found: Column, model: Model) -> Column:
     """Base spans and those that the classifier adds: array of (kind, start, end, base), by kind and start."""
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     base = F.filter(found, lambda c: c["passed"])
-    wanted = F.filter(
-        found,
-        lambda c: ~c["passed"] & (model.probability(c["kind"], c["votes"]) >= threshold) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
-    out = F.transform(F.concat(base, wanted), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["passed"].alias("base")))
-    return F.array_sort(out)
+    wanted = F.filter(found, lambda c: ~c["passed"] & (c["votes"] % 3 != 2) & model.wanted(c["kind"], c["votes"], c["own"]) & ~F.exists(base, lambda b: overlap(b, c)))
+    wanted = F.array_sort(F.transform(wanted, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
+    added = F.aggregate(wanted, F.array().cast(f"array<{SPAN}>"), lambda acc, c: F.when(F.exists(acc, lambda b: overlap(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
+    one = lambda base: lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"))
+    return F.array_sort(F.concat(F.transform(base, one(True)), F.when(F.size(wanted) > 0, F.transform(added, one(False))).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean>>"))))
 
 
 def _joined(spans_: Column) -> Column:
