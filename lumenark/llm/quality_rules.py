@@ -7,7 +7,9 @@ document is rejected if its base rules fail (too few words; mostly repeated 3-wo
 more than ``max_lost`` of its word characters.
 
 All counts are taken with arrays over whole texts; nothing is cut at a length. Defined results: null texts are empty;
-an empty text has zero counts, fails the base rules and is not kept; repeated rows are each returned.
+an empty text has zero counts, fails the base rules and is not kept; a text that loses exactly ``max_lost`` is kept; of
+equal lines the first stays; repeated rows are each returned; an empty table gives an empty result; columns beyond the
+named ones are ignored, and kept by ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ MAX_LOST = 0.5
 BOILERPLATE = (
     b"all rights reserved", b"licensed under", b"released under the", b"general public license", b"terms of use", b"terms of service",
     b"privacy policy", b"cookie policy", b"use cookies", b"javascript", b"lorem ipsum", b"subscribe to", b"sign up for", b"click here", b"read more",
+    b"alle rechte vorbehalten", b"datenschutzerkl", b"nutzungsbedingungen", b"verwenden cookies", b"mehr erfahren",
+    b"tous droits r", b"mentions l\xc3\xa9gales", b"politique de confidentialit", b"utilise des cookies", b"en savoir plus",
+    b"todos los derechos reservados", b"aviso legal", b"pol\xc3\xadtica de privacidad", b"utiliza cookies", b"leer m\xc3\xa1s",
 )
+#: Characters that end a sentence or a quotation, beyond ASCII.
+ENDS = "…”’»›。．！？」』؟۔।॥"
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -39,7 +46,20 @@ _BREAK[10] = False
 _BANG, _PIPE = np.zeros(256, bool), np.zeros(256, bool)
 _BANG[33] = _PIPE[124] = True
 _END = np.zeros(256, bool)
-_END[list(b".!?:;\"')]") + [0x80, 0xA6, 0x9D, 0x99, 0x82]] = True  # and the last bytes of typographic ends
+_END[list(b".!?:;\"')]")] = True
+_LONG_ENDS = {n: np.array(sorted(int.from_bytes(c.encode(), "big") for c in ENDS if len(c.encode()) == n), np.int64) for n in (2, 3)}
+
+
+def ended_at(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character before each place ends a sentence; whole characters are compared."""
+    out = _END[buf[ends - 1]]
+    for n, table in _LONG_ENDS.items():
+        here = np.flatnonzero(ends >= n)
+        code = np.zeros(len(here), np.int64)
+        for j in range(n, 0, -1):
+            code = code << 8 | buf[ends[here] - j]
+        out[here] |= np.isin(code, table)
+    return out
 
 
 class Judged:
@@ -89,7 +109,7 @@ class Judged:
         bars = np.concatenate(([0], np.cumsum(bars)))
         menu = 4 * (bars[self.le] - bars[self.ls]) > lw
         last = np.searchsorted(ends, self.le, "right") - 1  # the last word of the line
-        ended = _END[buf[np.maximum(ends[last] - 1, 0)]] if len(ends) else np.zeros(0, bool)
+        ended = ended_at(buf, ends[last]) if len(ends) else np.zeros(0, bool)
         short = ~ended & (lw < 4)
         same = np.concatenate(([0], np.cumsum(np.concatenate((words[1:] == words[:-1], [False]))))) if len(words) else np.zeros(1, int)
         stuck = (lw >= 8) & (2 * (same[np.maximum(w0 + lw - 1, 0)] - same[w0]) > lw)

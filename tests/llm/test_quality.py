@@ -9,7 +9,7 @@ import zstandard
 
 from pyspark.sql import functions as F
 
-from lumenark.llm import quality_model
+from lumenark.llm import quality_model, quality_rules
 from lumenark.llm.quality_model import fit, score
 from lumenark.llm.quality_rules import clean_documents, quality_report
 from lumenark.llm.shared import remainder
@@ -48,6 +48,49 @@ def test_counts(docs, corpus):
     assert quality_report(docs([])).count() == 0
 
 
+def verdict(text, max_lost=0.5):
+    """(kept, lost characters) by the rules, line by line."""
+    n_words, word_chars, _, _, n_repeat = counts(text)
+    seen, lost = set(), 0
+    for line in (text or "").split("\n"):
+        words = re.findall(WORD, line)
+        if not words:
+            continue
+        chars, n = sum(map(len, words)), len(words)
+        letters = sum(c.isascii() and c.isalpha() or ord(c) >= 0xC0 for c in line)
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+        failed = [
+            10 * len(re.findall(r"[#*$%&|<>]", line)) > chars,
+            letters >= 12 and 10 * len(re.findall("[A-Z]", line)) > 6 * letters,
+            n >= 4 and 4 * line.count("!") > n,
+            4 * (line.count("|") + line.count("»")) > n,
+            n < 4 and words[-1][-1] not in ".!?:;\"')]" + quality_rules.ENDS,
+            n >= 8 and 2 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > n,
+            any(p.decode() in low for p in quality_rules.BOILERPLATE),
+            line in seen,
+        ]
+        seen.add(line)
+        lost += chars * any(failed)
+    base_failed = n_words < 50 or 100 * n_repeat > 50 * n_words
+    return not base_failed and lost <= max_lost * word_chars, lost
+
+
+def test_verdict_of_every_row_against_plain_rules(docs, corpus):
+    rng = random.Random(8)
+    words = ["the", "tree", "ÉTÉ", "SHOUT", "yes!", "|", "»", "a»", "л", "end.", "fin…", "好。", "你好", "x€", "#", "&&", "Read", "more", "Mentions", "légales", "ok", "ok", "n’", "n”", "café", "ệ"]
+    texts = []
+    for _ in range(1200):
+        lines = [rng.choice([" ", " ", "\t"]).join((f"{w}{rng.randrange(99)}" if rng.random() < 0.5 and w.isalpha() else w) for w in rng.choices(words if rng.random() < 0.5 else words[:3] + words[-4:], k=rng.randint(0, 14))) for _ in range(rng.randint(1, 14))]
+        texts.append("\n".join(lines + rng.choices(lines, k=rng.randint(0, 2))))
+    rows = list(enumerate(texts)) + [(5000 + r.doc_id, r.text) for r in corpus.where("doc_id < 600").collect()] + [(-1, None), (-2, ""), (-3, "\n\r\n")]
+    text, kept = dict(rows), 0
+    for r in quality_report(docs(rows)).collect():
+        assert (r.kept, r.lost_chars) == verdict(text[r.doc_id]), text[r.doc_id]
+        kept += r.kept
+    assert 200 < kept < len(rows) - 200
+    assert {r.doc_id for r in clean_documents(docs(rows)).collect()} == {i for i, t in rows if verdict(t)[0]}
+
+
 def test_verdicts_on_labels(spark, sf_dir, corpus):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality_report(corpus).join(labels, "doc_id").where("not base_failed").collect()
