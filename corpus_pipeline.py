@@ -2,7 +2,13 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet in the shared folder and reads again as the next one's ``docs``. All but the last return the columns
-of ``documents``.
+of ``documents``. Tables that a stage makes on its way are removed when its output is written.
+
+Defined results, for every stage: a row with a null id is a document like any other, and is judged by its own text; null
+and empty texts have no words, so that ``quality_rules`` drops them; each stage alone keeps them as they are. Texts of any
+length are read whole. Rows that repeat an id are judged by their own texts; of equal ones ``near_dedup`` keeps one. Ties
+go to the least id. An empty table gives an empty table. Nulls in other columns stay, and so do columns beyond those of
+``documents``, whatever their names; ``n_chars`` is counted anew where a text changes.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from lumenark.llm.near_dedup import deduplicated
 from lumenark.llm.pii import redact_documents
 from lumenark.llm.quality_rules import clean_documents
 from lumenark.llm.queries import vocabulary
-from lumenark.llm.shared import table, written
+from lumenark.llm.shared import passing, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with passing(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", result=True)
     return docs

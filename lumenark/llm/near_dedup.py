@@ -220,7 +220,7 @@ def _linked(k: int, percent: int):
 
 
 def _rows(documents: DataFrame, k: int, percent: int, bins: int) -> DataFrame:
-    """doc_id, hash (of the text), n_shingles, component_id, named (has a set and an id) of each row of ``documents``."""
+    """doc_id, hash (of the text), n_shingles, component_id, component (its number; null without a set or an id) of each row of ``documents``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     with passing(documents.sparkSession):
@@ -237,14 +237,14 @@ def _rows(documents: DataFrame, k: int, percent: int, bins: int) -> DataFrame:
         labels = None if members.isEmpty() else _labels(docs, classes.select("id", "doc_id", "hash"), members, k, percent)
         rep = classes.select("id", "k1", "k2", "doc_id")
         if labels is None:
-            rep = rep.select("k1", "k2", F.col("doc_id").alias("component_id"))
+            rep = rep.select("k1", "k2", F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
         else:
             rep = written(rep.join(labels, "id", "left").select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component")), "roots")
             first = written(rep.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"), "components")
-            rep = rep.join(first, "component", "left").select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id"))
+            rep = rep.join(first, "component", "left").select("k1", "k2", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
         rep = written(rep, "named")
         out = table.select("doc_id", "hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(rep, ["k1", "k2"], "left")
-        return written(out.select("doc_id", "hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("component_id").isNotNull().alias("named")), "near-duplicates", result=True)
+        return written(out.select("doc_id", "hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component"), "near-duplicates", result=True)
 
 
 def near_duplicates(documents: DataFrame, words_per_shingle: int = WORDS, percent: int = PERCENT, bins: int = BINS) -> DataFrame:
@@ -335,7 +335,8 @@ def deduplicated(documents: DataFrame, words_per_shingle: int = WORDS, percent:
     text one stays, and so does one of those with an id and without words. All rows without an id stay.
     """
     rows = _rows(documents, words_per_shingle, percent, bins).where("doc_id is not null")
-    kept = rows.groupBy("component_id", "named").agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.doc_id", "least.hash")
+    # components of different texts of one id have different numbers
+    kept = rows.groupBy("component", F.when(F.col("component").isNull(), F.col("doc_id"))).agg(F.min(F.struct("doc_id", "hash")).alias("least")).select("least.doc_id", "least.hash")
     # the row is one column, so that no name of the table can clash with ours
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     own = documents.select(row).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))

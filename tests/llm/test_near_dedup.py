@@ -94,15 +94,15 @@ def test_repeats_cost_no_more_than_rows(docs, monkeypatch):
 
 def test_an_id_with_several_texts(docs):
     base, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
-    rows = [(5, base), (5, other), (5, None), (5, ""), (7, base + " x"), (3, other + " y"), (9, None), (9, None), (None, base), (None, base)]
+    rows = [(5, base), (5, other), (5, None), (5, ""), (7, base + " x"), (3, other + " y"), (9, None), (9, None), (None, base), (None, base), (11, "p " + base[::-1]), (11, "q " + other[::-1])]
     got = {(r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(docs(rows, extra=True).selectExpr("*", "1 as hash", "2 as row")).collect()}
-    assert got == {(5, 5, 96), (5, 3, 96), (5, 5, 0), (7, 5, 97), (3, 3, 97), (9, 9, 0), (None, None, 96)}
+    assert got == {(5, 5, 96), (5, 3, 96), (5, 5, 0), (7, 5, 97), (3, 3, 97), (9, 9, 0), (None, None, 96), (11, 11, 97)}
     for _ in range(2):
         df = docs(rows, extra=True).selectExpr("*", "1 as hash", "2 as row").repartition(3)
         left = deduplicated(df)
         assert left.columns == df.columns
         texts = sorted(((r.doc_id, r.text or "") for r in left.collect()), key=str)
-        assert texts == sorted([(5, base), (5, ""), (3, other + " y"), (9, ""), (None, base), (None, base)], key=str)
+        assert texts == sorted([(5, base), (5, ""), (3, other + " y"), (9, ""), (None, base), (None, base), (11, "p " + base[::-1]), (11, "q " + other[::-1])], key=str)
     assert near_duplicates(docs([(1, "word " * 50_000 + "end"), (2, "word " * 70_000 + "end")])).where("component_id = 1").count() == 2
 
 
