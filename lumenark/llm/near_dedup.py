@@ -8,12 +8,12 @@ for independent ones. Bands of coordinates are keys, of as many rows as miss a p
 of at most ``MISS``: 24 bands of 5 for 0.85 (8e-7), 30 bands of 4 for 0.8 (1.4e-7).
 
 Equal sets are one class with a number of its own, so copies never meet in a band. Within a band, classes are linked to
-a hub, the most central class, instead of to each other; links are confirmed on the full sets. A hub with many partners
-is dealt over several tasks, each with its text once. What a hub leaves apart is compared within the family of its hub
-(the classes that share a band with it), in blocks: two classes of different components are confirmed only if their
-sizes allow a link and long one-bit sketches (``BITS`` coordinates) put their similarity within five standard errors of
-the threshold; what a link joins needs no other link. Every other pair is confirmed, excluded, or known to be in one
-component already.
+a hub, the most central class, instead of to each other. A pair is a candidate only if the sizes allow a link and long
+one-bit sketches (``BITS`` coordinates) put the similarity within five standard errors of the threshold or above;
+candidates are confirmed on the full sets. A hub with many partners is dealt over several tasks, each with its text once.
+What a hub leaves apart is compared within the family of its hub (the classes that share a band with it), in blocks:
+first by the sketches alone, then, of classes with a candidate in another component, by their texts; what a link joins
+needs no other link. Every other pair is confirmed, excluded, or known to be in one component already.
 
 Defined results: texts that are null or have no words are alone; texts of fewer words are one shingle; texts of any length
 are read whole; rows that repeat an id are returned as often, each with the component of its own text, where the least id
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -46,6 +46,12 @@ BITS = 2048
 PART, PART_BYTES = 4000, 16 << 20
 
 
+def most_apart(percent: int) -> int:
+    """Bits in which two long sketches may differ: those of sets at the threshold, and five standard errors."""
+    alike = (1 + percent / 100) / 2
+    return round(BITS * (1 - alike + 5 * (alike * (1 - alike) / BITS) ** 0.5))
+
+
 def rows_per_band(percent: int, bins: int = BINS, miss: float = MISS) -> int:
     """The most rows a band may have so that a pair at the threshold shares none with a probability of ``miss`` at most."""
     return max((r for r in range(1, 9) if (1 - (percent / 100) ** r) ** (bins // r) <= miss), default=1)
@@ -166,21 +172,50 @@ def _bits(k: int):
                     bits = mix(sketches(some, BITS), 91) & np.uint64(1)
                     words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * words.shape[1], pa.int32()), pa.array(words.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), batch.column(1).slice(at, len(some)), lists], names=["id", "text", "bits"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), lists], names=["id", "bits"])
                     at += len(some)
 
     return run
 
 
+def _near(asks: pa.Table, offers: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidates of two blocks in different components, some rows at a time: places in either block, and bits apart."""
+
+    def words(t: pa.Table) -> np.ndarray:
+        return t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+
+    if not asks.num_rows or not offers.num_rows:
+        return
+    x, y, m, n = words(asks), words(offers), offers["n"].to_numpy()[None, :], asks["n"].to_numpy()
+    mine, theirs, most = asks["component"].to_numpy(), offers["component"].to_numpy(), most_apart(percent)
+    step = max(1, (1 << 22) // len(y))
+    for lo in range(0, len(x), step):
+        part = slice(lo, lo + step)
+        apart = np.zeros((len(x[part]), len(y)), np.uint16)
+        for j in range(x.shape[1]):
+            apart += np.bitwise_count(x[part, j, None] ^ y[None, :, j])
+        size = n[part, None]
+        i, j = np.nonzero((mine[part, None] != theirs[None, :]) & (100 * np.minimum(size, m) >= percent * np.maximum(size, m)) & (apart <= most))
+        yield i + lo, j, apart[i, j]
+
+
+def _plausible(percent: int):
+    """(family, id) of the members of two blocks that have a candidate."""
+
+    def run(asks: pa.Table, offers: pa.Table) -> pa.Table:
+        left, right = np.zeros(asks.num_rows, bool), np.zeros(offers.num_rows, bool)
+        for i, j, _ in _near(asks, offers, percent):
+            left[i] = right[j] = True
+        parts = [t.select(["family", "id"]).filter(pa.array(at)) for t, at in ((asks, left), (offers, right)) if t.num_rows]
+        return pa.concat_tables(parts)
+
+    return run
+
+
 def _linked(k: int, percent: int):
     """Confirmed links that join what is apart in two blocks of bounded size."""
-    alike = (1 + percent / 100) / 2  # the share of equal bits of two sets at the threshold
-    most = round(BITS * (1 - alike + 5 * (alike * (1 - alike) / BITS) ** 0.5))
 
     def run(asks: pa.Table, offers: pa.Table) -> pa.Table:
-        def words(t: pa.Table) -> np.ndarray:
-            return t["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
-
         def set_of(t: pa.Table, i: int, known: dict[int, np.ndarray]) -> np.ndarray:
             if i not in known:
                 known[i] = next(shingle_sets(t["text"].slice(i, 1), k))[0]
@@ -195,30 +230,32 @@ def _linked(k: int, percent: int):
             return c
 
         left, right, sets, others = [], [], {}, {}
-        if asks.num_rows and offers.num_rows:
-            x, y, m = words(asks), words(offers), offers["n"].to_numpy()[None, :]
-            mine, theirs = asks["component"].to_numpy(), offers["component"].to_numpy()
-            a_id, b_id, n = asks["id"].to_numpy(), offers["id"].to_numpy(), asks["n"].to_numpy()
-            step = max(1, (1 << 22) // len(y))
-            for lo in range(0, len(x), step):
-                part = slice(lo, lo + step)
-                apart = np.zeros((len(x[part]), len(y)), np.uint16)
-                for j in range(x.shape[1]):
-                    apart += np.bitwise_count(x[part, j, None] ^ y[None, :, j])
-                size = n[part, None]
-                ok = (mine[part, None] != theirs[None, :]) & (100 * np.minimum(size, m) >= percent * np.maximum(size, m)) & (apart <= most)
-                i, j = np.nonzero(ok)
-                for at in np.argsort(apart[i, j], kind="stable"):
-                    a, b = int(i[at]) + lo, int(j[at])
-                    p, q = find(int(mine[a])), find(int(theirs[b]))
-                    if p != q and _enough(set_of(asks, a, sets), set_of(offers, b, others), percent):
-                        root[max(p, q)] = min(p, q)
-                        left.append(int(a_id[a])), right.append(int(b_id[b]))
+        mine, theirs, a_id, b_id = (t[c].to_numpy() for c in ("component", "id") for t in (asks, offers))
+        for i, j, apart in _near(asks, offers, percent):
+            for at in np.argsort(apart, kind="stable"):
+                a, b = int(i[at]), int(j[at])
+                p, q = find(int(mine[a])), find(int(theirs[b]))
+                if p != q and _enough(set_of(asks, a, sets), set_of(offers, b, others), percent):
+                    root[max(p, q)] = min(p, q)
+                    left.append(int(a_id[a])), right.append(int(b_id[b]))
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
+def _blocks(members: DataFrame, size: Column, most: int, *kept: str) -> tuple[GroupedData, GroupedData]:
+    """Who asks and who offers in a family, cut into parts of bounded ``size``; the largest component of a family doesn't ask."""
+    # sums are taken by component first, and written, so that a hot family is dealt by Spark
+    sizes = written(members.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum(size).alias("size")), "sizes")
+    parts = F.greatest(F.ceil(F.sum("c") / PART), F.ceil(F.sum("size") / most)).cast("int").alias("parts")
+    main = written(sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), parts), "mains")
+    rich = members.join(main, "family").withColumn("mine", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asks = rich.where("component <> main").select("family", F.col("mine").alias("p"), every.alias("q"), *kept)
+    offers = rich.select("family", every.alias("p"), F.col("mine").alias("q"), *kept).toDF("family", "p", "q", *kept)
+    return asks.groupBy("family", "p", "q"), offers.groupBy("family", "p", "q")
+
+
 def _rows(documents: DataFrame, k: int, percent: int, bins: int) -> DataFrame:
     """doc_id, hash (of the text), n_shingles, component_id, component (its number; null without a set or an id) of each row of ``documents``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -260,10 +297,13 @@ def _labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, per
     texts = written(docs.join(asked, ["doc_id", "hash"]).select("id", "text"), "texts")
     if texts.count() > asked.count():  # rows that repeat an id and a text
         texts = written(texts.dropDuplicates(["id"]), "texts")
+    bits = written(texts.mapInArrow(_bits(k), "id long, bits array<bigint>"), "bits")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    apart_bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs, "star-pairs").join(bits.toDF("b", "y"), "b")
+        pairs = written(pairs.join(bits.toDF("a", "x"), "a").where(apart_bits <= most_apart(percent)).select("a", "b"), "pairs")
         hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")), "hubs")
         hub_rows = hubs.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
         asks = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
@@ -293,19 +333,12 @@ def _labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, per
     apart = _still_apart(families.withColumn("component", F.col("id")), "family", labels)
     if apart.isEmpty():
         return labels
-    bits = texts.join(apart.select("id").distinct(), "id", "left_semi").mapInArrow(_bits(k), "id long, text string, bits array<bigint>")
-    rich = written(apart.join(bits, "id"), "apart-bits")
-    # a large family is cut into parts; who asks in it meets each part, in blocks of bounded size
-    sizes = written(rich.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum(F.octet_length("text")).alias("size")), "sizes")
-    parts = F.greatest(F.ceil(F.sum("c") / PART), F.ceil(F.sum("size") / PART_BYTES)).cast("int").alias("parts")
-    main = written(sizes.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), parts), "mains")
-    rich = rich.join(main, "family").withColumn("mine", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    kept = ("id", "n", "component", "bits", "text")
-    asks = rich.where("component <> main").select("family", F.col("mine").alias("p"), every.alias("q"), *kept)
-    offers = rich.select("family", every.alias("p"), F.col("mine").alias("q"), *kept).toDF("family", "p", "q", *kept)
-    block = ("family", "p", "q")
-    return _relabelled(labels, written(asks.groupBy(*block).cogroup(offers.groupBy(*block)).applyInArrow(_linked(k, percent), "a long, b long"), "confirmed"))
+    kept = ("id", "n", "component", "bits")
+    asks, offers = _blocks(written(apart.join(bits, "id"), "apart-bits"), F.lit(1), PART, *kept)
+    plausible = written(asks.cogroup(offers).applyInArrow(_plausible(percent), "family long, id long").distinct(), "plausible")
+    rich = apart.join(plausible, ["family", "id"]).join(bits, "id").join(texts, "id")
+    asks, offers = _blocks(written(rich, "apart-texts"), F.octet_length("text"), PART_BYTES, *kept, "text")
+    return _relabelled(labels, written(asks.cogroup(offers).applyInArrow(_linked(k, percent), "a long, b long"), "confirmed"))
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
