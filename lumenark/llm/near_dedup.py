@@ -294,7 +294,8 @@ def _labels(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, per
     """(id, component) of the classes that are linked to another; None if there are no links."""
     ids = written(members.groupBy("id").agg(F.sum("size").alias("central")), "ids")
     asked = written(classes.join(ids.select("id"), "id", "left_semi"), "asked")
-    texts = written(docs.join(asked, ["doc_id", "hash"]).select("id", "text"), "texts")
+    # a merge at any size: what is asked grows with the corpus, and is not to be broadcast while it is small
+    texts = written(docs.join(asked.hint("merge"), ["doc_id", "hash"]).select("id", "text"), "texts")
     if texts.count() > asked.count():  # rows that repeat an id and a text
         texts = written(texts.dropDuplicates(["id"]), "texts")
     bits = written(texts.mapInArrow(_bits(k), "id long, bits array<bigint>"), "bits")
@@ -373,5 +374,5 @@ def deduplicated(documents: DataFrame, words_per_shingle: int = WORDS, percent:
     # the row is one column, so that no name of the table can clash with ours
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     own = documents.select(row).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"))
-    one = own.join(kept, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
+    one = own.join(kept.hint("merge"), ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id", "hash"])
     return one.select("row").union(own.where("doc_id is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
