@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import checkpointed
+
 #: Channel weights of the fusion.
 CHANNEL_WEIGHTS = {"lexical": 1.0, "event": 0.95, "image_semantic": 0.85, "caption": 0.80, "caption_vector": 0.75}
 #: Factors of direct and contextual captions, and the constant of rank fusion.
@@ -29,22 +31,32 @@ def any_token(items: DataFrame, terms: Sequence[str], text: str = "text") -> Dat
     return items.where(F.arrays_overlap(tokens(F.col(text)), wanted)).select("id")
 
 
-def field_score(items: DataFrame, terms: Sequence[str], text_hits: DataFrame | None = None) -> DataFrame:
+def field_score(items: DataFrame, terms: Sequence[str], text_hits: DataFrame | None = None, keyframes: DataFrame | None = None) -> DataFrame:
     """Field-weighted substring score, summed over the terms.
 
-    A tag equal to a term is 8, else one that holds it 5; location 7, title 4, description 2, recognised text 10; 3 once for
-    a hit of the token search. Items of score 0 go; without terms every item has 1.
+    A keyframe of a video (id, labels, text) that shows a term is 12; a tag equal to a term is 8, else one that holds it or
+    lies in it 5; location 7, title 4, description 2, recognised text 10; 3 once for a hit of the token search. Items of score
+    0 go; without terms every item has 1.
     """
     if not terms:
         return items.select("id", F.lit(1.0).alias("score"))
 
     def one(term: str) -> Column:
         t = F.lit(term.lower())
-        tag = F.when(F.exists("tags", lambda x: F.lower(x) == t), 8).when(F.exists("tags", lambda x: F.lower(x).contains(t)), 5).otherwise(0)
+        tag = F.when(F.exists("tags", lambda x: F.lower(x) == t), 8).when(F.exists("tags", lambda x: F.lower(x).contains(t) | t.contains(F.lower(x))), 5).otherwise(0)
         return tag + sum((F.when(F.lower(c).contains(t), w).otherwise(0) for c, w in (("location", 7), ("title", 4), ("description", 2), ("text", 10))), F.lit(0))
 
     score = sum((one(t) for t in terms), F.lit(0))
-    out = items.select("id", "title", score.alias("points"))
+    out = items.select("id", "title", "kind", score.alias("points")) if keyframes is not None else items.select("id", "title", score.alias("points"))
+    if keyframes is not None:
+        def shown(term: str) -> Column:
+            t = F.lit(term.lower())
+            return F.exists("labels", lambda x: F.lower(x).contains(t) | t.contains(F.lower(x))) | F.lower("text").contains(t)
+
+        # terms that any frame of the clip shows: a row a clip, combined before the shuffle
+        points = sum((F.when(F.coalesce(F.bool_or(shown(t)), F.lit(False)), 12).otherwise(0) for t in terms), F.lit(0))
+        seen = keyframes.groupBy("id").agg(points.alias("frames"))
+        out = out.join(seen, "id", "left").withColumn("points", F.col("points") + F.when(F.col("kind") == "VIDEO", F.coalesce("frames", F.lit(0))).otherwise(0))
     if text_hits is not None:
         out = out.join(text_hits.select("id", F.lit(3).alias("bonus")), "id", "left").withColumn("points", F.col("points") + F.coalesce("bonus", F.lit(0)))
     return out.where("points > 0").select("id", "title", F.col("points").cast("double").alias("score"))
@@ -53,12 +65,18 @@ def field_score(items: DataFrame, terms: Sequence[str], text_hits: DataFrame | N
 def bm25(items: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """BM25 (k1 1.2, b 0.75) over the terms, with a whole mean length of at least 1.
 
-    Only tokens that are asked for are exploded; document frequencies and the corpus's size are small aggregates.
+    A text is cut once, into its length and the frequencies of the terms that are asked for; document frequencies and the
+    corpus's size are small aggregates of these.
     """
-    wanted = F.array(*map(F.lit, terms))
-    words = items.select("id", tokens(F.col(text)).alias("words")).select("id", F.size("words").alias("n"), F.filter("words", lambda w: F.array_contains(wanted, w)).alias("found"))
+    def counts(words: Column) -> Column:
+        frequency = lambda t: F.size(F.filter(words, lambda w: w == t)).alias("tf")
+        found = F.array(*[F.struct(F.lit(t).alias("term"), frequency(t)) for t in dict.fromkeys(terms)])
+        return F.struct(F.size(words).alias("n"), F.filter(found, lambda x: x["tf"] > 0).alias("found"))
+
+    # the words are the argument of a function, so that they are cut once; what is kept of a text is a few numbers
+    words = checkpointed(items.select("id", F.transform(F.array(tokens(F.col(text))), counts)[0].alias("c")).select("id", "c.*"))
     corpus = words.agg(F.count("*").alias("docs"), F.greatest(F.floor(F.sum("n") / F.count("*")), F.lit(1)).alias("mean"))
-    postings = words.select("id", "n", F.explode("found").alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
+    postings = words.select("id", "n", F.explode("found").alias("x")).select("id", "n", "x.*")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(corpus))  # a row a term, and one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -84,6 +102,16 @@ def cosine(vectors: DataFrame, query: Sequence[float], column: str = "embedding"
     return scored.withColumn("score", dot(F.col(column), q) / (F.col("norm") * length)).drop("norm")
 
 
+def search_variants(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int, threshold: float) -> DataFrame:
+    """(id, score, best): top-k for each variant of a question, then the threshold, then fusion; the best raw score is kept."""
+    parts = [top(cosine(vectors, q).select(F.lit(v).alias("channel"), "id", F.round("score", 6).alias("score")), "score", k) for v, q in queries.items()]
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    kept = hits.where(F.col("score") >= threshold)
+    return fuse(kept).join(kept.groupBy("id").agg(F.max("score").alias("best")), "id")
+
+
 def caption_scores(scores: DataFrame, captions: DataFrame) -> DataFrame:
     """Scores of chunks brought to items: direct ones whole, contextual ones by 0.72; the best of each item."""
     factor = F.when(F.col("direct"), DIRECT).otherwise(CONTEXTUAL)

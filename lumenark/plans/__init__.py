@@ -1,3 +1,3 @@
 """The registered queries, by topic; importing this package registers them all."""
 
-from . import answers, documents, events, ingest, people, retrieval  # noqa: F401
+from . import answers, captions, coverage, documents, events, ingest, people, retrieval  # noqa: F401

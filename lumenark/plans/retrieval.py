@@ -68,7 +68,7 @@ def keyframe_parent_best(spark, sf_dir) -> DataFrame:
 
 def _points(term: str) -> str:
     fields = " + ".join(f"CASE WHEN contains(lower({c}), '{term}') THEN {w} ELSE 0 END" for c, w in (("location", 7), ("title", 4), ("description", 2), ("text", 10)))
-    return f"(CASE WHEN list_contains(tags, '{term}') THEN 8 WHEN len(list_filter(tags, lambda x: contains(lower(x), '{term}'))) > 0 THEN 5 ELSE 0 END + {fields})"
+    return f"(CASE WHEN list_contains(tags, '{term}') THEN 8 WHEN len(list_filter(tags, lambda x: contains(lower(x), '{term}') OR contains('{term}', lower(x)))) > 0 THEN 5 ELSE 0 END + {fields})"
 
 
 def _any_token(terms) -> str:
@@ -125,13 +125,24 @@ def cosine_threshold_scan(spark, sf_dir) -> DataFrame:
 def vector_variants_fused(spark, sf_dir) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     asked = [(r.id, [float(x) for x in r.embedding]) for r in vectors.where("id < 3").orderBy("id").collect()]  # a question's variants, at most eight
-    parts = [R.top(R.cosine(vectors, q).select(F.lit(str(v)).alias("channel"), "id", F.round("score", 6).alias("score")), "score", 50) for v, q in asked]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    kept = hits.where("score >= 0.1")
-    best = kept.groupBy("id").agg(F.max("score").alias("best"))
-    return R.fuse(kept).select("id", F.round("score", 9).alias("fused")).join(best, "id")
+    out = R.search_variants(vectors, {str(v): q for v, q in asked}, 50, 0.1)
+    return out.select("id", F.round("score", 9).alias("fused"), "best")
+
+
+KEYFRAMES_SQL = """keyframes AS (SELECT doc_id // 2 AS id, [lang, source] AS labels, text FROM documents WHERE doc_id % 3 > 0)"""
+
+
+def _frames(term: str) -> str:
+    return f"CASE WHEN kind = 'VIDEO' AND coalesce(bool_or(contains(lower(k.text), '{term}') OR len(list_filter(labels, lambda x: contains(lower(x), '{term}') OR contains('{term}', lower(x)))) > 0), false) THEN 12 ELSE 0 END"
+
+
+@query(f"""WITH {MEDIA_SQL}, {KEYFRAMES_SQL}, f AS (SELECT m.id, {_frames('src1')} + {_frames('ention')} AS frames FROM media m LEFT JOIN keyframes k ON k.id = m.id GROUP BY m.id, m.kind),
+    s AS (SELECT id, {_points('src1')} + {_points('ention')} + frames AS points FROM media JOIN f USING (id)) SELECT id, points::DOUBLE AS score FROM s WHERE points > 0""")
+def lexical_with_keyframes(spark, sf_dir) -> DataFrame:
+    """Frames of a clip are the documents of twice its number; the link is synthetic."""
+    d = load(spark, sf_dir, "documents")
+    frames = d.where("doc_id % 3 > 0").select(F.expr("doc_id div 2").alias("id"), F.array("lang", "source").alias("labels"), "text")
+    return R.field_score(media(spark, sf_dir), ("src1", "ention"), keyframes=frames).select("id", "score")
 
 
 RRF_SQL = f"""WITH {BM25_SQL}, {COSINE_SQL},
