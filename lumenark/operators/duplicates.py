@@ -13,28 +13,24 @@ from .components import checkpointed, components
 HASH_BITS, MAX_DISTANCE, BURST_MS, FRAME_DISTANCE = 64, 6, 15_000, 8
 
 
-def duplicate_links(items: DataFrame, all_equal: bool = False) -> DataFrame:
+def duplicate_links(items: DataFrame) -> DataFrame:
     """Links (a < b) between items (id, kind, text, phash, captured_ms) that show the same.
 
     Same kind and same normalised text, and an equal hash, or at most 6 differing bits within 15 s. Seven bands of the
     hash are blocks: of two hashes at a distance of 6, one band is equal. Items of an equal hash are linked with the
-    least of them, or each with each if ``all_equal``; times are in blocks of 15 s that are compared with the next one.
+    least of them, not with each other; times are in blocks of 15 s that are compared with the next one.
     """
     text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     known = items.where("phash is not null").select("id", "kind", text.alias("text"), "phash", "captured_ms")
-    if all_equal:
-        twin = known.select(F.col("id").alias("b"), "kind", "text", "phash")
-        equal = known.withColumnRenamed("id", "a").join(twin, ["kind", "text", "phash"]).where("a < b").select("a", "b")
-    else:
-        least = known.groupBy("kind", "text", "phash").agg(F.min("id").alias("a"))
-        equal = known.join(least, ["kind", "text", "phash"]).where("a < id").select("a", F.col("id").alias("b"))
+    least = known.groupBy("kind", "text", "phash").agg(F.min("id").alias("a"))
+    equal = known.join(least, ["kind", "text", "phash"]).where("a < id").select("a", F.col("id").alias("b"))
     width = HASH_BITS // (MAX_DISTANCE + 1) + 1
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("phash", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(MAX_DISTANCE + 1)])
     slot = F.floor(F.col("captured_ms") / BURST_MS)
     timed = known.where("captured_ms is not null").select("*", F.explode(bands).alias("band"))
     left = timed.select(F.col("id").alias("a"), "kind", "text", "band", F.col("phash").alias("x"), F.col("captured_ms").alias("t"), F.explode(F.array(slot, slot + 1)).alias("slot"))
     right = timed.select(F.col("id").alias("b"), "kind", "text", "band", F.col("phash").alias("y"), F.col("captured_ms").alias("u"), slot.alias("slot"))
-    near = left.join(right, ["kind", "text", "band", "slot"]).where((F.abs(F.col("t") - F.col("u")) <= BURST_MS) & (F.col("a") != F.col("b")) & (hamming(F.col("x"), F.col("y")) <= MAX_DISTANCE))
+    near = left.join(right, ["kind", "text", "band", "slot"]).where((F.abs(F.col("t") - F.col("u")) <= BURST_MS) & (F.col("x") != F.col("y")) & (hamming(F.col("x"), F.col("y")) <= MAX_DISTANCE))
     return equal.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
@@ -44,9 +40,12 @@ def collapse(items: DataFrame) -> DataFrame:
 
 
 def representatives(items: DataFrame) -> DataFrame:
-    """Of each component the best: quality, then pixels, then the earlier rank; with the ids it stands for."""
-    best = F.max_by("id", F.struct(F.coalesce("quality", F.lit(0.0)), "pixels", F.negative("rank")))
-    return items.groupBy("component").agg(best.alias("id"), F.min("rank").alias("rank"), F.sort_array(F.collect_list("id")).alias("members"))
+    """Of each component the best (component, id, rank, members): quality, then pixels, then the earlier rank, then the id.
+
+    Who belongs to a component is the ``component`` of the items; their ids are counted here, not gathered in a row.
+    """
+    best = F.max_by("id", F.struct(F.coalesce("quality", F.lit(0.0)), "pixels", F.negative("rank"), F.negative("id")))
+    return items.groupBy("component").agg(best.alias("id"), F.min("rank").alias("rank"), F.count("*").alias("members"))
 
 
 def _thin(pdf: pd.DataFrame) -> pd.DataFrame:

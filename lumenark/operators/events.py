@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.ids import signless_long
+from .components import checkpointed
 
 HOUR = 3_600_000
 LONG_GAP, ALBUM_GAP, MOVE_GAP, MOVE_KM = 18 * HOUR, 45 * 60_000, 30 * 60_000, 100.0
 #: Words that make an event a trip.
 TRIP_WORDS = ("travel", "trip", "singapore", "goa", "boarding", "hotel")
+#: Words of file names that say nothing.
+STOP_TOKENS = ("img", "image", "photo", "photos", "picture", "legacy", "demo", "synthetic")
+SEARCH_CHARS = 8000
 
 
 def splits(gap: Column, album: Column, before_album: Column, km: Column) -> Column:
@@ -52,31 +56,19 @@ def sessionize(captures: DataFrame, by: Sequence[str] = ("user_id",), bucket_ms:
     return joined(rows.withColumn("_inside", inside), offset).withColumn("session", F.col("_offset") + F.col("_inside")).select(*captures.columns, "session")
 
 
-def compiled(sessions: DataFrame, by: Sequence[str] = ("user_id",)) -> DataFrame:
-    """A row an event: id of its members, span, centroid, confidence, dominant place, representative."""
-    has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    key = [*by, "session"]
-    place = F.trim(F.col("album"))
-    named = sessions.where(place != "").groupBy(*key, place.alias("title")).agg(F.count("*").alias("n")).groupBy(*key).agg(F.min_by("title", F.struct(F.negative("n"), "title")).alias("title"))
-    out = sessions.groupBy(*key).agg(
-        F.min("captured_ms").alias("start_ms"), F.max("captured_ms").alias("end_ms"), F.count("*").alias("members"), F.avg(F.when(has, F.col("latitude"))).alias("latitude"), F.avg(F.when(has, F.col("longitude"))).alias("longitude"),
-        F.count_distinct(F.nullif(F.lower(F.col("album")), F.lit(""))).alias("albums"), F.max_by("id", F.struct(F.coalesce("quality", F.lit(0.0)), "captured_ms", "id")).alias("representative"),
-        F.sha2(F.array_join(F.array_sort(F.transform(F.collect_list("id"), lambda x: x.cast("string"))), "\u001f"), 256).alias("_h"),
-    )
-    alone = F.col("albums") <= 1
-    confidence = F.when((F.col("members") >= 2) & alone & F.col("latitude").isNotNull(), 0.92).when((F.col("members") >= 2) & alone, 0.82).when(F.col("members") >= 2, 0.72).otherwise(0.58)
-    kind = F.when(F.lower("title").rlike("|".join(TRIP_WORDS)), "TRIP").when(F.col("members") == 1, "MOMENT").otherwise("MEMORY")
-    return out.join(named, key, "left").select(*key, signless_long(F.col("_h")).alias("event_id"), "start_ms", "end_ms", "members", "latitude", "longitude", F.coalesce("title", F.lit("Gallery memory")).alias("title"), confidence.alias("confidence"), kind.alias("event_type"), "representative")
+def _grouped(sessions: DataFrame, by: Sequence[str]) -> DataFrame:
+    return sessions.withColumn("grp", F.concat_ws(":", *[F.col(c).cast("string") for c in by], F.col("session").cast("string")))
 
 
-def corrected(sessions: DataFrame, corrections: Sequence[tuple[str, list[int]]], by: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Sessions after MERGE and SPLIT corrections in the order of their making.
+def corrected(sessions: DataFrame, corrections: Sequence[tuple], by: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Sessions after MERGE and SPLIT corrections in the order of their making, with ``grp``, the key of a group.
 
-    ``sessions`` has a ``grp`` column, the key of a group; each correction names items. The list is what a user has
-    clicked, so it is small, and each step is one join with its few affected groups.
+    Each correction is (operation, ids) or (operation, ids, text); RENAME and LOCATION leave the groups as they are and are
+    applied by ``compiled``; any other operation is an error. The list is what a user has clicked, so it is small, and each
+    step is one join with its few affected groups.
     """
-    out = sessions.withColumn("grp", F.concat_ws(":", *[F.col(c).cast("string") for c in by], F.col("session").cast("string")))
-    for number, (operation, ids) in enumerate(corrections):
+    out = _grouped(sessions, by)
+    for number, (operation, ids, *_) in enumerate(corrections):
         mine, new = F.col("id").isin(ids), F.lit(f"{operation.lower()}-{number}")
         if operation == "SPLIT":
             out = out.withColumn("grp", F.when(mine, new).otherwise(F.col("grp")))
@@ -85,9 +77,84 @@ def corrected(sessions: DataFrame, corrections: Sequence[tuple[str, list[int]]],
             many = hit.agg((F.count("*") > 1).alias("many"))
             hit = hit.crossJoin(F.broadcast(many)).where("many").select("grp", F.lit(True).alias("hit"))  # one row
             out = out.join(F.broadcast(hit), "grp", "left").withColumn("grp", F.when(F.col("hit"), new).otherwise(F.col("grp"))).drop("hit")
+        elif operation not in ("RENAME", "LOCATION"):
+            raise ValueError(f"unknown correction {operation}")
     return out
 
 
+def _labels(groups: DataFrame, corrections: Sequence[tuple]) -> DataFrame:
+    """Groups that corrections touch: the last title and place of those whose ids are all members, and whether any applies."""
+    spark = groups.sparkSession
+    rows = [(n, op, i, len(set(ids)), more[0] if more else None) for n, (op, ids, *more) in enumerate(corrections) for i in dict.fromkeys(ids)]
+    known = F.broadcast(spark.createDataFrame(rows, "n int, op string, id long, wanted int, label string"))  # what a user has clicked
+    hits = groups.select("grp", "id").join(known, "id").groupBy("grp", "n", "op", "wanted", "label").agg(F.count_distinct("id").alias("have"))
+    whole = F.col("op").isin("RENAME", "LOCATION") & (F.col("have") == F.col("wanted"))
+    last = lambda op: F.max_by(F.when(whole & (F.col("op") == op), F.col("label")), F.when(whole & (F.col("op") == op), F.col("n")))
+    return hits.groupBy("grp").agg(last("RENAME").alias("new_title"), last("LOCATION").alias("new_place"), F.bool_or(whole | F.col("op").isin("MERGE", "SPLIT")).alias("touched"))
+
+
+def _file_titles(members: DataFrame) -> DataFrame:
+    """Up to three words that most file names of a group share, in the order in which they are first seen."""
+    stem = F.regexp_replace("filename", r"\.[^.]*$", "")
+    words = F.filter(F.split(stem, r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~w.rlike(r"^(?:v[0-9]+|[0-9]+)$"))
+    each = members.select("grp", "captured_ms", "id", F.posexplode(words).alias("at", "word")).withColumn("low", F.lower("word"))
+    first = F.min(F.struct("captured_ms", "id", "at", "word")).alias("first")
+    counted = each.groupBy("grp", "low").agg(F.count("*").alias("n"), first).join(members.groupBy("grp").agg(F.count("*").alias("members")), "grp")
+    least = F.when(F.col("members") <= 2, 1).otherwise(F.greatest(F.lit(2), F.floor((F.col("members") + 1) / 2)))
+    some = counted.where((F.col("n") >= least) & ~F.col("low").isin(*STOP_TOKENS))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("first"))).where("place <= 3")
+    initial = F.concat(F.upper(F.substring("first.word", 1, 1)), F.expr("substring(first.word, 2)"))
+    return some.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", initial.alias("w")))), lambda x: x["w"]), " ").alias("file_title"))
+
+
+def _member_texts(members: DataFrame) -> DataFrame:
+    """The words about the members of a group in the order of capture; members beyond ``SEARCH_CHARS`` add nothing and are left out."""
+    parts = ["filename", "title", "album", "location", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), "description"]
+    text = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), r"\s+", " "))
+    order = Window.partitionBy("grp").orderBy("captured_ms", "id")
+    sized = members.select("grp", "captured_ms", "id", F.substring(text, 1, SEARCH_CHARS).alias("text")).where("text <> ''")
+    sized = sized.withColumn("before", F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))).where(f"coalesce(before, 0) <= {SEARCH_CHARS}")
+    return sized.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("captured_ms", "id", "text"))), lambda x: x["text"]), " ").alias("words"))
+
+
+def event_ids(members: DataFrame) -> DataFrame:
+    """(grp, event_id): the first 8 bytes of the digest of the sorted ids.
+
+    The digest is over one string of all ids, as the format demands: about 20 bytes a member, so that an event of a million
+    members is a row of 20 MB.
+    """
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), "\u001f"), 256)
+    return members.groupBy("grp").agg(signless_long(digest).alias("event_id"))
+
+
+def compiled(members: DataFrame, corrections: Sequence[tuple] = ()) -> DataFrame:
+    """A row an event from its members (grp, id, captured_ms, latitude, longitude, quality, filename, title, album, location, tags, description, kind).
+
+    The title is a correction's, else the most frequent place, else words that most file names share, else a constant. The
+    search text holds title, place and what is known of the members, up to 8,000 characters; the type is read from it.
+    Confidence is 1 where a user has corrected, else 0.92, 0.82, 0.72 or 0.58.
+    """
+    members = checkpointed(members)  # it is read once for each part of an event
+    has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    place = F.trim("location")
+    known = members.where((place != "") & ~F.lower("location").isin("unknown", "unknown location"))
+    places = known.groupBy("grp", place.alias("p")).agg(F.count("*").alias("n")).groupBy("grp").agg(F.min_by("p", F.struct(F.negative("n"), "p")).alias("place"))
+    out = members.groupBy("grp").agg(
+        F.min("captured_ms").alias("start_ms"), F.max("captured_ms").alias("end_ms"), F.count("*").alias("members"), F.avg(F.when(has, F.col("latitude"))).alias("latitude"), F.avg(F.when(has, F.col("longitude"))).alias("longitude"),
+        F.count_distinct(F.nullif(F.trim(F.lower("album")), F.lit(""))).alias("albums"), F.max_by("id", F.struct(F.coalesce("quality", F.lit(0.0)), "captured_ms", "id")).alias("representative"), F.bool_or(F.col("kind") == "PDF").alias("papers"),
+    )
+    out = out.join(places, "grp", "left").join(_file_titles(members), "grp", "left").join(_member_texts(members), "grp", "left")
+    labels = _labels(members, corrections) if corrections else None
+    out = out.join(labels, "grp", "left") if labels is not None else out.withColumns({"new_title": F.lit(None).cast("string"), "new_place": F.lit(None).cast("string"), "touched": F.lit(False)})
+    alone, touched = F.col("albums") <= 1, F.coalesce("touched", F.lit(False))
+    confidence = F.when(touched, 1.0).when((F.col("members") >= 2) & alone & F.col("latitude").isNotNull(), 0.92).when((F.col("members") >= 2) & alone, 0.82).when(F.col("members") >= 2, 0.72).otherwise(0.58)
+    title, where = F.coalesce("new_title", "place", F.nullif("file_title", F.lit("")), F.lit("Gallery memory")), F.coalesce("new_place", "place")
+    text = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, where, "words")), r"\s+", " "))
+    out = out.withColumns({"event_title": title, "event_place": where, "search_text": F.substring(text, 1, SEARCH_CHARS), "confidence": confidence, "corrected": touched})
+    kind = F.when(F.col("search_text").rlike("|".join(TRIP_WORDS)), "TRIP").when(F.col("papers"), "DOCUMENT_SET").when(F.col("members") == 1, "MOMENT").otherwise("MEMORY")
+    return out.select("grp", "start_ms", "end_ms", "members", "latitude", "longitude", F.col("event_title").alias("title"), F.col("event_place").alias("location"), "confidence", "corrected", kind.alias("event_type"), "search_text", "representative")
+
+
 def search(events: DataFrame, terms: Sequence[str], title: str = "title", text: str = "search_text") -> DataFrame:
     """Share of the terms that occur in title or text, and 0.25 if all are in the title; latest first among equals."""
     body, head = F.lower(F.concat_ws(" ", title, text)), F.lower(F.col(title))

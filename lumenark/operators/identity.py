@@ -88,3 +88,45 @@ def kept_corrections(new_faces: DataFrame, old_faces: DataFrame) -> DataFrame:
     ok = " and ".join(f"{s} between 0 and 1" for s in ("box.left", "box.top", "box.right", "box.bottom"))
     joined = new_faces.where(ok).join(old, "face_id", "left")
     return joined.select("media_id", "face_id", F.coalesce("set_id", "cluster_id").alias("cluster_id"), F.col("set_id").isNotNull().alias("corrected"))
+
+
+def nearest_face(scores: DataFrame) -> DataFrame:
+    """The single nearest face of each question (query_id, face_id, score); of equal ones that of the least id."""
+    return scores.groupBy("query_id").agg(F.max_by("face_id", F.struct("score", F.negative("face_id"))).alias("face_id"), F.max("score").alias("score"))
+
+
+def first_faces(faces: DataFrame, n: int) -> DataFrame:
+    """The n best faces of each cluster, by quality, then id."""
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("quality"), "face_id"))
+    return faces.withColumn("place", place).where(F.col("place") <= n)
+
+
+def face_page(faces: DataFrame, cluster_id: int, limit: int, offset: int) -> DataFrame:
+    """A page of a cluster's faces, by quality, then id."""
+    return faces.where(F.col("cluster_id") == cluster_id).orderBy(F.desc("quality"), "face_id").offset(offset).limit(limit)
+
+
+def edited_clusters(clusters: DataFrame, edits: DataFrame) -> DataFrame:
+    """Clusters (cluster_id, label, relationship, reviewed, hidden) after edits (cluster_id, action, label, relationship).
+
+    REVIEW sets label and relationship, HIDE hides, UNLABEL takes label, relationship and review away. Only one cluster may be
+    ``me``: a review as ``me`` takes it from the one that was.
+    """
+    e = edits.select("cluster_id", F.col("action"), F.col("label").alias("_label"), F.col("relationship").alias("_relationship"))
+    takes = e.where("action = 'REVIEW' and lower(_relationship) = 'me'").agg(F.max("cluster_id").alias("_me"))
+    j = clusters.join(e, "cluster_id", "left").crossJoin(F.broadcast(takes))  # one row
+    act = lambda a: F.coalesce(F.col("action") == a, F.lit(False))
+    loses = F.col("_me").isNotNull() & (F.col("_me") != F.col("cluster_id")) & F.coalesce(F.lower("relationship") == "me", F.lit(False))
+    gone = act("UNLABEL")
+    return j.select(
+        "cluster_id", F.when(act("REVIEW"), F.col("_label")).when(gone, F.lit(None)).otherwise(F.col("label")).alias("label"),
+        F.when(act("REVIEW") & ~((F.lower("_relationship") == "me") & (F.col("cluster_id") != F.col("_me"))), F.col("_relationship")).when(act("REVIEW") | gone | loses, F.lit(None)).otherwise(F.col("relationship")).alias("relationship"),
+        F.when(act("REVIEW"), True).when(gone, False).otherwise(F.col("reviewed")).alias("reviewed"), (F.col("hidden") | act("HIDE")).alias("hidden"),
+    )
+
+
+def moved_faces(faces: DataFrame, moves: DataFrame) -> DataFrame:
+    """Faces (face_id, cluster_id, corrected) after a user has moved some (face_id, target): what a user has set counts as corrected."""
+    m = moves.groupBy("face_id").agg(F.max("target").alias("_target"))
+    moved = F.col("_target").isNotNull()
+    return faces.join(m, "face_id", "left").withColumns({"cluster_id": F.coalesce("_target", "cluster_id"), "corrected": F.col("corrected") | moved}).drop("_target")

@@ -164,3 +164,66 @@ def invalidated(captions: DataFrame, refs: DataFrame, edited: DataFrame) -> Data
     """Captions of items in which an edited cluster appears are stale; their jobs are to run again."""
     hit = refs.join(edited.select("cluster_id").distinct(), "cluster_id", "left_semi").select("media_id", F.lit(True).alias("_hit")).distinct()
     return captions.join(hit, "media_id", "left").withColumn("state", F.when(F.col("_hit"), "STALE").otherwise(F.col("state"))).drop("_hit")
+
+
+def without_person(rows: DataFrame, edited: DataFrame) -> DataFrame:
+    """Person facts, references and caption chunks (media_id, cluster_id, …) without those of edited clusters and items; rows about no one stay."""
+    return rows.join(edited.select("media_id", "cluster_id").distinct(), ["media_id", "cluster_id"], "left_anti")
+
+
+def captured_at(exif: Column, taken: Column, modified: Column) -> Column:
+    """Capture time of a picked file: from its EXIF, else the date taken, else the time of change; what isn't positive doesn't count."""
+    some = lambda c: F.when(c > 0, c)
+    return F.coalesce(some(exif), some(taken), some(modified))
+
+
+def covered_kinds(scans: DataFrame) -> DataFrame:
+    """Kinds whose scan has seen all there is: full permission, and a cursor that came to its end."""
+    return scans.groupBy("kind").agg(F.bool_and(F.col("permission") == "FULL").alias("full"), F.bool_and("completed").alias("completed")).where("full and completed").select("kind")
+
+
+def reset_stages(stages: DataFrame, changed: DataFrame) -> DataFrame:
+    """Stages (id, stage, status, attempts) of items that were replaced start anew; DISCOVERY stays done."""
+    hit = changed.where("action = 'REPLACED'").select("id", F.lit(True).alias("_hit")).distinct()
+    again = F.coalesce("_hit", F.lit(False)) & (F.col("stage") != "DISCOVERY")
+    return stages.join(hit, "id", "left").withColumns({"status": F.when(again, "PENDING").otherwise(F.col("status")), "attempts": F.when(again, 0).otherwise(F.col("attempts"))}).drop("_hit")
+
+
+def removed(items: DataFrame, postings: DataFrame, event_items: DataFrame, gone: DataFrame, reason: str, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, token postings and event members without what is gone (id), and its tombstones; events left without members go with them."""
+    ids = gone.select("id").distinct()
+    tombstones = items.join(ids, "id", "left_semi").select("id", F.lit(reason).alias("reason"), F.lit(now_ms).cast("long").alias("removed_ms"))
+    return items.join(ids, "id", "left_anti"), postings.join(ids, "id", "left_anti"), event_items.join(ids, "id", "left_anti"), tombstones
+
+
+def replanned(jobs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Jobs (id, status, user_requested, attempts) after a plan (id, user_requested): new ones are inserted, known ones stay, and those that a user asks for and that had failed or ended run again."""
+    new = plan.select("id", F.col("user_requested").alias("_asked"), F.lit(True).alias("_planned"))
+    j = jobs.withColumn("_known", F.lit(True)).join(new, "id", "full_outer")
+    known, asked = F.coalesce("_known", F.lit(False)), F.coalesce("_asked", F.lit(False))
+    again = known & asked & F.col("status").isin("COMPLETE", "FAILED", "AUTH_REQUIRED")
+    return j.select(
+        "id", F.when(~known | again, "PENDING").otherwise(F.col("status")).alias("status"), (F.coalesce("user_requested", F.lit(False)) | asked).alias("user_requested"), F.when(~known | again, 0).otherwise(F.col("attempts")).alias("attempts"),
+    )
+
+
+def completion_frames(queue: DataFrame, results: DataFrame, now_ms: int) -> dict[str, DataFrame]:
+    """What the completion of a batch writes, all behind one fence: owner, running, unexpired lease.
+
+    ``results`` (id, owner, generation, facts, caption, refs, chunks) hold what a job has made; late or foreign ones write
+    nothing in any of the tables, so a reader of one generation sees all of it or none.
+    """
+    alive = queue.where((F.col("status") == "RUNNING") & (F.col("lease_ms") > now_ms)).select("id", "owner")
+    ok = results.join(alive, ["id", "owner"], "left_semi")
+    part = lambda c: ok.select("id", "generation", F.explode(c).alias("value"))
+    return {
+        "facts": part("facts"), "captions": ok.select("id", "generation", F.col("caption").alias("value")), "refs": part("refs"), "chunks": part("chunks"),
+        "stages": ok.select("id", "generation", F.lit("COMPLETE").alias("value")),
+    }
+
+
+def versioned_completion(chunks: DataFrame, done: DataFrame, now_ms: int) -> DataFrame:
+    """Chunk embeddings done by (chunk_id, owner, producer_version): only the owner of a running, unexpired lease of the same version completes one."""
+    d = done.select("chunk_id", F.col("owner").alias("_by"), F.col("producer_version").alias("_version"))
+    ok = (F.col("_by") == F.col("owner")) & (F.col("_version") == F.col("producer_version")) & (F.col("lease_ms") > now_ms) & (F.col("status") == "RUNNING")
+    return chunks.join(d, "chunk_id", "left").withColumn("status", F.when(F.coalesce(ok, F.lit(False)), "COMPLETE").otherwise(F.col("status"))).drop("_by", "_version")

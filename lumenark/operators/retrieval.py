@@ -112,12 +112,6 @@ def search_variants(vectors: DataFrame, queries: dict[str, Sequence[float]], k:
     return fuse(kept).join(kept.groupBy("id").agg(F.max("score").alias("best")), "id")
 
 
-def caption_scores(scores: DataFrame, captions: DataFrame) -> DataFrame:
-    """Scores of chunks brought to items: direct ones whole, contextual ones by 0.72; the best of each item."""
-    factor = F.when(F.col("direct"), DIRECT).otherwise(CONTEXTUAL)
-    return scores.join(captions, "chunk_id").groupBy("id").agg(F.max(F.col("score") * factor).alias("score"))
-
-
 def fuse(ranked: DataFrame, weights: DataFrame | None = None, k: int = RRF_K) -> DataFrame:
     """Weighted reciprocal rank fusion of ``ranked`` (channel, id, score): each channel is bounded by its top-k before."""
     once = ranked.groupBy("channel", "id").agg(F.max("score").alias("score"))

@@ -48,16 +48,58 @@ def corroborated(semantic: DataFrame, lexical: DataFrame, event: DataFrame, scop
     return semantic.join(lexical.select("id").union(event.select("id")).distinct(), "id", "left_semi") if scoped else semantic
 
 
-def exact_siblings(items: DataFrame, digest: str = "digest") -> DataFrame:
-    """(id, sibling) for items of equal content, each its own sibling too; to be used on the few items in question."""
+def content_classes(items: DataFrame, digest: str = "digest") -> DataFrame:
+    """(id, class) of items with content: the least id of equal ones. A row an item, however many copies there are."""
     known = items.where(F.col(digest).isNotNull()).select("id", digest)
-    return known.join(known.withColumnRenamed("id", "sibling"), digest).select("id", "sibling")
+    least = known.groupBy(digest).agg(F.min("id").alias("class"))
+    return known.join(least, digest).select("id", "class")
 
 
-def shared_facts(facts: DataFrame, siblings: DataFrame) -> DataFrame:
-    """Facts that may be shared between exact duplicates, for each sibling, relabelled."""
+def exact_siblings(classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, sibling) of the few items that are asked for, each its own sibling too."""
+    mine = asked.select("id").distinct().join(classes, "id")
+    return mine.join(classes.withColumnRenamed("id", "sibling"), "class").select("id", "sibling")
+
+
+def shared_facts(facts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Facts that exact duplicates share: a row for each class of content and fact, with who gave it; members come from the classes."""
     safe = facts.where("applicability = 'SAFE_FOR_EXACT_DUPLICATES' and scope in ('MEDIA', 'EXACT_DUPLICATE_GROUP')")
-    return safe.join(siblings.where("id <> sibling"), "id").select(F.col("sibling").alias("id"), "predicate", "value", F.lit("EXACT_DUPLICATE_SHARED").alias("applicability"))
+    shared = safe.join(classes, "id").groupBy("class", "predicate", "value").agg(F.min("id").alias("given_by"))
+    return shared.withColumn("applicability", F.lit("EXACT_DUPLICATE_SHARED"))
+
+
+def close_boxes(a: Column, b: Column, most: float = 1e-4) -> Column:
+    """Whether two boxes (left, top, right, bottom) are the same up to rounding."""
+    return F.forall(F.array(*[F.abs(a[s] - b[s]) for s in ("left", "top", "right", "bottom")]), lambda d: d <= most)
+
+
+def reusable(targets: DataFrame, sources: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, source_id): items whose enrichment can be taken over from an exact duplicate.
+
+    Both sides have ``bindings``, the reviewed faces sorted by label (label, cluster_id, box). A source counts if label,
+    cluster and box of all of them agree; of several the latest (``updated_ms``), then the least id. Sources of one content
+    with the same bindings are one candidate, so copies don't multiply. Targets are items that have no enrichment yet.
+    """
+    who = lambda b: F.transform(b, lambda x: F.struct(x["label"].alias("label"), x["cluster_id"].alias("cluster_id")))
+    done = sources.join(classes, "id").select("class", who(F.col("bindings")).alias("who"), F.col("bindings").alias("theirs"), F.struct("updated_ms", F.negative("id").alias("order"), F.col("id").alias("source_id")).alias("s"))
+    done = done.groupBy("class", "who", "theirs").agg(F.max("s").alias("s"))
+    asked = targets.join(classes, "id").select("id", "class", who(F.col("bindings")).alias("who"), "bindings")
+    same = asked.join(done, ["class", "who"]).where(F.forall(F.arrays_zip(F.col("bindings").alias("a"), F.col("theirs").alias("b")), lambda x: close_boxes(x["a"]["box"], x["b"]["box"])))
+    return same.groupBy("id").agg(F.max(F.struct("s.updated_ms", "s.order", "s.source_id")).alias("s")).select("id", "s.source_id")
+
+
+def vector_ids(items: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """Ids under which vectors are stored: of items, and of keyframes with the mark of a frame."""
+    frame = F.concat(F.col("media_id").cast("string"), F.lit("#"), F.col("at_ms").cast("string"))
+    return items.select(F.col("id").cast("string").alias("vector_id")).union(keyframes.select(frame)).distinct()
+
+
+def index_state(indexed: DataFrame, eligible: DataFrame, valid: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, searchable, orphan, missing) of all ids that an index or its catalogue names: indexed and eligible, indexed but not valid, expected but not indexed."""
+    mark = lambda df, name: df.select("id", F.lit(name).alias("has"))
+    both = mark(indexed, "i").union(mark(eligible, "e")).union(mark(valid, "v")).union(mark(expected, "x"))
+    has = both.groupBy("id").agg(*[F.bool_or(F.col("has") == n).alias(n) for n in "ievx"])
+    return has.select("id", (F.col("i") & F.col("e")).alias("searchable"), (F.col("i") & ~F.col("v")).alias("orphan"), (F.col("x") & ~F.col("i")).alias("missing"))
 
 
 def overlap(a: str, b: str) -> Column:
@@ -81,3 +123,9 @@ def merged_evidence(primary: DataFrame, supplemental: DataFrame) -> DataFrame:
     both = primary.withColumn("source", F.lit(0)).unionByName(supplemental.withColumn("source", F.lit(1)))
     once = both.groupBy("media_id", "evidence_id").agg(F.min_by("text", "source").alias("text"), F.min("source").alias("source"))
     return once.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("source", "evidence_id", "text"))).alias("evidence"))
+
+
+def closed_citations(primary: DataFrame, supplemental: DataFrame, cited: DataFrame) -> DataFrame:
+    """Merged evidence of the primary list and of those supplemental items that hold a cited evidence id (evidence_id); none cited leaves the primary list."""
+    holding = supplemental.join(cited.select("evidence_id").distinct(), "evidence_id", "left_semi").select("media_id").distinct()
+    return merged_evidence(primary, supplemental.join(holding, "media_id", "left_semi"))

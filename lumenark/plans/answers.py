@@ -168,13 +168,13 @@ def channel_and_pipeline_state(spark, sf_dir) -> DataFrame:
     return c.select("stage", A.channel_status(yes, F.col("eligible"), F.col("covered")).alias("channel"), state.alias("state"), F.round(rate, 6).alias("per_minute"))
 
 
-@query("""WITH t AS (SELECT c_custkey % 40 AS event_id, c_custkey AS id, c_nationkey FROM customer WHERE c_custkey % 40 = 7)
+@query("""WITH t AS (SELECT c_custkey % 40 AS event_id, c_custkey AS id, c_nationkey FROM customer)
     SELECT count(*) AS items, min(captured_ms) AS first_ms, max(captured_ms) AS last_ms,
       (SELECT list(location ORDER BY seen, location) FROM (SELECT 'NATION_' || c_nationkey AS location, min(id) AS seen FROM t GROUP BY 1 ORDER BY seen, 1 LIMIT 4)) AS places,
       (SELECT list(DISTINCT n_name ORDER BY n_name) FROM t JOIN nation ON c_nationkey = n_nationkey) AS people, (SELECT list(id ORDER BY id) FROM (SELECT id FROM t ORDER BY id LIMIT 4)) AS representatives
     FROM (SELECT id * 1000 AS captured_ms FROM t)""")
 def event_summary(spark, sf_dir) -> DataFrame:
-    c = load(spark, sf_dir, "customer").where("c_custkey % 40 = 7")
+    c = load(spark, sf_dir, "customer")
     items = c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("position"), (F.col("c_custkey") * 1000).alias("captured_ms"), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("location"))
     people = c.join(F.broadcast(load(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("name"))
     return A.event_summary(items, people)

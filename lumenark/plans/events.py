@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import hamming
 from ..operators import events as E
 from ..operators import retrieval as R
-from ..operators.duplicates import collapse, duplicate_links, selected_diverse, thinned_frames
+from ..operators.duplicates import collapse, duplicate_links, representatives, selected_diverse, thinned_frames
 from ..registry import query
 from ..sources.tables import CAPTURES_SQL, MEDIA_SQL, captures, load, media
 
@@ -24,13 +24,69 @@ def sessionize_gap(spark, sf_dir) -> DataFrame:
     return E.sessionize(captures(spark, sf_dir)).select("id", "user_id", "session")
 
 
-@query(f"""WITH {SESSIONS_SQL}, t AS (SELECT user_id, session, arg_min(album, (-n, album)) AS title FROM (SELECT user_id, session, trim(album) AS album, count(*) AS n FROM sessions GROUP BY ALL) GROUP BY ALL),
-    g AS (SELECT user_id, session, min(captured_ms) AS start_ms, max(captured_ms) AS end_ms, count(*) AS members, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(DISTINCT lower(album)) AS albums,
-      arg_max(id, (coalesce(quality, 0), captured_ms, id)) AS representative FROM sessions GROUP BY ALL)
-    SELECT user_id, session, start_ms, end_ms, members, latitude, longitude, title, CASE WHEN members >= 2 AND albums <= 1 THEN 0.92 WHEN members >= 2 THEN 0.72 ELSE 0.58 END::DOUBLE AS confidence, CASE WHEN members = 1 THEN 'MOMENT' ELSE 'MEMORY' END AS event_type, representative FROM g JOIN t USING (user_id, session)""")
+CORRECTIONS = [("MERGE", [0, 1, 2]), ("SPLIT", [1]), ("RENAME", [3], "First"), ("MERGE", [1, 5]), ("RENAME", [3], "Birthday  Trip"), ("RENAME", [0, 3], "Never"), ("LOCATION", [2], "Goa"), ("RENAME", [1, 5], "Both")]
+MEMBERS_SQL = """members AS (SELECT s.*, CASE id % 4 WHEN 0 THEN 'IMG_Beach_' || id || '.jpg' WHEN 1 THEN album || '-day_v2.jpg' ELSE 'Sunset ' || album || '.x.png' END AS filename, 'Title ' || id % 10 AS title, CASE id % 6 WHEN 0 THEN ' Lake ' || user_id % 3 WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Old  Hotel' ELSE '' END AS location,
+    CASE WHEN id % 5 = 0 THEN [album, 'sky'] END AS tags, CASE WHEN id % 7 = 0 THEN 'a  walk' END AS description, CASE WHEN id % 50 = 0 THEN 'PDF' ELSE 'IMAGE' END AS kind FROM sessions s)"""
+
+
+def members(sessions: DataFrame) -> DataFrame:
+    """Sessions with the fields of items; names and places are rules on the numbers, the same in both engines."""
+    i, album, a = F.col("id"), F.col("album"), F.concat
+    text = lambda c: c.cast("string")
+    return sessions.withColumns({
+        "filename": F.when(i % 4 == 0, a(F.lit("IMG_Beach_"), text(i), F.lit(".jpg"))).when(i % 4 == 1, a(album, F.lit("-day_v2.jpg"))).otherwise(a(F.lit("Sunset "), album, F.lit(".x.png"))),
+        "title": a(F.lit("Title "), text(i % 10)), "location": F.when(i % 6 == 0, a(F.lit(" Lake "), text(F.col("user_id") % 3))).when(i % 6 == 1, "Unknown").when(i % 6 == 2, "Old  Hotel").otherwise(""),
+        "tags": F.when(i % 5 == 0, F.array(album, F.lit("sky"))), "description": F.when(i % 7 == 0, "a  walk"), "kind": F.when(i % 50 == 0, "PDF").otherwise("IMAGE"),
+    })
+
+
+EVENTS_SQL = f"""{MEMBERS_SQL.replace('FROM sessions s', 'FROM {source} s')}, pl AS (SELECT grp, arg_min(p, (-n, p)) AS place FROM (SELECT grp, trim(location) AS p, count(*) AS n FROM members WHERE trim(location) <> '' AND lower(location) NOT IN ('unknown', 'unknown location') GROUP BY ALL) GROUP BY grp),
+    g AS (SELECT grp, min(captured_ms) AS start_ms, max(captured_ms) AS end_ms, count(*) AS members, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude, count(DISTINCT nullif(trim(lower(album)), '')) AS albums,
+      arg_max(id, (coalesce(quality, 0), captured_ms, id)) AS representative, bool_or(kind = 'PDF') AS papers FROM members GROUP BY grp),
+    wd AS (SELECT grp, captured_ms, id, unnest(list_zip(range(len(w)), w)) AS x FROM (SELECT grp, captured_ms, id, list_filter(regexp_split_to_array(regexp_replace(filename, '\\.[^.]*$', ''), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 2 AND NOT regexp_full_match(t, 'v[0-9]+|[0-9]+')) AS w FROM members)),
+    wc AS (SELECT grp, lower(x[2]) AS low, count(*) AS n, min((captured_ms, id, x[1], x[2])) AS first FROM wd GROUP BY ALL),
+    wp AS (SELECT grp, first, row_number() OVER (PARTITION BY grp ORDER BY first) AS place FROM wc JOIN g USING (grp) WHERE n >= CASE WHEN members <= 2 THEN 1 ELSE greatest(2, (members + 1) // 2) END AND low NOT IN ('img', 'image', 'photo', 'photos', 'picture', 'legacy', 'demo', 'synthetic')),
+    ft AS (SELECT grp, string_agg(upper(first[4][1]) || first[4][2:], ' ' ORDER BY place) AS file_title FROM wp WHERE place <= 3 GROUP BY grp),
+    mt AS (SELECT grp, string_agg(concat_ws(' ', filename, title, album, location, array_to_string(tags, ' '), description), ' ' ORDER BY captured_ms, id) AS words FROM members GROUP BY grp),
+    j AS (SELECT g.*, coalesce(new_title, place, file_title, 'Gallery memory') AS title, coalesce(new_place, place) AS location, words, coalesce(touched, false) AS corrected FROM g LEFT JOIN pl USING (grp) LEFT JOIN ft USING (grp) LEFT JOIN mt USING (grp) LEFT JOIN {{labels}} USING (grp)),
+    t AS (SELECT *, substr(trim(regexp_replace(lower(concat_ws(' ', title, location, words)), '\\s+', ' ', 'g')), 1, 8000) AS search_text FROM j)
+    SELECT grp, start_ms, end_ms, members, latitude, longitude, title, location, CASE WHEN corrected THEN 1.0 WHEN members >= 2 AND albums <= 1 THEN 0.92 WHEN members >= 2 THEN 0.72 ELSE 0.58 END::DOUBLE AS confidence, corrected,
+      CASE WHEN regexp_matches(search_text, 'travel|trip|singapore|goa|boarding|hotel') THEN 'TRIP' WHEN papers THEN 'DOCUMENT_SET' WHEN members = 1 THEN 'MOMENT' ELSE 'MEMORY' END AS event_type, sha256(search_text) AS search_text, representative FROM t"""
+
+
+def events_sql(source: str, labels: str) -> str:
+    return EVENTS_SQL.replace("{source}", source).replace("{labels}", labels)
+
+
+def _shown(events: DataFrame) -> DataFrame:
+    return events.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6), "confidence": F.col("confidence").cast("double"), "search_text": F.sha2("search_text", 256)})
+
+
+@query(f"WITH {SESSIONS_SQL}, grouped AS (SELECT *, user_id || ':' || session AS grp FROM sessions), none AS (SELECT NULL::VARCHAR AS grp, NULL::VARCHAR AS new_title, NULL::VARCHAR AS new_place, false AS touched), {events_sql('grouped', 'none')}")
 def event_attributes(spark, sf_dir) -> DataFrame:
-    out = E.compiled(E.sessionize(captures(spark, sf_dir))).drop("event_id")
-    return out.withColumn("latitude", F.round("latitude", 6)).withColumn("longitude", F.round("longitude", 6)).withColumn("confidence", F.col("confidence").cast("double"))
+    grouped = E.corrected(E.sessionize(captures(spark, sf_dir)), [])
+    return _shown(E.compiled(members(grouped)))
+
+
+def _replayed() -> str:
+    """The corrections as a chain of table expressions, each a step of the replay; and the labels that they give."""
+    steps, last = [], "c0"
+    for n, (op, ids, *_) in enumerate(CORRECTIONS):
+        hit = f"id IN ({', '.join(map(str, ids))})"
+        if op in ("SPLIT", "MERGE"):
+            other = f"(SELECT count(DISTINCT grp) FROM {last} WHERE {hit}) > 1 AND grp IN (SELECT grp FROM {last} WHERE {hit})"
+            steps.append(f"c{n + 1} AS (SELECT * REPLACE (CASE WHEN {hit if op == 'SPLIT' else other} THEN '{op.lower()}-{n}' ELSE grp END AS grp) FROM {last})")
+            last = f"c{n + 1}"
+    rows = ", ".join(f"({n}, '{op}', {i}, {len(ids)}, {repr(more[0]) if more else 'NULL'})" for n, (op, ids, *more) in enumerate(CORRECTIONS) for i in ids)
+    labels = f"""hits AS (SELECT grp, n, op, wanted, label, count(*) AS have FROM {last} JOIN (VALUES {rows}) AS k(n, op, id, wanted, label) USING (id) GROUP BY ALL),
+    labels AS (SELECT grp, arg_max(label, n) FILTER (op = 'RENAME' AND have = wanted) AS new_title, arg_max(label, n) FILTER (op = 'LOCATION' AND have = wanted) AS new_place, bool_or(op IN ('MERGE', 'SPLIT') OR have = wanted) AS touched FROM hits GROUP BY grp)"""
+    return f"{', '.join(steps)}, final AS (SELECT * FROM {last}), {labels}"
+
+
+@query(f"WITH {SESSIONS_SQL}, c0 AS (SELECT *, user_id || ':' || session AS grp FROM sessions), {_replayed()}, {events_sql('final', 'labels')}")
+def event_corrections(spark, sf_dir) -> DataFrame:
+    """All kinds of corrections replayed over the sessions, and the events that come of them."""
+    return _shown(E.compiled(members(E.corrected(E.sessionize(captures(spark, sf_dir)), CORRECTIONS)), CORRECTIONS))
 
 
 @query(f"""WITH {SESSIONS_SQL}, e AS (SELECT user_id, session, string_agg(DISTINCT album, ' ' ORDER BY album) AS title, min(captured_ms) AS start_ms FROM sessions GROUP BY ALL),
@@ -59,13 +115,6 @@ def event_expansion(spark, sf_dir) -> DataFrame:
     return E.expanded(s.join(hit, ["user_id", "session"], "left_semi").select("id"), s.where("quality > 20"), contextual=False)
 
 
-@query(None)
-def event_corrections(spark, sf_dir) -> DataFrame:
-    """Merge and split corrections replayed over the sessions; the tests hold it against a replay in Python."""
-    s = E.sessionize(captures(spark, sf_dir))
-    return E.corrected(s, [("MERGE", [0, 1, 2]), ("SPLIT", [1]), ("MERGE", [1, 5])]).groupBy("grp").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
-
-
 @query(f"""WITH {SESSIONS_SQL}, g AS (SELECT user_id, session, sha256(string_agg(id::VARCHAR, chr(31) ORDER BY id::VARCHAR)) AS h FROM sessions GROUP BY ALL)
     SELECT user_id, session, h AS digest FROM g""")
 def event_identity(spark, sf_dir) -> DataFrame:
@@ -99,19 +148,26 @@ def picture_hashes(spark, sf_dir) -> DataFrame:
 PICTURES_SQL = """pictures AS (SELECT vec_id AS id, xor(('0x' || substr(sha256((vec_id % 97)::VARCHAR), 1, 15))::BIGINT, ((1::BIGINT << (vec_id % 3)::INT) - 1)) AS phash, CASE WHEN label % 2 = 0 THEN 'IMAGE' ELSE 'VIDEO' END AS kind,
     vec_id * 100 AS captured_ms FROM embeddings),
     pairs AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.phash, b.phash)) AS distance FROM pictures a JOIN pictures b ON a.id < b.id AND a.kind = b.kind
-      WHERE a.phash = b.phash OR (bit_count(xor(a.phash, b.phash)) <= 6 AND abs(a.captured_ms - b.captured_ms) <= 15000))"""
+      WHERE (a.phash = b.phash AND a.id = (SELECT min(id) FROM pictures c WHERE c.kind = b.kind AND c.phash = b.phash)) OR (a.phash <> b.phash AND bit_count(xor(a.phash, b.phash)) <= 6 AND abs(a.captured_ms - b.captured_ms) <= 15000))"""
 
 
 @query(f"WITH {PICTURES_SQL} SELECT a, b, distance::INT AS distance FROM pairs")
 def hamming_pairs(spark, sf_dir) -> DataFrame:
-    """All near-duplicate pairs of a small set of hits (the operator itself links members to hubs of equal hash)."""
+    """Near-duplicate pairs, those of an equal hash with the least of them only."""
     p = picture_hashes(spark, sf_dir)
-    links = duplicate_links(p, all_equal=True)
+    links = duplicate_links(p)
     h = p.select("id", "phash")
     named = links.join(h.select(F.col("id").alias("a"), F.col("phash").alias("x")), "a").join(h.select(F.col("id").alias("b"), F.col("phash").alias("y")), "b")
     return named.select("a", "b", hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
+@query(f"""WITH RECURSIVE {PICTURES_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM pictures), reach(id, other) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a),
+    c AS (SELECT id, min(other) AS component FROM reach GROUP BY id), x AS (SELECT *, (id % 13 / 13.0)::DOUBLE AS quality, id % 5 * 100 AS pixels, id * 7 % 1009 AS rank FROM c)
+    SELECT component, arg_max(id, (coalesce(quality, 0), pixels, -rank, -id)) AS id, min(rank) AS rank, count(*) AS members FROM x GROUP BY component""")
+def duplicate_representatives(spark, sf_dir) -> DataFrame:
+    return representatives(collapse(picture_hashes(spark, sf_dir)).withColumn("rank", F.col("id") * 7 % 1009)).select("component", "id", "rank", "members")
+
+
 @query(f"""WITH RECURSIVE {PICTURES_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT id, id FROM pictures), reach(id, other) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a)
     SELECT id, min(other) AS component FROM reach GROUP BY id""")
 def duplicate_collapse(spark, sf_dir) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_metrics(metrics: DataFrame, folder: str) -> None:
-    """A small table of metrics as JSON lines and as CSV."""
+    """A small table of metrics as JSON lines, as CSV and as Markdown."""
     metrics.write.mode("overwrite").json(f"{folder}/json")
     metrics.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    markdown(metrics).select("line").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
 
 
 def write_vectors(vectors: DataFrame, folder: str, files: int = 64) -> None:
@@ -34,10 +35,44 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(c).cast(kinds[c]).alias(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in MEDIA_SCHEMA.names])
 
 
-def append_result_set(hits: DataFrame, folder: str, session_id: str, set_id: int, created_ms: int, parent_id: int | None) -> None:
-    """Ranked ids of a question, appended under its session; readers keep the newest sets."""
+def append_result_set(hits: DataFrame, folder: str, session_id: str, set_id: int, created_ms: int, parent_id: int | None) -> bool:
+    """Ranked ids of a question, appended under its session if ``parent_id`` is still its latest set; False, and nothing written, if not.
+
+    Readers keep the newest sets. One driver writes a session: the test and the append are no transaction between drivers.
+    """
+    spark = hits.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    latest = None
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        last = spark.read.parquet(folder).where(F.col("session_id") == session_id).agg(F.max_by("set_id", F.struct("created_ms", "set_id")).alias("s")).first()
+        latest = last.s
+    if latest != parent_id:
+        return False
     meta = {"set_id": F.lit(set_id).cast("long"), "created_ms": F.lit(created_ms).cast("long"), "parent_id": F.lit(parent_id).cast("long"), "session_id": F.lit(session_id)}
     hits.withColumns(meta).write.mode("append").partitionBy("session_id").parquet(folder)
+    return True
+
+
+def append_query_log(turns: DataFrame, folder: str, protect=None) -> None:
+    """Questions as they were answered (session_id, query, intent, terms, channels, results, elapsed_ms, created_ms, set_id, parent_id), appended by day.
+
+    ``channels`` (channel, status, searched, eligible) become one line; ``protect`` takes the texts before they are stored.
+    """
+    line = F.array_join(F.transform("channels", lambda c: F.concat(c["channel"], F.lit(":"), c["status"], F.lit(":"), c["searched"].cast("string"), F.lit("/"), c["eligible"].cast("string"))), ",")
+    plan = F.concat(F.col("intent"), F.lit(":"), F.array_join("terms", ","), F.lit("|channels="), line)
+    kept = protect or (lambda c: c)
+    rows = turns.select("session_id", kept(F.col("query")).alias("query"), kept(plan).alias("plan_summary"), "results", "elapsed_ms", "created_ms", "set_id", "parent_id", F.to_date(F.timestamp_millis("created_ms")).alias("day"))
+    rows.write.mode("append").partitionBy("day").parquet(folder)
+
+
+def markdown(metrics: DataFrame) -> DataFrame:
+    """A table of metrics as lines of Markdown in order (place, line); its rows are few."""
+    names = metrics.columns
+    cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", "\\\\|"), F.lit(""))
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = metrics.select(bar([cell(c) for c in names]).alias("line")).orderBy("line")
+    head = metrics.sparkSession.createDataFrame([(0, "| " + " | ".join(names) + " |"), (1, "|" + "---|" * len(names))], "place long, line string")
+    return head.union(body.select(F.monotonically_increasing_id() + 2, "line")).orderBy("place")
 
 
 def frames(first: DataFrame, final: DataFrame) -> Iterator[tuple[str, DataFrame | None]]:
