@@ -189,7 +189,7 @@ def reset_stages(stages: DataFrame, changed: DataFrame) -> DataFrame:
     return stages.join(hit, "id", "left").withColumns({"status": F.when(again, "PENDING").otherwise(F.col("status")), "attempts": F.when(again, 0).otherwise(F.col("attempts"))}).drop("_hit")
 
 
-def removed(items: DataFrame, postings: DataFrame, event_items: DataFrame, gone: DataFrame, reason: str, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def removed_everywhere(items: DataFrame, postings: DataFrame, event_items: DataFrame, gone: DataFrame, reason: str, now_ms: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Items, token postings and event members without what is gone (id), and its tombstones; events left without members go with them."""
     ids = gone.select("id").distinct()
     tombstones = items.join(ids, "id", "left_semi").select("id", F.lit(reason).alias("reason"), F.lit(now_ms).cast("long").alias("removed_ms"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
+from ..operators import filters as P
 from ..registry import query
 from ..sources.tables import MEDIA_SQL, load, media
 
@@ -189,3 +190,52 @@ def frequently_retrieved(spark, sf_dir) -> DataFrame:
 def library_shelves(spark, sf_dir) -> DataFrame:
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     return media(spark, sf_dir).where("captured_ms is not null").groupBy(F.to_date(F.timestamp_millis("captured_ms")).cast("string").alias("day"), F.coalesce(blank("album"), blank("location"), F.lit("Other")).alias("shelf")).agg(F.count("*").alias("items"))
+
+
+EVIDENCE_SQL = """ev AS (SELECT l_orderkey AS media_id, l_linenumber AS n, ['MEDIA', 'EVENT', 'VISUAL_GROUP', 'EXACT_DUPLICATE_GROUP', 'QUERY_VERIFICATION'][l_suppkey % 5 + 1] AS scope, ['CONTEXTUAL', 'SAFE_FOR_EXACT_DUPLICATES', 'EXACT_DUPLICATE_SHARED', 'POSSIBLE_INFERENCE', NULL, 'DIRECT'][l_partkey % 6 + 1] AS applicability,
+    l_orderkey + l_partkey % 2 AS evidence_media_id, ['visual_verification', 'event', 'ocr'][l_partkey % 3 + 1] AS source_field FROM lineitem)"""
+
+
+@query(f"""WITH {EVIDENCE_SQL} SELECT media_id, n, CASE WHEN coalesce(applicability, '') IN ('CONTEXTUAL', 'EVENT_CONTEXT_ONLY', 'GROUP_CONTEXT_ONLY') THEN false WHEN scope IN ('EVENT', 'VISUAL_GROUP') THEN false
+      WHEN scope = 'EXACT_DUPLICATE_GROUP' THEN coalesce(applicability, '') IN ('SAFE_FOR_EXACT_DUPLICATES', 'EXACT_DUPLICATE_SHARED') ELSE media_id = evidence_media_id END AS direct,
+    CASE WHEN applicability = 'POSSIBLE_INFERENCE' THEN 3 WHEN source_field = 'visual_verification' THEN 0 WHEN scope IN ('MEDIA', 'QUERY_VERIFICATION') THEN 1 ELSE 2 END AS priority,
+    scope <> 'VISUAL_GROUP' AND (scope <> 'EXACT_DUPLICATE_GROUP' OR applicability IS NOT DISTINCT FROM 'EXACT_DUPLICATE_SHARED') AND scope <> 'EVENT' AND source_field <> 'event' AS allowed FROM ev""")
+def evidence_rules(spark, sf_dir) -> DataFrame:
+    """Whether evidence is direct, its priority, and whether a question that isn't about an event admits it."""
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    s, p = F.col("l_suppkey"), F.col("l_partkey")
+    ev = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("n"), pick(("MEDIA", "EVENT", "VISUAL_GROUP", "EXACT_DUPLICATE_GROUP", "QUERY_VERIFICATION"), s % 5).alias("scope"),
+        pick(("CONTEXTUAL", "SAFE_FOR_EXACT_DUPLICATES", "EXACT_DUPLICATE_SHARED", "POSSIBLE_INFERENCE", None, "DIRECT"), p % 6).alias("applicability"), (F.col("l_orderkey") + p % 2).alias("evidence_media_id"), pick(("visual_verification", "event", "ocr"), p % 3).alias("source_field"),
+    )
+    return ev.select("media_id", "n", P.direct_evidence().alias("direct"), P.evidence_priority().alias("priority"), P.evidence_allowed(False).alias("allowed"))
+
+
+@query(f"""WITH {MEDIA_SQL}, f AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber > 3) SELECT id FROM media WHERE id IN (FROM f) OR contains(lower(concat_ws(' ', filename, title, array_to_string(tags, ' '))), 'src1')""")
+def sold_by_merchant(spark, sf_dir) -> DataFrame:
+    """SRC1 stands for a merchant: it is in the identity of some items, and a fact of those with a returned line beyond the third."""
+    name = F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") > 3), "The SRC1 Shop").otherwise("other")
+    facts = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.lit("MERCHANT").alias("entity_type"), name.alias("raw_text"), F.lower(name).alias("normalized_value"))
+    return P.sold_by(media(spark, sf_dir), facts, " src1 ").select("id")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'NOT_REQUIRED' WHEN o_custkey % 5 >= 3 THEN 'COMPLETE' WHEN o_custkey % 5 > 0 THEN 'PARTIAL' ELSE 'UNAVAILABLE' END AS access FROM orders""")
+def access_states(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), A.access_coverage(F.col("o_orderkey") % 4 > 0, F.col("o_custkey") % 5, F.lit(3)).alias("access"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'PDF' ELSE 'IMAGE' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'receipt_1.jpg' WHEN 1 THEN 'calendar.png' ELSE 'img.jpg' END AS filename, CASE WHEN p_partkey % 3 = 0 THEN ['Receipt paper'] ELSE ['sky'] END AS tags, 900 + p_partkey % 7 * 100 AS width, 1600 + p_partkey % 11 * 100 AS height, p_size / 200.0::DOUBLE AS edges FROM part)
+    SELECT id, CASE WHEN kind = 'PDF' THEN 100 ELSE CASE WHEN filename <> 'img.jpg' THEN 4 ELSE 0 END + CASE WHEN tags[1] = 'Receipt paper' THEN 3 ELSE 0 END + CASE WHEN greatest(width, height, 1)::DOUBLE / greatest(least(width, height), 1) BETWEEN 1.45 AND 2.4 AND width * height >= 700000 THEN 1 ELSE 0 END + CASE WHEN edges >= 0.16 THEN 2 ELSE 0 END END AS score FROM p""")
+def recognition_gate(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    p = load(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 5 == 0, "PDF").otherwise("IMAGE").alias("kind"), F.when(k % 4 == 0, "receipt_1.jpg").when(k % 4 == 1, "calendar.png").otherwise("img.jpg").alias("filename"),
+        F.array(F.when(k % 3 == 0, "Receipt paper").otherwise("sky")).alias("tags"), (k % 7 * 100 + 900).alias("width"), (k % 11 * 100 + 1600).alias("height"), (F.col("p_size") / 200.0).alias("edges"),
+    )
+    return p.select("id", P.text_likelihood(F.col("edges")).alias("score"))
+
+
+@query("""SELECT o_orderkey AS id, round(CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 5 * 60000.0::DOUBLE / 90000 END, 6) AS per_minute, CASE WHEN o_custkey % 5 > 0 THEN ceil(o_orderkey % 9 * 60000.0::DOUBLE / (o_custkey % 5 * 60000.0::DOUBLE / 90000))::BIGINT END AS left_ms FROM orders""")
+def progress_eta(spark, sf_dir) -> DataFrame:
+    rate, eta = A.progress(F.col("o_custkey") % 5, F.col("o_orderkey") % 9, F.lit(90_000))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(rate, 6).alias("per_minute"), eta.cast("long").alias("left_ms"))

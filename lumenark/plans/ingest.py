@@ -191,3 +191,79 @@ def rouge_of_answers(spark, sf_dir) -> DataFrame:
     asked = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
     out = M.rouge_scores(c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(asked, ["conv_id", "turn"]))
     return out.select("conv_id", "turn", F.round("rouge.rouge1", 6).alias("rouge1"), F.round("rouge.rouge2", 6).alias("rouge2"), F.round("rouge.rougeL", 6).alias("rougeL"))
+
+
+@query("""SELECT o_orderkey AS media_id, l_linenumber AS n, l_suppkey AS cluster_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT (l_suppkey IN (3, 4) AND o_orderkey % 2 = 0)""")
+def invalidation_drops(spark, sf_dir) -> DataFrame:
+    """Lines stand for person facts, references and chunks; an edit names clusters 3 and 4 in even items."""
+    refs = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("media_id"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("cluster_id"))
+    return G.without_person(refs, refs.where("cluster_id in (3, 4) and media_id % 2 = 0"))
+
+
+@query("""SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 > 0 AND o_custkey > 0 THEN o_custkey END, CASE WHEN o_orderkey % 5 - 1 > 0 THEN o_orderkey % 5 - 1 END, CASE WHEN o_orderkey > 0 THEN o_orderkey END) AS captured_ms FROM orders""")
+def capture_times(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select(k.alias("id"), G.captured_at(F.when(k % 3 > 0, F.col("o_custkey")).otherwise(-1), k % 5 - 1, k).alias("captured_ms"))
+
+
+@query("""SELECT o_orderpriority AS kind FROM orders GROUP BY 1 HAVING bool_and(o_orderkey > 0) AND bool_and(NOT (o_orderpriority = '5-LOW' AND o_custkey % 7 = 0))""")
+def covered_kinds(spark, sf_dir) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    low = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 7 == 0)
+    return G.covered_kinds(o.select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_orderkey") > 0, "FULL").otherwise("PARTIAL").alias("permission"), (~low).alias("completed")))
+
+
+@query("""SELECT l_orderkey AS id, ['DISCOVERY', 'METADATA', 'OCR', 'FACES', 'EVENTS', 'EMBEDDING', 'ENRICHMENT'][l_linenumber] AS stage, CASE WHEN o_custkey % 3 = 0 AND l_linenumber > 1 THEN 'PENDING' ELSE 'COMPLETE' END AS status, CASE WHEN o_custkey % 3 = 0 AND l_linenumber > 1 THEN 0 ELSE l_linenumber END::INT AS attempts
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def reset_stages(spark, sf_dir) -> DataFrame:
+    """Stages of replaced items start anew."""
+    names = F.array(*map(F.lit, ("DISCOVERY", "METADATA", "OCR", "FACES", "EVENTS", "EMBEDDING", "ENRICHMENT")))
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.element_at(names, F.col("l_linenumber").cast("int")).alias("stage"), F.lit("COMPLETE").alias("status"), F.col("l_linenumber").cast("int").alias("attempts"))
+    changed = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, "REPLACED").otherwise("TOUCHED").alias("action"))
+    return G.reset_stages(rows, changed)
+
+
+@query("""WITH gone AS (SELECT o_orderkey AS id FROM orders WHERE o_custkey % 10 = 1)
+    SELECT 'item' AS what, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders WHERE o_orderkey NOT IN (FROM gone) UNION ALL SELECT 'posting', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (FROM gone)
+    UNION ALL SELECT 'member', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHERE l_linenumber = 1 AND l_orderkey NOT IN (FROM gone) UNION ALL SELECT 'tombstone', count(*), sum(id)::BIGINT FROM gone""")
+def removal_everywhere(spark, sf_dir) -> DataFrame:
+    """What is left of items, postings and event members, and the tombstones."""
+    items, line = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber")
+    parts = G.removed_everywhere(items, line, line.where("l_linenumber = 1"), items.where("o_custkey % 10 = 1"), "USER", NOW)
+    counts = [p.agg(F.lit(name).alias("what"), F.count("*").alias("n"), F.sum("id").alias("ids")) for name, p in zip(("item", "posting", "member", "tombstone"), parts, strict=True)]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query("""WITH jobs AS (SELECT o_orderkey AS id, ['PENDING', 'COMPLETE', 'FAILED', 'RUNNING'][o_custkey % 4 + 1] AS status, o_custkey % 5 = 0 AS user_requested, o_custkey % 3 AS attempts FROM orders),
+    plan AS (SELECT DISTINCT l_partkey AS id, l_partkey % 2 = 0 AS asked FROM lineitem)
+    SELECT coalesce(j.id, p.id) AS id, CASE WHEN j.id IS NULL OR (coalesce(asked, false) AND status IN ('COMPLETE', 'FAILED')) THEN 'PENDING' ELSE status END AS status, coalesce(user_requested, false) OR coalesce(asked, false) AS user_requested,
+      CASE WHEN j.id IS NULL OR (coalesce(asked, false) AND status IN ('COMPLETE', 'FAILED')) THEN 0 ELSE attempts END AS attempts FROM jobs j FULL JOIN plan p ON j.id = p.id""")
+def replanned_jobs(spark, sf_dir) -> DataFrame:
+    c = F.col("o_custkey")
+    states = F.array(*map(F.lit, ("PENDING", "COMPLETE", "FAILED", "RUNNING")))
+    jobs = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(states, (c % 4 + 1).cast("int")).alias("status"), (c % 5 == 0).alias("user_requested"), (c % 3).alias("attempts"))
+    plan = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_partkey") % 2 == 0).alias("user_requested")).distinct()
+    return G.replanned(jobs, plan)
+
+
+@query(f"""WITH {QUEUE_SQL}, ok AS (SELECT id, id % 3 AS generation FROM queue WHERE status = 'RUNNING' AND lease_ms > {NOW} AND owner = 'w1')
+    SELECT 'facts' AS what, id, generation, 'f' || n AS value FROM ok, (VALUES (1), (2)) v(n) UNION ALL SELECT 'captions', id, generation, 'c' || id FROM ok UNION ALL SELECT 'refs', id, generation, 'r' FROM ok
+    UNION ALL SELECT 'chunks', id, generation, 'k' FROM ok UNION ALL SELECT 'stages', id, generation, 'COMPLETE' FROM ok""")
+def completed_enrichment(spark, sf_dir) -> DataFrame:
+    """Worker w1 hands in results for all jobs; only those that it runs under a valid lease are written."""
+    q, one = queue(spark, sf_dir), lambda x: F.array(F.lit(x))
+    results = q.select("id", F.lit("w1").alias("owner"), (F.col("id") % 3).alias("generation"), F.array(F.lit("f1"), F.lit("f2")).alias("facts"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("caption"), one("r").alias("refs"), one("k").alias("chunks"))
+    out = None
+    for name, rows in G.completion_frames(q, results, NOW).items():
+        part = rows.select(F.lit(name).alias("what"), "id", "generation", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {QUEUE_SQL} SELECT id AS chunk_id, CASE WHEN status = 'RUNNING' AND lease_ms > {NOW} AND owner = 'w1' AND id % 3 = id % 2 THEN 'COMPLETE' ELSE status END AS status FROM queue""")
+def chunk_completion_fence(spark, sf_dir) -> DataFrame:
+    """Owner and version must both agree."""
+    version = lambda n: F.concat(F.lit("v"), (F.col("id") % n).cast("string")).alias("producer_version")
+    q = queue(spark, sf_dir)
+    chunks = q.select(F.col("id").alias("chunk_id"), "status", "owner", "lease_ms", version(3))
+    return G.versioned_completion(chunks, q.select(F.col("id").alias("chunk_id"), F.lit("w1").alias("owner"), version(2)), NOW).select("chunk_id", "status")
