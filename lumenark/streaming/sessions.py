@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.events import ALBUM_GAP, LONG_GAP, MOVE_GAP, MOVE_KM
 
-OUT = "id long, user_id long, captured_ms long, session long"
+OUT = "id long, user_id long, captured_ms long, session long, late boolean"
 STATE = "last_ms long, last_id long, album string, latitude double, longitude double, session long"
 
 
@@ -42,17 +42,38 @@ def numbered(pdf: pd.DataFrame, before: tuple | None) -> tuple[np.ndarray, tuple
     return session, (int(last.captured_ms), int(last.id), last.album or "", float(lat[-1]), float(lon[-1]), int(session[-1]))
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else None
-    pdf = pd.concat(list(batches)).sort_values(["captured_ms", "id"], ignore_index=True)
-    if before is not None:
-        pdf = pdf[(pdf.captured_ms > before[0]) | (pdf.captured_ms == before[0]) & (pdf.id > before[1])].reset_index(drop=True)
-    if len(pdf):
-        session, after = numbered(pdf, before)
-        state.update(after)
-        yield pd.DataFrame({"id": pdf.id, "user_id": key[0], "captured_ms": pdf.captured_ms, "session": session})
+def _step(idle_ms: int | None):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        pdf = pd.concat(list(batches)).sort_values(["captured_ms", "id"], ignore_index=True)
+        late = pd.Series(False, index=pdf.index)
+        if before is not None:
+            late = ~((pdf.captured_ms > before[0]) | (pdf.captured_ms == before[0]) & (pdf.id > before[1]))
+        if late.any():
+            behind = pdf[late]
+            none = pd.array([None] * len(behind), "Int64")
+            yield pd.DataFrame({"id": behind.id, "user_id": key[0], "captured_ms": behind.captured_ms, "session": none, "late": True})
+        pdf = pdf[~late].reset_index(drop=True)
+        if len(pdf):
+            session, after = numbered(pdf, before)
+            state.update(after)
+            yield pd.DataFrame({"id": pdf.id, "user_id": key[0], "captured_ms": pdf.captured_ms, "session": pd.array(session, "Int64"), "late": False})
+        if idle_ms is not None and state.exists:
+            state.setTimeoutDuration(idle_ms)
 
+    return step
 
-def sessionized(captures: DataFrame) -> DataFrame:
-    """The stream (id, user_id, captured_ms, album, latitude, longitude) with the number of each capture's event."""
-    return captures.where("captured_ms is not null").groupBy("user_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def sessionized(captures: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The stream (id, user_id, captured_ms, album, latitude, longitude) with the number of each capture's event.
+
+    A capture that comes behind a later one of its key belongs to no event that is still open: it is given with ``late``
+    and without a number, so that a reader can count such rows or compile their owner anew. With ``idle_ms`` the state of
+    a key that has been silent for so long is dropped, and its numbers begin again at 1; a stream with it runs on, so it is
+    not for the ``availableNow`` trigger.
+    """
+    kind = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return captures.where("captured_ms is not null").groupBy("user_id").applyInPandasWithState(_step(idle_ms), OUT, STATE, "append", kind)
