@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import checkpointed
 
@@ -89,17 +93,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def cosine(vectors: DataFrame, query: Sequence[float], column: str = "embedding") -> DataFrame:
-    """Cosine of each vector with a query; vectors that are null, of another length, zero or not finite have none."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    length = sum(x * x for x in query) ** 0.5
-    size = F.size(column) == len(query)
-    scored = vectors.where(size).withColumn("norm", norm(F.col(column))).where("norm > 0 and norm < double('Infinity')")
-    return scored.withColumn("score", dot(F.col(column), q) / (F.col("norm") * length)).drop("norm")
+    """Cosine of each vector with a query, in blocks; vectors that are null, of another length, zero or not finite have none.
+
+    All columns of ``vectors`` go along, so it should hold those that are wanted.
+    """
+    q = np.asarray(query, np.float64)
+    length, at = float(np.sqrt(q @ q)), vectors.columns.index(column)
+    schema = T.StructType([*vectors.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sized = pa.compute.equal(pa.compute.list_value_length(batch.column(at)), len(q)).fill_null(False)
+            part = batch.filter(sized)
+            block = part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            norm = np.sqrt(np.einsum("ij,ij->i", block, block))
+            ok = (norm > 0) & np.isfinite(norm) & (length > 0)
+            score = (block[ok] @ q) / (norm[ok] * length)
+            yield pa.RecordBatch.from_arrays([*part.filter(pa.array(ok)).columns, pa.array(score)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema)
 
 
 def search_variants(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int, threshold: float) -> DataFrame:
