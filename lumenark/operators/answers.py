@@ -76,11 +76,20 @@ def compare_groups(items: DataFrame, key: str, n: int = 2) -> DataFrame:
     return out.orderBy(F.desc("items"), "_at").limit(n).drop("_at")
 
 
-def compare_scopes(items: DataFrame, scopes: list[str], fields: tuple[str, ...] = ("location", "album", "title", "filename", "description")) -> DataFrame:
-    """Asked scopes in their order, the first two that have items; an item may be in several."""
-    text = F.lower(F.concat_ws("\u001f", *fields, F.array_join("tags", "\u001f")))
+def compare_scopes(items: DataFrame, scopes: list[str], fields: tuple[str, ...] = ("location", "album", "title", "filename", "description"), events: DataFrame | None = None) -> DataFrame:
+    """Asked scopes in their order, the first two that have items; an item may be in several.
+
+    With ``events`` (event_id, title, location, search_text) an item is also in the scopes that its event (``event_id``) names; a
+    scope is looked for once in an event, whatever its number of items.
+    """
     named = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("scope")) for i, s in enumerate(scopes)])
-    hits = items.select("id", "captured_ms", F.explode(F.filter(named, lambda s: text.contains(F.lower(F.trim(s["scope"]))))).alias("s"))
+    holding = lambda text: F.filter(named, lambda s: text.contains(F.lower(F.trim(s["scope"]))))
+    own = holding(F.lower(F.concat_ws("\u001f", *fields, F.array_join("tags", "\u001f"))))
+    if events is not None:
+        theirs = events.select("event_id", holding(F.lower(F.concat_ws("\u001f", "title", "location", "search_text"))).alias("_theirs"))
+        items = items.join(theirs, "event_id", "left")
+        own = F.array_union(own, F.coalesce("_theirs", F.array().cast("array<struct<place:int,scope:string>>")))
+    hits = items.select("id", "captured_ms", F.explode(own).alias("s"))
     out = hits.groupBy("s.place", "s.scope").agg(F.count_distinct("id").alias("items"), F.min("captured_ms").alias("first_ms"), F.max("captured_ms").alias("last_ms"))
     return out.orderBy("place").limit(2).drop("place")
 

@@ -34,6 +34,17 @@ def summary(queries: DataFrame) -> DataFrame:
     return s.select("macro_precision", "macro_recall", "macro_f1", F.col("macro_rr").alias("mrr"), p.alias("micro_precision"), r.alias("micro_recall"), f1(p, r).alias("micro_f1"))
 
 
+def by_language(asked: DataFrame, k: int = 5) -> DataFrame:
+    """(lang, recall, mrr) of questions (concept, lang, rank of the wanted item or null): the share found within k, and the mean reciprocal rank."""
+    return asked.groupBy("lang").agg(F.avg((F.coalesce("rank", F.lit(k + 1)) <= k).cast("double")).alias("recall"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+
+
+def rank_spread(asked: DataFrame) -> DataFrame:
+    """(concept, spread): between the best and the worst rank of what is asked in several languages; null if one of them doesn't find it."""
+    out = asked.groupBy("concept").agg(F.max("rank").alias("worst"), F.min("rank").alias("best"), F.count_if(F.col("rank").isNull()).alias("lost"))
+    return out.select("concept", F.when(F.col("lost") == 0, F.col("worst") - F.col("best")).alias("spread"))
+
+
 def nearest_rank(values: DataFrame, column: str, fractions: list[float]) -> DataFrame:
     """Nearest-rank percentiles, exact: the values stay in their partitions."""
     return values.agg(*[F.expr(f"percentile_disc({f}) WITHIN GROUP (ORDER BY {column})").alias(f"p{round(f * 100)}") for f in fractions])

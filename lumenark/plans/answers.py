@@ -73,6 +73,19 @@ def compare_scopes(spark, sf_dir) -> DataFrame:
     return A.compare_scopes(media(spark, sf_dir), ["no such place", "src7", "nation_3", "src1"])
 
 
+@query(f"""WITH {MEDIA_SQL}, ev AS (SELECT user_id AS event_id, 'Visit ' || user_id % 5 AS title, 'Hall ' || user_id % 7 AS location, string_agg(DISTINCT event_type, ' ') AS search_text FROM events GROUP BY user_id),
+    s AS (SELECT * FROM (VALUES (0, 'visit 99'), (1, 'hall 3'), (2, 'src7')) t(place, scope)),
+    h AS (SELECT s.place, s.scope, m.id, m.captured_ms FROM s, media m LEFT JOIN ev ON ev.event_id = m.id % 40 WHERE contains(lower(concat_ws(chr(31), m.location, m.album, m.title, m.filename, m.description, array_to_string(m.tags, chr(31)))), s.scope)
+      OR coalesce(contains(lower(concat_ws(chr(31), ev.title, ev.location, ev.search_text)), s.scope), false))
+    SELECT scope, count(DISTINCT id) AS items, min(captured_ms) AS first_ms, max(captured_ms) AS last_ms FROM h GROUP BY place, scope ORDER BY place LIMIT 2""")
+def compare_scopes_of_events(spark, sf_dir) -> DataFrame:
+    """Scopes that are found in the events of items; that an item belongs to the event of its number modulo 40 is synthetic."""
+    u = F.col("user_id")
+    ev = load(spark, sf_dir, "events").groupBy(u.alias("event_id")).agg(F.array_join(F.collect_set("event_type"), " ").alias("search_text"))
+    ev = ev.select("event_id", F.concat(F.lit("Visit "), (F.col("event_id") % 5).cast("string")).alias("title"), F.concat(F.lit("Hall "), (F.col("event_id") % 7).cast("string")).alias("location"), "search_text")
+    return A.compare_scopes(media(spark, sf_dir).withColumn("event_id", F.col("id") % 40), ["visit 99", "hall 3", "src7"], events=ev)
+
+
 @query("""SELECT o_orderkey AS media_id, 'P' || l_returnflag AS entity_type, l_linenumber AS fact_id, l_discount AS confidence FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_discount DESC, l_linenumber, l_extendedprice) AS r FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE r = 1""")
 def first_fact_per_doc(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.ids import retry_delay_ms, status_after_failure
 from ..operators import ingest as G
 from ..operators import metrics as M
 from ..registry import query
-from ..sources.tables import epoch_ms, load
+from ..sources.tables import epoch_ms, load, year_range
 from .answers import STAGE_SQL, stage_rows
 
 NOW = 1_705_000_000_000
@@ -267,3 +267,35 @@ def chunk_completion_fence(spark, sf_dir) -> DataFrame:
     q = queue(spark, sf_dir)
     chunks = q.select(F.col("id").alias("chunk_id"), "status", "owner", "lease_ms", version(3))
     return G.versioned_completion(chunks, q.select(F.col("id").alias("chunk_id"), F.lit("w1").alias("owner"), version(2)), NOW).select("chunk_id", "status")
+
+
+ASKED_SQL = """asked AS (SELECT l_orderkey AS concept, ['en', 'hi', 'mixed'][l_linenumber % 3 + 1] AS lang, CASE WHEN l_suppkey % 9 > 0 THEN l_partkey % 12 + 1 END AS rank FROM lineitem)"""
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """Lines stand for questions: an order is asked for in several languages, and found at a rank, or not."""
+    lang = F.element_at(F.array(F.lit("en"), F.lit("hi"), F.lit("mixed")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("concept"), lang.alias("lang"), F.when(F.col("l_suppkey") % 9 > 0, F.col("l_partkey") % 12 + 1).alias("rank"))
+
+
+@query(f"WITH {ASKED_SQL} SELECT lang, round(avg((coalesce(rank, 6) <= 5)::INT), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM asked GROUP BY lang")
+def recall_by_language(spark, sf_dir) -> DataFrame:
+    return M.by_language(asked(spark, sf_dir)).select("lang", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
+
+
+@query(f"WITH {ASKED_SQL} SELECT concept, CASE WHEN count(*) = count(rank) THEN max(rank) - min(rank) END AS spread FROM asked GROUP BY concept")
+def language_rank_spread(spark, sf_dir) -> DataFrame:
+    return M.rank_spread(asked(spark, sf_dir))
+
+
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders), r AS (SELECT year, epoch_ms(make_timestamp(year, 1, 1, 0, 0, 0.0)) - 19800000 AS start_ms, epoch_ms(make_timestamp(year + 1, 1, 1, 0, 0, 0.0)) - 19800000 AS end_ms FROM y)
+    SELECT year, start_ms, end_ms, count(o_orderkey) AS items FROM r LEFT JOIN orders ON epoch_ms(o_orderdate::TIMESTAMP) >= start_ms AND epoch_ms(o_orderdate::TIMESTAMP) < end_ms GROUP BY ALL""")
+def calendar_years(spark, sf_dir) -> DataFrame:
+    """Orders of each calendar year of a clock in India, five and a half hours ahead."""
+    o = load(spark, sf_dir, "orders")
+    start, end = year_range(F.col("year"), "Asia/Kolkata")
+    years = o.select(F.year("o_orderdate").alias("year")).distinct().select("year", start.alias("start_ms"), end.alias("end_ms"))
+    ms = epoch_ms("o_orderdate")
+    local = F.year(F.from_utc_timestamp(F.timestamp_millis(ms), "Asia/Kolkata"))  # an equi-join: the year of the same clock
+    n = o.groupBy(local.alias("year")).agg(F.count("*").alias("items"))
+    return years.join(n, "year", "left").select("year", "start_ms", "end_ms", F.coalesce("items", F.lit(0).cast("long")).alias("items"))

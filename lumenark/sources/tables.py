@@ -21,6 +21,12 @@ def epoch_ms(ts) -> "F.Column":
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp")) / 1000).cast("long")
 
 
+def year_range(year: "F.Column", zone: str = "UTC") -> tuple["F.Column", "F.Column"]:
+    """Milliseconds at which a calendar year begins in a zone, and at which the next one does."""
+    begin = lambda y: F.unix_millis(F.make_timestamp(y, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit(zone)))
+    return begin(year), begin(year + 1)
+
+
 MEDIA_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType()), T.StructField("filename", T.StringType()), T.StructField("title", T.StringType()), T.StructField("description", T.StringType()),
