@@ -10,7 +10,8 @@ The slices feed a cache from pre-token to ids; on a miss the lowest-ranked adjac
 Ids keep the byte offset of each token, so ids decode to bytes and to slices of the text.
 
 Defined results: null texts are empty and have no ids; lone surrogates cannot occur in UTF-8 columns; any other text
-round-trips exactly; repeated rows are each returned.
+round-trips exactly, whatever its length; of equal ranks of adjacent pairs the leftmost merges first; repeated rows are each
+returned; an empty table gives an empty result; columns beyond the named ones are ignored.
 """
 
 from __future__ import annotations

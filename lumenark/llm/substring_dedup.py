@@ -15,7 +15,9 @@ are compared with all documents, not with one partner, so no repeat is lost.
 Exact copies of a document are set aside first: all but the smallest lose every word if there is a window at all.
 
 Defined results: null texts have no words; texts of fewer than 50 words lose none; rows that repeat an id (with its text)
-are returned as often, and do not count as copies of each other; rows with a null id are neither sources nor cut.
+are returned as often, and do not count as copies of each other (of an id with several texts one is looked at for windows);
+rows with a null id are neither sources nor cut; texts of any length are read whole; an empty table gives an empty result;
+columns beyond the named ones are ignored.
 """
 
 from __future__ import annotations
