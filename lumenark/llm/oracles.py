@@ -66,4 +66,33 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op11_importance_resampling": r"""
+        WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        dw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
+        bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+        vocabulary AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+        coded AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]))) % 10000 AS bucket FROM vocabulary, tab),
+        raw AS (SELECT bucket, sum(n) AS s FROM dw JOIN coded USING (word) GROUP BY bucket),
+        target AS (SELECT bucket, sum(n) AS t FROM bw JOIN coded USING (word) GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM raw), 0) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM target), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM raw FULL JOIN target USING (bucket)),
+        weight AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN coded USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+        scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weight USING (doc_id)),
+        ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranked
+    """,
+    "op13_source_mix": r"""
+        WITH k AS (SELECT doc_id, avg(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            -ln((('0x' || md5('2024:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / (1 + 3 * coalesce(quality, 0.5::DOUBLE)) AS key FROM documents LEFT JOIN k USING (doc_id)),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT source, source_size, 2 * source_size AS most, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+        l AS (SELECT *, (150 * (SELECT sum(source_size) FROM s) / 100::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY most / weight, source)),
+        t AS (SELECT source, source_size, least(most::DOUBLE, weight * (SELECT level FROM l WHERE weight * level <= most ORDER BY most / weight, source LIMIT 1)) AS target FROM w),
+        r AS (SELECT doc_id, size, source_size, target, floor(target / source_size)::BIGINT AS whole, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+        SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN size * (whole + (size > 0 AND 2 * before + size <= 2 * (target - whole * source_size))::BIGINT) ELSE 0 END::BIGINT AS taken FROM r
+    """,
 }
