@@ -15,7 +15,9 @@ is the least at which the estimated labels of what is added are right in ``PRECI
 
 Positions come from splitting a text at the matches of the pattern: gaps and matches alternate, so their lengths add up to
 the places of the matches, in code points, end exclusive. Patterns take possessive repeats and look back where a start
-within a failed run cannot match, so that matching is linear in the text. All is done within a row: a repeated row is
+within a failed run cannot match, so that matching is linear in the text. So is what follows: running sums and choices hand
+a state on in chunks (``scanned``), overlaps are seen from the furthest end before and the next start behind, and parts of
+a text are cut out of its pieces (``pages``). All is done within a row: a repeated row is
 returned as often, and no row is joined with another.
 
 Defined results: null and empty texts have no spans; an empty table gives an empty result; a text of any length is read
@@ -79,23 +81,63 @@ LABELERS = ("checked", "gazetteer", "against", "shape", "bounded")
 #: The classifier's own features, and how many values each has; after them come votes (0, 1, 2), of the check only that it failed.
 OWN = (("digits", 7), ("separators", 4), ("opening", 4), ("leading", 5), ("grouping", 3), ("before", 3), ("after", 3))
 CONTEXT, PRECISION, STEPS = 40, 0.9, 25
+#: Items that are appended one by one, and code points of a piece of text.
+CHUNK, PAGE = 64, 256
 
 
-def places(text: Column, pattern: str) -> Column:
-    """Matches of a pattern, leftmost and without overlap: array of (start, end, value)."""
-    p = F.lit(pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a column that a function's body names would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(items: Column, state: Column, kind: str, step) -> Column:
+    """What ``step``, (state, item) to (state, array of ``kind``), gives over the items in order, with the state handed on.
+
+    Appending copies what there is, so it is done within chunks, and chunks are appended as wholes.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return once(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def over(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda i: F.slice(all_, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(all_) == 0, none).otherwise(F.aggregate(parts, F.struct(state.alias("state"), nones.alias("out")), chunk, lambda acc: F.flatten(acc["out"])))
+
+    return once(items, over)
+
+
+def pages(text: Column) -> Column:
+    """The text in pieces of ``PAGE`` code points: a part of it is found without reading the text from its start."""
+    return F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % PAGE), F.lit(0))
+
+
+def part(pages_: Column, start: Column, n: Column) -> Column:
+    """``n`` code points from ``start`` (0 is the first)."""
+    first = F.floor(start / PAGE).cast("int")
+    joined = F.array_join(F.slice(pages_, first + 1, F.floor((start + n) / PAGE).cast("int") - first + 1), "")
+    return F.when((n > 0) & (first < F.size(pages_)), F.substring(joined, start - first * PAGE + 1, n)).otherwise("")
+
+
+def matched(text: Column, pattern: str) -> Column:
+    """Matches of a pattern, leftmost and without overlap: array of (skip, n, value), code points before and in each."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return once(found, lambda f: F.zip_with(F.slice(gaps, F.lit(1), F.size(f)), f, lambda gap, value: F.struct(F.length(gap).alias("skip"), F.length(value).alias("n"), value.alias("value"))))
+
+
+def places(matches: Column, source: Column) -> Column:
+    """Matches with their places: array of (source, start, end, value)."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["skip"]
+        return start + x["n"], F.array(F.struct(source.alias("source"), start.alias("start"), (start + x["n"]).alias("end"), x["value"].alias("value")))
+
+    return scanned(matches, F.lit(0), "struct<source:int,start:int,end:int,value:string>", step)
 
 
 def passes(kind: str, value: Column) -> Column:
@@ -120,17 +162,21 @@ def _code(digits: list[tuple[Column, int]]) -> Column:
     return reduce(lambda code, d: code * d[1] + d[0], reversed(digits), F.lit(0)).cast("int")
 
 
-def _votes(kind: str, value: Column, before: Column, after: Column, strict: bool) -> Column:
+def _by_kind(kind: Column, of) -> Column:
+    """``of`` the name of the kind with this number."""
+    return reduce(lambda out, k: F.when(kind == k, of(KINDS[k])).otherwise(out), reversed(range(len(KINDS) - 1)), of(KINDS[-1]))
+
+
+def _votes(kind: Column, value: Column, before: Column, after: Column, checked: Column) -> Column:
     """The labelers' votes: in base 3 by LABELERS; 0 abstains, 1 is for, 2 against."""
     last = F.right(before, F.lit(1))
     vote = lambda yes, no: F.when(no, 2).when(yes, 1).otherwise(0)
-    no = F.lit(False)
-    checked = vote(passes(kind, value), ~passes(kind, value)) if strict or kind == "card" else F.lit(0)
-    usual = value.rlike(USUAL[kind])
+    none = F.lit(False)
+    usual = _by_kind(kind, lambda k: value.rlike(USUAL[k]))
     votes = [
         checked,
-        vote(before.rlike(GAZETTEER[kind]), no),
-        vote(no, before.rlike(AGAINST[kind])),
+        vote(_by_kind(kind, lambda k: before.rlike(GAZETTEER[k])), none),
+        vote(none, _by_kind(kind, lambda k: before.rlike(AGAINST[k]))),
         vote(usual, ~usual),
         vote((last == "") | last.rlike(r"[\s(<\[\"':,;]"), (last != "") & last.rlike(r"[\w=/#$]") | after.rlike(r"\w")),
     ]
@@ -154,15 +200,20 @@ def _own(value: Column, before: Column, after: Column) -> Column:
     return _code([(v, size) for v, (_, size) in zip(values, OWN, strict=True)])
 
 
-def _candidate(number: int, kind: str, text: Column, strict: bool):
+def _candidate(pages_: Column):
+    """A match as a candidate span; sources are the kinds, each strict and loose."""
+
     def of(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        after = F.substring(text, s["end"] + 1, F.lit(1))
-        passed = passes(kind, s["value"]) if strict else F.lit(False)
-        votes, own = _votes(kind, s["value"], before, after, strict), _own(s["value"], before, after)
-        return F.struct(
-            F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(strict).alias("strict"), passed.alias("passed"), votes.alias("votes"), own.alias("own"),
-        )
+        kind, strict = F.floor(s["source"] / 2).cast("int"), s["source"] % 2 == 0
+        before = part(pages_, F.greatest(s["start"] - CONTEXT, F.lit(0)), F.least(s["start"], F.lit(CONTEXT)))
+        passed = F.when(strict | (kind == KINDS.index("card")), _by_kind(kind, lambda k: passes(k, s["value"])))
+
+        def judged(c: Column) -> Column:
+            checked = F.when(c["passed"].isNull(), 0).when(c["passed"], 1).otherwise(2)
+            votes, own = _votes(kind, s["value"], c["before"], c["after"], checked), _own(s["value"], c["before"], c["after"])
+            return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), strict.alias("strict"), (strict & c["passed"]).alias("passed"), votes.alias("votes"), own.alias("own"))
+
+        return once(F.struct(before.alias("before"), part(pages_, s["end"], F.lit(1)).alias("after"), passed.alias("passed")), judged)
 
     return of
 
@@ -170,15 +221,19 @@ def _candidate(number: int, kind: str, text: Column, strict: bool):
 def candidates(text: Column) -> Column:
     """All candidate spans of a text: array of (kind, start, end, strict, passed, votes, own), by kind and start."""
     text = F.coalesce(text, F.lit(""))
+    no_match = F.array().cast("array<struct<skip:int,n:int,value:string>>")
     kind_of = "array<struct<kind:int,start:int,end:int,strict:boolean,passed:boolean,votes:int,own:int>>"
-    empty = F.array().cast(kind_of)
-    found = []
-    for number, kind in enumerate(KINDS):
-        for patterns, hints, strict in ((STRICT, HINTS, True), (LOOSE, LOOSE_HINTS, False)):
-            hint = text.contains(hints[kind]) if len(hints[kind]) == 1 else text.rlike(hints[kind])
-            spans = F.transform(places(text, patterns[kind]), _candidate(number, kind, text, strict))
-            found.append(F.when(hint, spans.cast(kind_of)).otherwise(empty))
-    return F.array_sort(F.concat(*found))
+    sources = []
+    for kind in KINDS:
+        for pattern, hint in ((STRICT[kind], HINTS[kind]), (LOOSE[kind], LOOSE_HINTS[kind])):
+            sources.append(F.when(text.contains(hint) if len(hint) == 1 else text.rlike(hint), matched(text, pattern)).otherwise(no_match))
+    found = F.flatten(F.transform(F.array(*sources), lambda matches, source: places(matches, source)))
+
+    def judged(at: Column) -> Column:
+        some = once(pages(text), lambda p: F.transform(at, _candidate(p))).cast(kind_of)
+        return F.when(F.size(at) == 0, F.array().cast(kind_of)).otherwise(F.array_sort(some))
+
+    return once(found, judged)
 
 
 @dataclass
@@ -200,7 +255,7 @@ class Model:
         digits += [F.pmod(F.floor(votes / 3**i), F.lit(3)) for i in range(len(LABELERS))]
         digits[len(OWN)] = F.when(digits[len(OWN)] == 2, 2).otherwise(0)  # of the check only that it failed
         for k, tables in self.weights.items():
-            z = reduce(lambda z, x: z + F.element_at(F.array(*map(F.lit, x[0])), x[1].cast("int") + 1), zip(tables, digits, strict=True), F.lit(self.bias[k]))
+            z = reduce(lambda z, x: z + F.element_at(F.expr(f"array({', '.join(f'{w!r}D' for w in x[0])})"), x[1].cast("int") + 1), zip(tables, digits, strict=True), F.lit(self.bias[k]))
             out = F.when(kind == k, 1 / (1 + F.exp(-z)) >= self.thresholds[k]).otherwise(out)
         return out
 
@@ -317,13 +372,34 @@ SPAN = "struct<start:int,kind:int,end:int>"
 
 def spans(found: Column, model: Model) -> Column:
     """Base spans and those that the classifier adds: array of (kind, start, end, base), by kind and start."""
-    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    base = F.filter(found, lambda c: c["passed"])
-    wanted = F.filter(found, lambda c: ~c["passed"] & (c["votes"] % 3 != 2) & model.wanted(c["kind"], c["votes"], c["own"]) & ~F.exists(base, lambda b: overlap(b, c)))
-    wanted = F.array_sort(F.transform(wanted, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
-    added = F.aggregate(wanted, F.array().cast(f"array<{SPAN}>"), lambda acc, c: F.when(F.exists(acc, lambda b: overlap(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    one = lambda base: lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"))
-    return F.array_sort(F.concat(F.transform(base, one(True)), F.when(F.size(wanted) > 0, F.transform(added, one(False))).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,base:boolean>>"))))
+    kind_of, span = "struct<kind:int,start:int,end:int,base:boolean>", lambda c, base: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"))
+    usable = F.filter(found, lambda c: c["passed"] | (c["votes"] % 3 != 2) & model.wanted(c["kind"], c["votes"], c["own"]))
+    # by start; at one start base spans first
+    ordered = F.array_sort(F.transform(usable, lambda c: F.struct(c["start"].alias("start"), (~c["passed"]).alias("added"), c["kind"].alias("kind"), c["end"].alias("end"))))
+
+    def forward(end: Column, c: Column) -> tuple[Column, Column]:
+        """Whether a base span that began before, or here, reaches beyond the start."""
+        base = ~c["added"]
+        return F.when(base, F.greatest(end, c["end"])).otherwise(end), F.array(base | (end <= c["start"]))
+
+    def backward(start: Column, c: Column) -> tuple[Column, Column]:
+        """Whether a base span begins before the end."""
+        base = ~c["added"]
+        return F.when(base, c["start"]).otherwise(start), F.array(base | (start >= c["end"]))
+
+    def greedy(end: Column, c: Column) -> tuple[Column, Column]:
+        """Those that do not overlap what was added before."""
+        fits = c["start"] >= end
+        return F.when(fits, c["end"]).otherwise(end), F.when(fits, F.array(span(c, False)).cast(f"array<{kind_of}>")).otherwise(F.array().cast(f"array<{kind_of}>"))
+
+    def chosen(all_: Column) -> Column:
+        free = F.zip_with(scanned(all_, F.lit(0), "boolean", forward), F.reverse(scanned(F.reverse(all_), F.lit(2147483647), "boolean", backward)), lambda a, b: a & b)
+        base = F.transform(F.filter(all_, lambda c: ~c["added"]), lambda c: span(c, True)).cast(f"array<{kind_of}>")
+        open_ = F.filter(F.zip_with(all_, free, lambda c, ok: F.when(ok & c["added"], c)), lambda c: c.isNotNull())
+        added = F.when(F.exists(all_, lambda c: c["added"]), scanned(open_, F.lit(0), kind_of, greedy)).otherwise(F.array().cast(f"array<{kind_of}>"))
+        return F.array_sort(F.concat(base, added))
+
+    return once(ordered, chosen)
 
 
 def _joined(spans_: Column) -> Column:
@@ -348,14 +424,21 @@ def redacted(text: Column, spans_: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
     names = F.array(*map(lambda k: F.lit(f"[{k.upper()}]"), KINDS))
     ordered = F.array_sort(F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    pieces = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))).alias("out"))
-        ),
-    )
-    return F.when(F.size(spans_) == 0, text).otherwise(F.concat(F.array_join(pieces["out"], ""), F.substring(text, pieces["at"] + 1, F.lit(2147483647))))
+
+    def cut(all_: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            later = s["start"] < at
+            piece = F.struct(at.alias("at"), (s["start"] - at).alias("n"), s["kind"].alias("kind"))
+            return F.when(later, at).otherwise(s["end"]), F.when(later, F.array().cast(f"array<{piece_of}>")).otherwise(F.array(piece).cast(f"array<{piece_of}>"))
+
+        piece_of = "struct<at:int,n:int,kind:int>"
+        end = F.array(F.struct(F.lit(2147483647).alias("start"), F.lit(2147483647).alias("end"), F.lit(-1).alias("kind")))  # the rest of the text
+        pieces = scanned(F.concat(all_, end), F.lit(0), piece_of, step)
+        n = F.length(text)
+        whole = lambda p: F.transform(pieces, lambda x: F.concat(part(p, x["at"], F.when(x["kind"] < 0, n - x["at"]).otherwise(x["n"])), F.when(x["kind"] < 0, "").otherwise(F.element_at(names, x["kind"] + 1))))
+        return F.array_join(once(pages(text), whole), "")
+
+    return F.when(F.size(spans_) == 0, text).otherwise(once(ordered, cut))
 
 
 def redact_documents(documents: DataFrame) -> DataFrame:

@@ -182,3 +182,28 @@ def test_redaction(docs):
     got = {r.doc_id: r for r in redact_documents(out).collect()}
     assert [got[i].text for i in (1, 2, 3, 4)] == ["write [EMAIL] or [PHONE] now é", "clean", None, "[CARD]"]
     assert got[1].n_chars == len(got[1].text) and got[1].candidates == "y" and redact_documents(out).columns == out.columns
+
+
+def test_long_texts_full_of_matches(spark):
+    rng = random.Random(9)
+    some = lambda i: rng.choice([f"user{i}@mail{i % 7}.example.org", f"+1 415 555 {i % 10_000:04d}", f"10.0.{i % 256}.{i % 300}", "4111 1111 1111 1111", f"ann{i} [at] example [dot] org", f"+49 {i} 3333 4444.", "x"])
+    short = [" ".join(some(j) for j in range(n)) for n in (1, 2, 63, 64, 65, 200)]
+    long = "\n".join(some(j) + rng.choice(["", "\N{GRINNING FACE}é", "--"]) for j in range(6_000))
+    rows = [*enumerate(short), (100, long), (101, "+" * 3_000 + "@" * 300_000), (102, "x@y.z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in private_spans(df).collect()}
+    alike = private_spans(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.spans for r in alike.collect()} == {i: r.spans for i, r in got.items()}
+    clean = {r.doc_id: r.text for r in redact_documents(df).collect()}
+    for doc_id, text in rows:
+        spans = [(a, b, k) for k, a, b in (x.split(":") for x in got[doc_id].spans.split(",") if x)]
+        ordered = sorted((int(a), int(b), KINDS.index(k)) for a, b, k in spans)
+        out, at = [], 0
+        for a, b, k in ordered:
+            if a >= at:
+                out += [text[at:a], f"[{KINDS[k].upper()}]"]
+                at = b
+        assert clean[doc_id] == "".join(out) + text[at:], doc_id
+        emails = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        assert got[doc_id].n_email == len(emails) and set(emails) <= {(a, b) for a, b, k in ordered if k == 0}
+    assert got[100].n_email > 800 and got[100].n_phone > 800
