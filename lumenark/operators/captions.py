@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .components import checkpointed
+from .ordering import running_totals
 from .retrieval import CONTEXTUAL, DIRECT, RRF_K, tokens
 
 VARIANTS, TERMS, LIMIT = 8, 16, 500
@@ -106,11 +108,10 @@ def matches(chunks: DataFrame, queries: Sequence[str], text: str = "text") -> Da
 
 def fused_variants(scores: DataFrame, limit: int = LIMIT, digits: int = 9) -> DataFrame:
     """(id, score, best): reciprocal rank fusion over variants of the best score of each item in each; ties by id."""
-    best = scores.groupBy("variant", "id").agg(F.round(F.max("score"), digits).alias("raw"))
-    # an item beyond this place in every variant cannot be among the first ``limit``
-    place = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("raw"), "id"))
-    placed = best.withColumn("place", place).where(F.col("place") <= VARIANTS * (limit + RRF_K))
-    out = placed.groupBy("id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("place"))), digits).alias("score"), F.max("raw").alias("best"))
+    best = written(scores.groupBy("variant", "id").agg(F.round(F.max("score"), digits).alias("raw")), "best")
+    # places are counted over ranges: a variant may hit any share of all items, and an item's term counts however far down it is
+    placed = running_totals(best, [F.desc("raw"), F.col("id")], group="variant")
+    out = placed.groupBy("id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("before") + 1)), digits).alias("score"), F.max("raw").alias("best"))
     return out.orderBy(F.desc("score"), "id").limit(limit)
 
 

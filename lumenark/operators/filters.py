@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Words of document-like names.
 DOCUMENT_WORDS = ("receipt", "invoice", "document", "ticket", "boarding", "menu", "screenshot", "wifi", "confirmation")
+#: Words of labels, and of file names beside them, that the recognition gate looks for.
+LABEL_WORDS = ("receipt", "invoice", "document", "menu", "ticket", "boarding", "pass", "form", "text", "screen")
+NAME_WORDS = (*LABEL_WORDS, "screenshot", "screen_shot", "wifi", "calendar", "confirmation")
 #: Fixed value: names of screen captures, on text whose other characters are blanks.
 SCREENSHOT = r"\b(?:screenshots?|screen\s+shots?|screen\s+captures?)\b"
 
@@ -133,10 +136,10 @@ def evidence_allowed(event_intent: bool) -> Column:
 
 def text_likelihood(edge_density: Column | None = None) -> Column:
     """Score of the recognition gate: file name 4, label 3, screen geometry 1, edges 2; PDFs 100. Recognise from 3."""
-    label = F.exists("tags", lambda t: F.lower(t).rlike("|".join(w for w in DOCUMENT_WORDS if w not in ("screenshot", "wifi", "confirmation"))))
+    label = F.exists("tags", lambda t: F.lower(t).rlike("|".join(LABEL_WORDS)))
     longer, shorter = F.greatest("width", "height", F.lit(1)), F.greatest(F.least("width", "height"), F.lit(1))
     screen = (longer / shorter).between(1.45, 2.4) & (F.col("width") * F.col("height") >= 700_000)
-    score = F.when(F.lower("filename").rlike("|".join((*DOCUMENT_WORDS, "screen_shot", "calendar"))), 4).otherwise(0) + F.when(label, 3).otherwise(0) + F.when(screen, 1).otherwise(0)
+    score = F.when(F.lower("filename").rlike("|".join(NAME_WORDS)), 4).otherwise(0) + F.when(label, 3).otherwise(0) + F.when(screen, 1).otherwise(0)
     if edge_density is not None:
         score += F.when(edge_density >= 0.16, 2).otherwise(0)
     return F.when(F.col("kind") == "PDF", 100).otherwise(score)

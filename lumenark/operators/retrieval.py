@@ -126,11 +126,18 @@ def search_variants(vectors: DataFrame, queries: dict[str, Sequence[float]], k:
 
 
 def fuse(ranked: DataFrame, weights: DataFrame | None = None, k: int = RRF_K) -> DataFrame:
-    """Weighted reciprocal rank fusion of ``ranked`` (channel, id, score): each channel is bounded by its top-k before."""
+    """Weighted reciprocal rank fusion of ``ranked`` (channel, id, score): each channel is bounded by its top-k before.
+
+    A channel without a weight, or with a negative one, is an error.
+    """
     once = ranked.groupBy("channel", "id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), F.asc("id")))
     placed = once.withColumn("rank", place)
-    placed = placed.withColumn("weight", F.lit(1.0)) if weights is None else placed.join(F.broadcast(weights), "channel")
+    if weights is None:
+        placed = placed.withColumn("weight", F.lit(1.0))
+    else:
+        wrong = F.raise_error(F.concat(F.lit("no weight of at least 0 for the channel "), F.col("channel")))
+        placed = placed.join(F.broadcast(weights), "channel", "left").withColumn("weight", F.when(F.col("weight") >= 0, F.col("weight")).otherwise(wrong))
     return placed.groupBy("id").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"))
 
 

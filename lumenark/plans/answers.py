@@ -145,7 +145,7 @@ def coverage_matrix(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {MEDIA_SQL} SELECT count(*) AS items, count(*) FILTER (kind = 'IMAGE') AS images, count(*) FILTER (kind = 'VIDEO') AS videos, count(*) FILTER (kind = 'PDF') AS documents, count(captured_ms) AS timed,
     count(quality) AS rated, count(*) FILTER (trim(text) <> '') AS with_text, count(DISTINCT CASE WHEN quality >= 1 THEN album END) AS good_albums, min(captured_ms) AS first_ms, max(captured_ms) AS last_ms FROM media""")
-def index_summary(spark, sf_dir) -> DataFrame:
+def catalogue_summary(spark, sf_dir) -> DataFrame:
     n = lambda c: F.count_if(c)
     return media(spark, sf_dir).agg(
         F.count("*").alias("items"), n(F.col("kind") == "IMAGE").alias("images"), n(F.col("kind") == "VIDEO").alias("videos"), n(F.col("kind") == "PDF").alias("documents"), F.count("captured_ms").alias("timed"),
@@ -237,13 +237,19 @@ def access_states(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), A.access_coverage(F.col("o_orderkey") % 4 > 0, F.col("o_custkey") % 5, F.lit(3)).alias("access"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'PDF' ELSE 'IMAGE' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'receipt_1.jpg' WHEN 1 THEN 'calendar.png' ELSE 'img.jpg' END AS filename, CASE WHEN p_partkey % 3 = 0 THEN ['Receipt paper'] ELSE ['sky'] END AS tags, 900 + p_partkey % 7 * 100 AS width, 1600 + p_partkey % 11 * 100 AS height, p_size / 200.0::DOUBLE AS edges FROM part)
-    SELECT id, CASE WHEN kind = 'PDF' THEN 100 ELSE CASE WHEN filename <> 'img.jpg' THEN 4 ELSE 0 END + CASE WHEN tags[1] = 'Receipt paper' THEN 3 ELSE 0 END + CASE WHEN greatest(width, height, 1)::DOUBLE / greatest(least(width, height), 1) BETWEEN 1.45 AND 2.4 AND width * height >= 700000 THEN 1 ELSE 0 END + CASE WHEN edges >= 0.16 THEN 2 ELSE 0 END END AS score FROM p""")
+GATE_NAMES = ("receipt_1.jpg", "Invoice-7.png", "document.jpg", "MENU.jpg", "ticket.png", "boarding.jpg", "my_pass.jpg", "application_form.jpg", "text_scan.jpg", "touchscreen.jpg", "Screenshot_1.png", "screen_shot.png", "wifi.jpg", "calendar.png", "confirmation.jpg", "img.jpg", "IMG_2.png")
+GATE_TAGS = ("Receipt paper", "invoice", "documents", "menu card", "Ticket", "boarding gate", "passport", "platform", "texture", "screen", "sky", "wifi", "calendar")
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'PDF' ELSE 'IMAGE' END AS kind, lower({list(GATE_NAMES)}[p_partkey % {len(GATE_NAMES)} + 1]) AS filename, lower({list(GATE_TAGS)}[p_partkey % {len(GATE_TAGS)} + 1]) AS tag, 900 + p_partkey % 7 * 100 AS width, 1600 + p_partkey % 11 * 100 AS height, p_size / 200.0::DOUBLE AS edges FROM part)
+    SELECT id, CASE WHEN kind = 'PDF' THEN 100 ELSE CASE WHEN regexp_matches(filename, 'receipt|invoice|document|menu|ticket|boarding|pass|form|text|screen|screenshot|screen_shot|wifi|calendar|confirmation') THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(tag, 'receipt|invoice|document|menu|ticket|boarding|pass|form|text|screen') THEN 3 ELSE 0 END + CASE WHEN greatest(width, height, 1)::DOUBLE / greatest(least(width, height), 1) BETWEEN 1.45 AND 2.4 AND width * height >= 700000 THEN 1 ELSE 0 END + CASE WHEN edges >= 0.16 THEN 2 ELSE 0 END END AS score FROM p""")
 def recognition_gate(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
+    one_of = lambda names: F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
     p = load(spark, sf_dir, "part").select(
-        k.alias("id"), F.when(k % 5 == 0, "PDF").otherwise("IMAGE").alias("kind"), F.when(k % 4 == 0, "receipt_1.jpg").when(k % 4 == 1, "calendar.png").otherwise("img.jpg").alias("filename"),
-        F.array(F.when(k % 3 == 0, "Receipt paper").otherwise("sky")).alias("tags"), (k % 7 * 100 + 900).alias("width"), (k % 11 * 100 + 1600).alias("height"), (F.col("p_size") / 200.0).alias("edges"),
+        k.alias("id"), F.when(k % 5 == 0, "PDF").otherwise("IMAGE").alias("kind"), one_of(GATE_NAMES).alias("filename"),
+        F.array(one_of(GATE_TAGS)).alias("tags"), (k % 7 * 100 + 900).alias("width"), (k % 11 * 100 + 1600).alias("height"), (F.col("p_size") / 200.0).alias("edges"),
     )
     return p.select("id", P.text_likelihood(F.col("edges")).alias("score"))
 

@@ -14,6 +14,8 @@ def query(sql: str | None = None):
     """Register a function of (spark, sf_dir) under its name, with its oracle if SQL can express it."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
