@@ -7,7 +7,7 @@ sample without replacement); documents are sorted by key within their source, th
 and those whose middle lies within the rest of the budget are taken, whole. So a source misses its target by half a
 document at most, and a document is taken at most once more than there are epochs.
 
-The sums run over ranges of source and key (``ordering``): a source with a third of all words is spread over as many tasks as
+The sums run over ranges of source and key (``operators.ordering``): a source with a third of all words is spread over as many tasks as
 it needs. Sources may be many: their ranks and shares are computed on tables, and only sums come to the driver.
 
 Defined results: null and empty texts have the size 0 and are never taken; a null source is a source, the last one; the key
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import NOT_SPACE, blocks, word_bounds
-from .ordering import running_totals
+from ..operators.ordering import running_totals
 from .shared import written
 
 WEIGHTS, SHARE_PERCENT, EPOCHS, SEED = (3, 1, 2), 150, 2, 2024

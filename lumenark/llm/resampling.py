@@ -7,7 +7,7 @@ buckets' counts of all documents and of the target (as many rows as there are bu
 bucket a gain; the gains of a document's n-grams add up to its weight; Gumbel noise by the id turns the highest scores into
 a sample drawn in proportion to the weights, without replacement.
 
-Ranks come from ranges of the scores (``ordering``), so neither the driver nor a task holds all drawn documents.
+Ranks come from ranges of the scores (``operators.ordering``), so neither the driver nor a task holds all drawn documents.
 
 Defined results: null and empty texts have no words, no n-grams and the weight 0; texts of any length are read whole; a
 null id has the noise of an empty one and comes after the others among equal scores; rows that repeat an id have the same
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import running_totals
+from ..operators.ordering import running_totals
 from .shared import written
 
 BUCKETS, MIN_WORDS, PERCENT, SEED = 10_000, 20, 10, 2024
