@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ingest import KEPT_RESULT_SETS
+from . import commits
+from .shared import remove
+
 
 def write_metrics(metrics: DataFrame, folder: str) -> None:
     """A small table of metrics as JSON lines, as CSV and as Markdown."""
@@ -35,22 +41,35 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(c).cast(kinds[c]).alias(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in MEDIA_SCHEMA.names])
 
 
+def _session_folder(folder: str, session_id: str) -> str:
+    return f"{folder}/sessions/{hashlib.sha256(session_id.encode()).hexdigest()}"
+
+
 def append_result_set(hits: DataFrame, folder: str, session_id: str, set_id: int, created_ms: int, parent_id: int | None) -> bool:
-    """Ranked ids of a question, appended under its session if ``parent_id`` is still its latest set; False, and nothing written, if not.
+    """Ranked ids of a question, appended under its session if ``parent_id`` is still its latest set; False, and nothing kept, if not.
 
-    Readers keep the newest sets. One driver writes a session: the test and the append are no transaction between drivers.
+    The rows are written first, to a place of their own, and count once the session's next manifest names them. That is
+    created only where it is absent, so of drivers that follow one parent exactly one wins.
     """
-    spark = hits.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    latest = None
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        last = spark.read.parquet(folder).where(F.col("session_id") == session_id).agg(F.max_by("set_id", F.struct("created_ms", "set_id")).alias("s")).first()
-        latest = last.s
-    if latest != parent_id:
+    spark, session = hits.sparkSession, _session_folder(folder, session_id)
+    version, last = commits.latest(spark, session)
+    if (last["sets"][-1]["set_id"] if last else None) != parent_id:
         return False
-    meta = {"set_id": F.lit(set_id).cast("long"), "created_ms": F.lit(created_ms).cast("long"), "parent_id": F.lit(parent_id).cast("long"), "session_id": F.lit(session_id)}
-    hits.withColumns(meta).write.mode("append").partitionBy("session_id").parquet(folder)
-    return True
+    place = f"{folder}/sets/{uuid.uuid4().hex}"
+    meta = {"session_id": F.lit(session_id), "set_id": F.lit(set_id).cast("long"), "created_ms": F.lit(created_ms).cast("long"), "parent_id": F.lit(parent_id).cast("long")}
+    hits.withColumns(meta).write.parquet(place)
+    sets = [*(last["sets"] if last else []), {"set_id": set_id, "created_ms": created_ms, "parent_id": parent_id, "place": place}]
+    # readers keep the newest sets only
+    if commits.commit(spark, session, version + 1, {"session_id": session_id, "sets": sets[-KEPT_RESULT_SETS:]}):
+        return True
+    remove(spark, place)
+    return False
+
+
+def result_sets(spark: SparkSession, folder: str, session_id: str) -> DataFrame | None:
+    """The kept result sets of a session; None where it has none."""
+    last = commits.latest(spark, _session_folder(folder, session_id))[1]
+    return spark.read.parquet(*[s["place"] for s in last["sets"]]) if last else None
 
 
 def append_query_log(turns: DataFrame, folder: str, protect=None) -> None:

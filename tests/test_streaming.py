@@ -1,7 +1,7 @@
 """The streaming operator gives the batch operator's rows."""
 
 from lumenark.operators.events import sessionize
-from lumenark.sources.sinks import append_query_log, append_result_set, markdown, read_manifest, write_metrics, write_vectors
+from lumenark.sources.sinks import append_query_log, append_result_set, markdown, read_manifest, result_sets, write_metrics, write_vectors
 from lumenark.sources.tables import captures, load
 from lumenark.streaming.sessions import sessionized
 
@@ -54,6 +54,7 @@ def test_sinks(spark, sf_dir, tmp_path):
     assert append_result_set(v.select("id").limit(3), str(tmp_path / "r"), "s1", 1, 10, None)
     assert append_result_set(v.select("id").limit(2), str(tmp_path / "r"), "s1", 2, 20, 1)
     assert not append_result_set(v.select("id").limit(2), str(tmp_path / "r"), "s1", 3, 30, 1)  # 2 is the latest by now
-    assert spark.read.parquet(str(tmp_path / "r")).where("session_id = 's1'").count() == 5
+    assert result_sets(spark, str(tmp_path / "r"), "s1").groupBy("set_id").count().orderBy("set_id").collect() == [(1, 3), (2, 2)]
+    assert result_sets(spark, str(tmp_path / "r"), "s2") is None
     (tmp_path / "manifest.json").write_text('[{"id": 1, "title": "a", "tags": ["x"]}]')
     assert read_manifest(spark, str(tmp_path / "manifest.json")).first().title == "a"
