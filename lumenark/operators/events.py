@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.ids import signless_long
-from .components import checkpointed
+from .components import checkpointed, components
 
 HOUR = 3_600_000
 LONG_GAP, ALBUM_GAP, MOVE_GAP, MOVE_KM = 18 * HOUR, 45 * 60_000, 30 * 60_000, 100.0
@@ -60,33 +61,105 @@ def _grouped(sessions: DataFrame, by: Sequence[str]) -> DataFrame:
     return sessions.withColumn("grp", F.concat_ws(":", *[F.col(c).cast("string") for c in by], F.col("session").cast("string")))
 
 
-def corrected(sessions: DataFrame, corrections: Sequence[tuple], by: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Sessions after MERGE and SPLIT corrections in the order of their making, with ``grp``, the key of a group.
+#: Columns of a table of corrections; numbers tell their order.
+CORRECTION = "number long, operation string, ids array<long>, label string"
+OPERATIONS = ("MERGE", "SPLIT", "RENAME", "LOCATION")
 
-    Each correction is (operation, ids) or (operation, ids, text); RENAME and LOCATION leave the groups as they are and are
-    applied by ``compiled``; any other operation is an error. The list is what a user has clicked, so it is small, and each
-    step is one join with its few affected groups.
+
+def correction_table(spark: SparkSession, corrections: Sequence[tuple]) -> DataFrame:
+    """(operation, ids) or (operation, ids, label), in the order of their making, as a table."""
+    return spark.createDataFrame([(n, op, list(ids), more[0] if more else None) for n, (op, ids, *more) in enumerate(corrections)], CORRECTION)
+
+
+def _known(corrections: DataFrame) -> DataFrame:
+    wrong = F.raise_error(F.concat(F.lit("unknown correction "), F.coalesce("operation", F.lit("null"))))
+    return corrections.withColumn("operation", F.when(F.col("operation").isin(*OPERATIONS), F.col("operation")).otherwise(wrong))
+
+
+def replayed(steps: Iterable[tuple[int, str, list[tuple[int, str]]]]) -> tuple[dict[int, str], dict[str, str]]:
+    """The group of each named id, and the new name of each group's other members, after steps (number, operation, (id, first group)).
+
+    A set of named ids and of rests of groups has one name; a merge moves the smaller sets into the largest, so that the
+    work is about that of reading the steps.
     """
-    out = _grouped(sessions, by)
-    for number, (operation, ids, *_) in enumerate(corrections):
-        mine, new = F.col("id").isin(ids), F.lit(f"{operation.lower()}-{number}")
+    set_of: dict[object, int] = {}
+    items: dict[int, set] = {}
+    name: dict[int, str] = {}
+    first: dict[str, int] = {}
+
+    def open_set(label: str) -> int:
+        items[len(name)] = set()
+        name[len(name)] = label
+        return len(name) - 1
+
+    def move(x: object, to: int) -> None:
+        items[set_of[x]].discard(x)
+        set_of[x] = to
+        items[to].add(x)
+
+    steps = list(steps)
+    for _, _, named in steps:
+        for i, group in named:
+            if group not in first:
+                first[group] = open_set(group)
+                set_of["rest", group] = first[group]
+                items[first[group]].add(("rest", group))
+            if i not in set_of:
+                set_of[i] = first[group]
+                items[first[group]].add(i)
+    for number, operation, named in steps:
+        ids = dict.fromkeys(i for i, _ in named)
         if operation == "SPLIT":
-            out = out.withColumn("grp", F.when(mine, new).otherwise(F.col("grp")))
+            to = open_set(f"split-{number}")
+            for i in ids:
+                move(i, to)
         elif operation == "MERGE":
-            hit = out.where(mine).select("grp").distinct()
-            many = hit.agg((F.count("*") > 1).alias("many"))
-            hit = hit.crossJoin(F.broadcast(many)).where("many").select("grp", F.lit(True).alias("hit"))  # one row
-            out = out.join(F.broadcast(hit), "grp", "left").withColumn("grp", F.when(F.col("hit"), new).otherwise(F.col("grp"))).drop("hit")
-        elif operation not in ("RENAME", "LOCATION"):
-            raise ValueError(f"unknown correction {operation}")
-    return out
+            hit = sorted({set_of[i] for i in ids}, key=lambda k: (len(items[k]), k))
+            if len(hit) > 1:
+                for k in hit[:-1]:
+                    for x in items[k]:
+                        set_of[x] = hit[-1]
+                    items[hit[-1]] |= items.pop(k)
+                name[hit[-1]] = f"merge-{number}"
+    return {x: name[k] for x, k in set_of.items() if not isinstance(x, tuple)}, {x[1]: name[k] for x, k in set_of.items() if isinstance(x, tuple)}
 
 
-def _labels(groups: DataFrame, corrections: Sequence[tuple]) -> DataFrame:
+def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["number", "id"])
+    steps = [(int(n), part.operation.iloc[0], list(zip(part.id.tolist(), part.grp.tolist(), strict=True))) for n, part in rows.groupby("number", sort=True)]
+    ids, rests = replayed(steps)
+    return pd.DataFrame({"id": pd.array([*ids, *[None] * len(rests)], "Int64"), "rest": [*[None] * len(ids), *rests], "new_grp": [*ids.values(), *rests.values()]})
+
+
+def corrected(sessions: DataFrame, corrections: DataFrame | Sequence[tuple], by: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Sessions after MERGE and SPLIT corrections in the order of their numbers, with ``grp``, the key of a group.
+
+    ``corrections`` is a table (number, operation, ids, label) or a list for ``correction_table``; RENAME and LOCATION leave the groups
+    as they are and are applied by ``compiled``; any other operation is an error; ids that no session has change nothing.
+
+    Corrections that touch a group in common are linked, and components of these links are replayed side by side, each in
+    one call over the ids that its corrections name and a token for the other members of each group. So the plan is the same for
+    any number of corrections, and what a call gets grows with the linked corrections and not with the groups.
+    """
+    grouped = _grouped(sessions, by)
+    if not isinstance(corrections, DataFrame):
+        corrections = correction_table(sessions.sparkSession, corrections)
+    steps = _known(corrections).where("operation in ('MERGE', 'SPLIT')").select("number", "operation", F.explode(F.array_distinct("ids")).alias("id"))
+    touched = checkpointed(steps.join(grouped.select("id", "grp"), "id"))
+    least = touched.groupBy("grp").agg(F.min("number").alias("b"))
+    links = touched.select("grp", F.col("number").alias("a")).distinct().join(least, "grp").where("a <> b").select("a", "b")
+    parts = components(touched.select(F.col("number").alias("id")).distinct(), links).withColumnRenamed("id", "number")
+    new = checkpointed(touched.join(parts, "number").groupBy("component").applyInPandas(_replay, "id long, rest string, new_grp string"))
+    by_id = new.where("id is not null").select("id", F.col("new_grp").alias("_named"))
+    by_rest = new.where("rest is not null").select(F.col("rest").alias("grp"), F.col("new_grp").alias("_rest"))
+    out = grouped.join(by_id, "id", "left").join(by_rest, "grp", "left")
+    return out.withColumn("grp", F.coalesce("_named", "_rest", "grp")).select(*grouped.columns)
+
+
+def _labels(groups: DataFrame, corrections: DataFrame) -> DataFrame:
     """Groups that corrections touch: the last title and place of those whose ids are all members, and whether any applies."""
-    spark = groups.sparkSession
-    rows = [(n, op, i, len(set(ids)), more[0] if more else None) for n, (op, ids, *more) in enumerate(corrections) for i in dict.fromkeys(ids)]
-    known = F.broadcast(spark.createDataFrame(rows, "n int, op string, id long, wanted int, label string"))  # what a user has clicked
+    once = _known(corrections).select(F.col("number").alias("n"), F.col("operation").alias("op"), F.array_distinct("ids").alias("ids"), "label")
+    known = once.select("n", "op", F.size("ids").alias("wanted"), "label", F.explode("ids").alias("id"))
     hits = groups.select("grp", "id").join(known, "id").groupBy("grp", "n", "op", "wanted", "label").agg(F.count_distinct("id").alias("have"))
     whole = F.col("op").isin("RENAME", "LOCATION") & (F.col("have") == F.col("wanted"))
     last = lambda op: F.max_by(F.when(whole & (F.col("op") == op), F.col("label")), F.when(whole & (F.col("op") == op), F.col("n")))
@@ -127,7 +200,7 @@ def event_ids(members: DataFrame) -> DataFrame:
     return members.groupBy("grp").agg(signless_long(digest).alias("event_id"))
 
 
-def compiled(members: DataFrame, corrections: Sequence[tuple] = ()) -> DataFrame:
+def compiled(members: DataFrame, corrections: DataFrame | Sequence[tuple] = ()) -> DataFrame:
     """A row an event from its members (grp, id, captured_ms, latitude, longitude, quality, filename, title, album, location, tags, description, kind).
 
     The title is a correction's, else the most frequent place, else words that most file names share, else a constant. The
@@ -144,7 +217,9 @@ def compiled(members: DataFrame, corrections: Sequence[tuple] = ()) -> DataFrame
         F.count_distinct(F.nullif(F.trim(F.lower("album")), F.lit(""))).alias("albums"), F.max_by("id", F.struct(F.coalesce("quality", F.lit(0.0)), "captured_ms", "id")).alias("representative"), F.bool_or(F.col("kind") == "PDF").alias("papers"),
     )
     out = out.join(places, "grp", "left").join(_file_titles(members), "grp", "left").join(_member_texts(members), "grp", "left")
-    labels = _labels(members, corrections) if corrections else None
+    if not isinstance(corrections, DataFrame) and corrections:
+        corrections = correction_table(members.sparkSession, corrections)
+    labels = _labels(members, corrections) if isinstance(corrections, DataFrame) else None
     out = out.join(labels, "grp", "left") if labels is not None else out.withColumns({"new_title": F.lit(None).cast("string"), "new_place": F.lit(None).cast("string"), "touched": F.lit(False)})
     alone, touched = F.col("albums") <= 1, F.coalesce("touched", F.lit(False))
     confidence = F.when(touched, 1.0).when((F.col("members") >= 2) & alone & F.col("latitude").isNotNull(), 0.92).when((F.col("members") >= 2) & alone, 0.82).when(F.col("members") >= 2, 0.72).otherwise(0.58)

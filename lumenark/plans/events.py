@@ -89,6 +89,21 @@ def event_corrections(spark, sf_dir) -> DataFrame:
     return _shown(E.compiled(members(E.corrected(E.sessionize(captures(spark, sf_dir)), CORRECTIONS)), CORRECTIONS))
 
 
+def made_corrections(spark, sf_dir) -> DataFrame:
+    """A correction for each order: merges of neighbours and of far items, splits and names, by its number."""
+    o, k = load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    n = k % 10_007
+    ids = F.when(k % 4 == 0, F.array(n, n + 1)).when(k % 4 == 1, F.array(n)).when(k % 4 == 2, F.array(n, F.col("o_custkey") % 5_003)).otherwise(F.array(n, n + 1, n + 2))
+    operation = F.when(k % 4 == 1, "SPLIT").when(k % 4 == 3, "RENAME").otherwise("MERGE")
+    return o.select(k.alias("number"), operation.alias("operation"), ids.alias("ids"), F.concat(F.lit("Title "), n.cast("string")).alias("label"))
+
+
+@query()
+def event_corrections_table(spark, sf_dir) -> DataFrame:
+    """As many corrections as there are orders, replayed over the sessions; held against the plain loop by a test."""
+    return E.corrected(E.sessionize(captures(spark, sf_dir)), made_corrections(spark, sf_dir)).select("id", "grp")
+
+
 @query(f"""WITH {SESSIONS_SQL}, e AS (SELECT user_id, session, string_agg(DISTINCT album, ' ' ORDER BY album) AS title, min(captured_ms) AS start_ms FROM sessions GROUP BY ALL),
     s AS (SELECT *, (contains(lower(title), 'click')::INT + contains(lower(title), 'purchase')::INT) AS n FROM e)
     SELECT user_id, session, round(n / 2.0::DOUBLE + CASE WHEN n = 2 THEN 0.25 ELSE 0 END, 6) AS score FROM s WHERE n > 0 ORDER BY 3 DESC, start_ms DESC, user_id, session LIMIT 100""")
