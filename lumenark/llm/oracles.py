@@ -14,18 +14,15 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
         c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
         k AS (SELECT conv_id, turns, len(turns) - list_position(list_reverse(list_transform(turns, lambda x: x.role = 'assistant')), true) + 1 AS cut FROM c WHERE len(list_filter(turns, lambda x: x.role = 'assistant')) > 0),
-        d AS (SELECT *, md5(conv_id::VARCHAR) AS digest, greatest(1, (SELECT ceil(count(*) / 50000) FROM k))::BIGINT AS buckets FROM k),
-        o AS (SELECT *, ('0x' || digest[1:8])::BIGINT % buckets AS bucket FROM d),
-        e AS (SELECT conv_id, turns, cut, coalesce(lead(turns[cut]) OVER u, first_value(turns[cut]) OVER u) AS other FROM o WINDOW u AS (PARTITION BY bucket ORDER BY digest, conv_id)),
-        p AS (SELECT conv_id, turns[1:cut] AS chosen, list_concat(turns[1:cut - 1], [other]) AS rejected FROM e),
-        n AS (SELECT *, CASE WHEN chosen[len(chosen)] = rejected[len(rejected)] THEN len(chosen) ELSE len(chosen) - 1 END AS n FROM p),
+        d AS (SELECT conv_id, turns[1:cut] AS turns, md5(turns[1].role || chr(31) || turns[1].text) AS opening, md5(conv_id::VARCHAR) AS digest FROM k),
+        e AS (SELECT conv_id, turns AS chosen, coalesce(lead(turns) OVER u, first_value(turns) OVER u) AS rejected FROM d WINDOW u AS (ORDER BY opening, digest, conv_id)),
+        n AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i].role = rejected[i].role AND chosen[i].text = rejected[i].text), false) - 1, least(len(chosen), len(rejected))) AS n FROM e),
         s AS (SELECT conv_id, n, chosen[1:n] AS prompt, chosen[n + 1:] AS chosen, rejected[n + 1:] AS rejected FROM n),
-        r AS (SELECT conv_id, n, prompt, chosen, rejected, list_transform([prompt, chosen, rejected], lambda l:
-            coalesce(array_to_string(list_transform(l, lambda x: '<|' || replace(x.role, '<|', '< |') || '|>' || chr(10) || replace(x.text, '<|', '< |') || '<|end|>' || chr(10)), ''), '')) AS texts FROM s)
-        SELECT conv_id, n::BIGINT AS n_prompt_turns, sha256(texts[1]) AS prompt_sha256, sha256(texts[2]) AS chosen_sha256,
-            CASE WHEN len(chosen) > 0 THEN '14:' || (21 + length(replace(chosen[1].text, '<|', '< |'))) ELSE '' END AS chosen_mask, sha256(texts[3]) AS rejected_sha256,
-            CASE WHEN len(rejected) > 0 THEN '14:' || (21 + length(replace(rejected[1].text, '<|', '< |'))) ELSE '' END AS rejected_mask
-        FROM r
+        r AS (SELECT conv_id, n, list_transform([prompt, chosen, rejected], lambda l: list_transform(l, lambda x: {'role': x.role, 'text': '<|' || replace(x.role, '<|', '< |') || '|>' || chr(10) || replace(x.text, '<|', '< |') || '<|end|>' || chr(10)})) AS sides FROM s),
+        m AS (SELECT conv_id, n, list_transform(sides, lambda l: coalesce(array_to_string(list_transform(l, lambda x: x.text), ''), '')) AS texts,
+            list_transform(sides, lambda l: coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: l[i].role = 'assistant'),
+              lambda i: (coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x.text))), 0) + 14)::BIGINT || ':' || (coalesce(list_sum(list_transform(l[1:i], lambda x: length(x.text))), 0) - 1)::BIGINT), ','), '')) AS masks FROM r)
+        SELECT conv_id, n::BIGINT AS n_prompt_turns, sha256(texts[1]) AS prompt_sha256, sha256(texts[2]) AS chosen_sha256, masks[2] AS chosen_mask, sha256(texts[3]) AS rejected_sha256, masks[3] AS rejected_mask FROM m
     """,
     "op1_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

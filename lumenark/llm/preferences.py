@@ -5,7 +5,8 @@ turn is rendered as ``<|role|>``, a line break, the text, ``<|end|>`` and a line
 blank, so that no text can pose as a turn. The mask of a completion names the spans (code points within the completion, end
 exclusive) that count for the loss: text and end marker of the assistant's turns.
 
-A conversation is one training example, so its turns become one row; conversations are not gathered with each other.
+A conversation is one training example, so its turns become one row; conversations are not gathered with each other. Where
+there are no rejected conversations, another one with the same opening stands in (``with_other_replies``).
 
 A conversation is read whole, whatever the length of its texts. Defined results: a null text is empty, a null role is ``unknown``; rows without a conversation id are ignored; equal turns with the
 same number count once, others with the same number follow each other by role and text, null numbers come first; pairs
@@ -14,11 +15,15 @@ whose sides are equal have empty completions; an empty table gives no pairs; col
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import written
 
-#: Conversations that are put in order together.
-BUCKET = 50_000
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
@@ -75,25 +80,54 @@ def preference_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def with_other_replies(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Pairs from plain conversations: up to its last reply a conversation is chosen, and rejected with another's last reply.
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to each row the turns of the next one of its range; the last has none."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            if held is not None:
+                yield _with_next(held, batch.column("turns").slice(0, 1))
+            held = batch
+    if held is not None:
+        yield _with_next(held, pa.nulls(1, held.column("turns").type))
+
+
+def _with_next(batch: pa.RecordBatch, after: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays([batch.column("turns").slice(1), after])], names=[*batch.schema.names, "other"])
 
-    The other one is the next by the digest of the id, in buckets of about ``bucket`` conversations that are cut by that
-    digest; the last of a bucket takes the first. Every conversation with a reply gives a pair; one that is alone is
-    paired with itself. Those without a reply have nothing to learn from and give none.
+
+def with_next(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns, other): each conversation with the turns of the next in one ring over all.
+
+    The ring goes by the digest of the opening (the first turn), then by that of the id: conversations with one opening
+    follow each other, so that a conversation and the next share their first turns wherever there is another one. Ranges
+    of this order are sorted and passed through once; only the last row of a range looks for the first of the next one.
+    """
+    opening = F.md5(F.concat_ws("\u001f", F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"]))
+    keys = ["opening", "digest", "conv_id"]
+    rows = conversations.select("conv_id", "turns", opening.alias("opening"), F.md5(F.col("conv_id").cast("string")).alias("digest"))
+    place = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", "turns", place.alias("place"))
+    schema = T.StructType([*ranged.schema.fields, T.StructField("other", ranged.schema["turns"].dataType)])
+    ranged = written(ranged.mapInArrow(_followed, schema), "ring")
+    # a row a range from here on
+    range_of = F.shiftright("place", 33)
+    heads = ranged.groupBy(range_of.alias("at")).agg(F.min("place").alias("head"))
+    order = Window.orderBy("at")
+    heads = heads.select("at", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("place"))
+    firsts = ranged.select("place", F.col("turns").alias("first")).join(heads, "place").select(F.col("at"), "first")
+    lasts = ranged.where("other is null").withColumn("at", range_of).join(firsts, "at").select("conv_id", "turns", F.col("first").alias("other"))
+    return ranged.where("other is not null").select("conv_id", "turns", "other").unionByName(lasts)
+
+
+def with_other_replies(conversations: DataFrame) -> DataFrame:
+    """Pairs from plain conversations: up to its last reply a conversation is chosen, and the next of the ring rejected.
+
+    Every conversation with a reply gives a pair; one that is alone is paired with itself. Those without a reply have
+    nothing to learn from and give none.
     """
     is_reply = lambda t: t["role"] == "assistant"
-    known = conversations.where(F.exists("turns", is_reply))
     at = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), is_reply), True).cast("int") + 1
-    buckets = max(1, -(-known.count() // bucket))
-    digest = F.md5(F.col("conv_id").cast("string"))
-    known = known.select("conv_id", "turns", at.alias("at"), F.get("turns", at - 1).alias("reply"), digest.alias("digest"))
-    known = known.withColumn("bucket", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % buckets)
-    order = Window.partitionBy("bucket").orderBy("digest", "conv_id")
-    other = F.coalesce(F.lead("reply").over(order), F.first("reply").over(order))
-    both = known.select("conv_id", "turns", "at", other.alias("other"))
     # behind its last reply a conversation has nothing to learn from
-    return both.select(
-        F.col("conv_id").alias("pair_id"), F.slice("turns", F.lit(1), F.col("at")).alias("chosen"),
-        F.concat(F.slice("turns", F.lit(1), F.col("at") - 1), F.array("other")).cast(TURNS).alias("rejected"),
-    )
+    known = conversations.where(F.exists("turns", is_reply)).select("conv_id", F.slice("turns", F.lit(1), at).alias("turns"))
+    return with_next(known).select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.col("other").alias("rejected"))

@@ -1,7 +1,7 @@
 """Line-first quality rules: each line is judged, failing lines go, and a document that loses too much text is rejected.
 
 A line fails if it is noise (symbols), shouting (upper case or exclamation), navigation (menu separators, or a few words
-without an end), boilerplate (a known phrase) or a repetition (an earlier line of the text, or few different words). A
+without an end), boilerplate (a known phrase, in a line of at most ``PHRASE_WORDS`` words) or a repetition (an earlier line of the text, or few different words). A
 line of prose that lacks final punctuation is judged leniently: it fails only if it is short. Blank lines are neutral. A
 document is rejected if its base rules fail (too few words; mostly repeated 3-word windows) or if failing lines hold
 more than ``max_lost`` of its word characters.
@@ -24,6 +24,8 @@ from .kernels import AS_IS, NOT_SPACE, blocks, in_one_text, slice_hashes, window
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 MAX_LOST = 0.5
+#: A phrase makes boilerplate of a line of at most so many words; in a longer one, or a text of one line, it is a mention.
+PHRASE_WORDS = 40
 #: Phrases of licences, consent banners and page furniture.
 BOILERPLATE = (
     b"all rights reserved", b"licensed under", b"released under the", b"general public license", b"terms of use", b"terms of service",
@@ -119,7 +121,7 @@ class Judged:
             at = low.find(phrase)
             while at >= 0:
                 k = np.searchsorted(self.ls, at, "right") - 1
-                if k >= 0 and at + len(phrase) <= self.le[k]:
+                if k >= 0 and at + len(phrase) <= self.le[k] and lw[k] <= PHRASE_WORDS:
                     self.failed[k] = True
                 at = low.find(phrase, at + 1)
         lost = np.concatenate(([0], np.cumsum(np.where(self.failed, chars, 0))))

@@ -69,7 +69,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of each conversation and itself with another's last reply (the tables have no rejected conversations)."""
+    """Pairs of each conversation and the next with the same opening, or of the next opening (the tables have no rejected conversations)."""
     from .preferences import conversations_of, preference_pairs, with_other_replies
 
     pairs = preference_pairs(with_other_replies(conversations_of(table(spark, sf_dir, "conversations"))))

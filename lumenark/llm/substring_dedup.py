@@ -15,7 +15,7 @@ are compared with all documents, not with one partner, so no repeat is lost.
 Exact copies of a document are set aside first: all but the smallest lose every word if there is a window at all.
 
 Defined results: null texts have no words; texts of fewer than 50 words lose none; rows that repeat an id (with its text)
-are returned as often, and do not count as copies of each other (of an id with several texts one is looked at for windows);
+are returned as often, and do not count as copies of each other; rows that repeat an id with other texts are each judged by their own;
 rows with a null id are neither sources nor cut; texts of any length are read whole; an empty table gives an empty result;
 columns beyond the named ones are ignored.
 """
@@ -117,8 +117,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = pa.array(np.searchsorted(texts[head], np.arange(hi - lo + 1)).astype(np.int32))
             places = pa.ListArray.from_arrays(pa.array(np.append(head, len(at)).astype(np.int32)), pa.array((at - first[texts]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(bounds, pa.array(keys[head].view(np.int64))), pa.ListArray.from_arrays(bounds, places)],
-                names=["doc_id", "n_words", "k1", "k2", "sha", "keys", "places"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sha), pa.ListArray.from_arrays(bounds, pa.array(keys[head].view(np.int64))), pa.ListArray.from_arrays(bounds, places)],
+                names=["doc_id", "t", "n_words", "k1", "k2", "sha", "keys", "places"],
             )
 
 
@@ -144,7 +144,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, first = word_bounds(buf, offsets, NOT_SPACE)
             words = slice_hashes(buf, starts, ends)
             wanted = np.zeros(len(words) + 1, np.int64)
-            for i, places in enumerate(batch.column(2).slice(lo, hi - lo)):
+            for i, places in enumerate(batch.column(3).slice(lo, hi - lo)):
                 a, n = int(first[i]), int(first[i + 1] - first[i])
                 at = np.asarray(places.values.to_numpy(zero_copy_only=False), np.int64)
                 low, high = np.maximum(at - EDGE - RUN + 1, 0), np.minimum(at - EDGE, n - WINDOW) + 1  # the windows in whose interior it lies
@@ -157,8 +157,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one, two = windows(words, WINDOW)[at], windows(mix(words, 90), WINDOW)[at]
             text = np.searchsorted(first, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text + lo)), pa.array((at - first[text]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                names=["doc_id", "at", "h", "g"],
+                [batch.column(0).take(pa.array(text + lo)), batch.column(2).take(pa.array(text + lo)), pa.array((at - first[text]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                names=["doc_id", "v", "at", "h", "g"],
             )
 
 
@@ -176,21 +176,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, buf, offsets in blocks(batch.column(1)):
             starts, ends, first = word_bounds(buf, offsets, NOT_SPACE)
             removed, sha, texts = [], [], []
-            for i, places in enumerate(batch.column(2).slice(lo, hi - lo)):
+            for i, places in enumerate(batch.column(3).slice(lo, hi - lo)):
                 gone = _covered(first, i, np.asarray(places.values.to_numpy(zero_copy_only=False), np.int64))
                 s, e = starts[first[i] : first[i + 1]][~gone].tolist(), ends[first[i] : first[i + 1]][~gone].tolist()
                 text = b" ".join(buf[a:b].tobytes() for a, b in zip(s, e, strict=True))
                 removed.append(int(gone.sum()))
                 texts.append(text.decode())
                 sha.append(hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(sha), pa.array(texts)], names=["doc_id", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(sha), pa.array(texts)], names=["doc_id", "v", "n_removed", "kept_sha256", "kept_text"])
 
 
 def substring_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of ``documents`` (doc_id, text)."""
     parsed, cut = repeats(documents)
     copies = parsed.where(f"n_words >= {WINDOW} and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("source"))
-    out = parsed.select("doc_id", "n_words", "k1", "k2", "sha").join(copies, ["k1", "k2"], "left").join(cut.select("doc_id", "n_removed", "kept_sha256"), "doc_id", "left")
+    out = parsed.select("doc_id", "v", "n_words", "k1", "k2", "sha").join(copies, ["k1", "k2"], "left").join(cut.select("doc_id", "v", "n_removed", "kept_sha256"), ["doc_id", "v"], "left")
     copy = F.coalesce(F.col("source") < F.col("doc_id"), F.lit(False))
     return out.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
@@ -198,21 +198,38 @@ def substring_dedup(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Ids with several texts are broadcast up to so many, and joined beyond, with the same rows.
+BROADCAST_IDS = 100_000
+
+
+def _told_apart(parsed: DataFrame):
+    """Adds ``v`` to rows with an id and a hash ``t`` of their text: which of the texts of its id a row has; 0 where an id has one.
+
+    So it costs next to nothing where ids are unique, and a row is known by (doc_id, v).
+    """
+    several = written(parsed.where("doc_id is not null").groupBy(F.col("doc_id").alias("lk_id")).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("lk_id"), "several")
+    few = several.count() <= BROADCAST_IDS
+    side = F.broadcast(several) if few else several.hint("merge")
+    return lambda rows: rows.join(side, F.col("doc_id") == F.col("lk_id"), "left").withColumn("v", F.when(F.col("lk_id").isNotNull(), F.col("t")).otherwise(F.lit(0).cast("long"))).drop("lk_id", "t")
+
+
 def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The parsed table, and for each document that loses words without being a copy what is left of it."""
+    """The parsed table, and for each document that loses words without being a copy what is left of it; rows are known by (doc_id, v)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.select("doc_id", "text")
-    parsed = written(docs.mapInArrow(_parsed, f"doc_id {kind}, n_words long, k1 long, k2 long, sha string, keys array<bigint>, places array<array<int>>"), "parsed")
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    parsed = written(docs.mapInArrow(_parsed, f"doc_id {kind}, t long, n_words long, k1 long, k2 long, sha string, keys array<bigint>, places array<array<int>>"), "parsed")
+    told = _told_apart(parsed)
+    parsed, docs = told(parsed), told(docs)
     named = parsed.where(f"n_words >= {WINDOW} and doc_id is not null")
-    sources = named.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("places").alias("places"))
-    found = sources.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.places").alias("places"))
+    sources = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "v")).alias("s"), F.first("keys").alias("keys"), F.first("places").alias("places"))
+    found = sources.select("s.*", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "v", F.col("x.keys").alias("key"), F.col("x.places").alias("places"))
     found = written(found, "anchors")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    near = found.join(shared, "key").groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"), F.max(F.col("low") < F.col("doc_id")).alias("later"))
-    wanted = written(docs.join(near, "doc_id").dropDuplicates(["doc_id"]), "candidates")
-    spans = written(wanted.select("doc_id", "text", "places").mapInArrow(_windows, f"doc_id {kind}, at int, h long, g int"), "windows")
+    near = found.join(shared, "key").groupBy("doc_id", "v").agg(F.flatten(F.collect_list("places")).alias("places"), F.max(F.col("low") < F.col("doc_id")).alias("later"))
+    wanted = written(docs.join(near, ["doc_id", "v"]).select("doc_id", "text", "v", "places", "later").dropDuplicates(["doc_id", "v"]), "candidates")
+    spans = written(wanted.select("doc_id", "text", "v", "places").mapInArrow(_windows, f"doc_id {kind}, v long, at int, h long, g int"), "windows")
     # as a table, so that the join deals both sides itself and Spark can split a window that very many documents have
     lowest = written(spans.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "g", "low"), "lowest")
-    again = spans.join(lowest, ["h", "g"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    cut = wanted.where("later").select("doc_id", "text").join(again, "doc_id").mapInArrow(_cut, f"doc_id {kind}, n_removed long, kept_sha256 string, kept_text string")
+    again = spans.join(lowest, ["h", "g"]).where("low < doc_id").groupBy("doc_id", "v").agg(F.collect_list("at").alias("at"))
+    cut = wanted.where("later").select("doc_id", "text", "v").join(again, ["doc_id", "v"]).select("doc_id", "text", "v", "at").mapInArrow(_cut, f"doc_id {kind}, v long, n_removed long, kept_sha256 string, kept_text string")
     return parsed, cut

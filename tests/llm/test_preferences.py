@@ -45,21 +45,44 @@ def test_odd_rows(spark):
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in conversations_of(df).collect()}
     assert got == {1: [(0, "user", "q"), (1, "assistant", ""), (2, "unknown", "z")], 2: [(None, "system", "s"), (1, "assistant", "b")], 3: [(0, "user", "only")]}
     pairs = sorted(with_other_replies(conversations_of(df)).collect())
-    assert [(r.pair_id, [t.text for t in r.chosen], [t.text for t in r.rejected]) for r in pairs] == [(1, ["q", ""], ["q", "b"]), (2, ["s", "b"], ["s", ""])]
+    assert [(r.pair_id, [t.text for t in r.chosen], [t.text for t in r.rejected]) for r in pairs] == [(1, ["q", ""], ["s", "b"]), (2, ["s", "b"], ["q", ""])]
     none = spark.createDataFrame([], df.schema)
     assert preference_pairs(with_other_replies(conversations_of(none))).count() == 0
 
 
-def test_every_conversation_with_a_reply_is_paired(spark):
+def ring(rows):
+    """(chosen, rejected) of each conversation, from one sorted list of all."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    talks = {}
+    for c, t, role, body in rows:
+        talks.setdefault(c, []).append((t, role, body))
+    cut = {}
+    for c, turns in talks.items():
+        turns.sort()
+        replies = [i for i, t in enumerate(turns) if t[1] == "assistant"]
+        if replies:
+            cut[c] = turns[: replies[-1] + 1]
+    order = sorted(cut, key=lambda c: (md5(f"{cut[c][0][1]}\x1f{cut[c][0][2]}"), md5(c), c))
+    return {c: (cut[c], cut[order[(i + 1) % len(order)]]) for i, c in enumerate(order)}
+
+
+def test_pairs_share_their_opening_at_any_number_of_ranges(spark):
     rng = random.Random(3)
-    rows = [(f"c{rng.randrange(10**9)}", t, "assistant" if t == 1 else "user", f"{i} {t}" + "x" * (200_000 if i == 5 else 0)) for i in range(300) for t in range(1 + i % 3)]
+    openings = ["hot"] * 6 + ["a", "b", "c"] + [f"own {i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        opening = rng.choice(openings)
+        rows += [(f"c{i}", t, "assistant" if t % 2 else "user", opening if t == 0 else rng.choice(["yes", "no"]) + ("x" * 100_000 if i == 5 else "")) for t in range(rng.randrange(1, 6))]
+    want = ring(rows)
     df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
-    known = {r[0] for r in rows if r[2] == "assistant"}
-    for bucket in (10**6, 20):
-        got = with_other_replies(conversations_of(df), bucket).collect()
-        assert sorted(r.pair_id for r in got) == sorted(known)
-        replies = {r.pair_id: r.chosen[-1].text for r in got}
-        assert all(r.rejected[-1].text in set(replies.values()) and r.chosen[:-1] == r.rejected[:-1] for r in got)
-        assert sorted(r.rejected[-1].text for r in got) == sorted(replies.values())  # each is another's rejected reply once
-    alone = with_other_replies(conversations_of(df.where(df.conv_id == min(known)))).first()
+    for parts in ("1", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.pair_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in with_other_replies(conversations_of(df)).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert got == want
+    found = preference_pairs(with_other_replies(conversations_of(df))).collect()
+    assert sum(r.n_prompt_turns > 0 for r in found) > 60 and len({r.n_prompt_turns for r in found}) > 3
+    alone = with_other_replies(conversations_of(df.where(df.conv_id == min(want)))).first()
     assert alone.chosen == alone.rejected

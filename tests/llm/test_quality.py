@@ -66,7 +66,7 @@ def verdict(text, max_lost=0.5):
             4 * (line.count("|") + line.count("»")) > n,
             n < 4 and words[-1][-1] not in ".!?:;\"')]" + quality_rules.ENDS,
             n >= 8 and 2 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > n,
-            any(p.decode() in low for p in quality_rules.BOILERPLATE),
+            n <= quality_rules.PHRASE_WORDS and any(p.decode() in low for p in quality_rules.BOILERPLATE),
             line in seen,
         ]
         seen.add(line)
@@ -91,6 +91,13 @@ def test_verdict_of_every_row_against_plain_rules(docs, corpus):
     assert {r.doc_id for r in clean_documents(docs(rows)).collect()} == {i for i, t in rows if verdict(t)[0]}
 
 
+def test_a_text_of_one_line_may_mention_a_phrase(docs):
+    prose = " ".join(f"Word{i} tells{i} about JavaScript use{i} today{i}." for i in range(12))
+    rows = [(1, prose), (2, "\n".join([prose, "We use cookies. Read more."])), (3, "\n".join(f"Please enable JavaScript now {i}." for i in range(30)))]
+    got = {r.doc_id: (r.kept, r.lost_chars > 0) for r in quality_report(docs(rows)).collect()}
+    assert got == {1: (True, False), 2: (True, True), 3: (False, True)}
+
+
 def test_verdicts_on_labels(spark, sf_dir, corpus):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = quality_report(corpus).join(labels, "doc_id").where("not base_failed").collect()
