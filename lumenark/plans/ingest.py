@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import retry_delay_ms, status_after_failure
 from ..operators import ingest as G
 from ..operators import metrics as M
+from ..operators.retrieval import cosine
 from ..registry import query
+from ..sources.shared import remove, shared_folder, written
+from ..sources.sinks import write_vectors
 from ..sources.tables import epoch_ms, load, year_range
+from ..streaming.scans import exhaustive_scan
 from .answers import STAGE_SQL, stage_rows
 
 NOW = 1_705_000_000_000
@@ -299,3 +305,20 @@ def calendar_years(spark, sf_dir) -> DataFrame:
     local = F.year(F.from_utc_timestamp(F.timestamp_millis(ms), "Asia/Kolkata"))  # an equi-join: the year of the same clock
     n = o.groupBy(local.alias("year")).agg(F.count("*").alias("items"))
     return years.join(n, "year", "left").select("year", "start_ms", "end_ms", F.coalesce("items", F.lit(0).cast("long")).alias("items"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 6) AS score FROM embeddings, q
+    WHERE vec_id % 3 > 0 AND list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)) >= 0.1""")
+def resumed_scan(spark, sf_dir) -> DataFrame:
+    """All vectors of a scope that match a question, by a scan that is stopped early and gone on with."""
+    folder = f"{shared_folder(spark)}/lumenark-scan-{uuid.uuid4().hex}"
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    write_vectors(vectors, f"{folder}/vectors", 8)
+    asked = [float(x) for x in vectors.where("id = 0").first().embedding]
+    matching = lambda rows: cosine(rows, asked).where("score >= 0.1").select("id", "score")
+    scan = lambda **k: exhaustive_scan(f"{folder}/scans", f"{folder}/vectors", vectors.where("id % 3 > 0").select("id"), matching, "like the first", "m1", files_a_batch=2, **k)
+    scan(most_batches=1)
+    found = written(scan().hits.select("id", F.round("score", 6).alias("score")), "hits")
+    remove(spark, folder)
+    return found
