@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 # Patterns and confidences of typed facts (group of the value; how the value is normalised).
 AMOUNT = r"(?i)(?:₹|rs\.?|inr|usd|\$)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)|([0-9][0-9,]*(?:\.[0-9]{1,2})?)\s*(?:₹|inr|usd)"
-MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
-DATE = rf"(?i)\b(?:20\d{{2}}[-/.](?:0?[1-9]|1[0-2])[-/.][0-3]?\d|[0-3]?\d[-/.](?:0?\d|1[0-2])[-/.](?:20)?\d{{2}}|[0-3]?\d\s+(?:{MONTH})\s+20\d{{2}})\b"
+DATE = (
+    r"(?i)\b(?:20\d{2}[-/.](?:0?[1-9]|1[0-2])[-/.][0-3]?\d|[0-3]?\d[-/.](?:0?\d|1[0-2])[-/.](?:20)?\d{2}"
+    r"|[0-3]?\d\s+(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+20\d{2})\b"
+)
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 FACTS = (
     ("AMOUNT", AMOUNT, 0, "money", 0.88),
@@ -80,7 +82,10 @@ def fact_value(raw: Column, value: Column, how: str) -> Column:
 
 
 def typed_facts(blocks: DataFrame) -> DataFrame:
-    """Facts of text blocks (media_id, block_id, text, confidence): type, raw text, normal value and confidence."""
+    """Facts of text blocks (media_id, block_id, text, confidence): type, raw text, normal value and confidence.
+
+    Of equal facts of a block the first stays.
+    """
     found = []
     for kind, pattern, group, how, confidence in FACTS:
         raw = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
@@ -90,8 +95,9 @@ def typed_facts(blocks: DataFrame) -> DataFrame:
             _fact_struct(kind, how, confidence),
         )
         found.append(one)
-    facts = blocks.select("media_id", "block_id", F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("confidence"))).alias("sure"), F.explode(F.concat(*found)).alias("f"))
-    return facts.select("media_id", "block_id", F.col("f.entity_type"), F.col("f.raw_text"), F.col("f.normalized_value"), F.least("f.base", "sure").alias("confidence")).dropDuplicates(["media_id", "block_id", "entity_type", "normalized_value"])
+    facts = blocks.select("media_id", "block_id", F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("confidence"))).alias("sure"), F.posexplode(F.concat(*found)).alias("at", "f"))
+    facts = facts.select("media_id", "block_id", F.col("f.entity_type"), F.col("f.normalized_value"), F.struct("at", F.col("f.raw_text").alias("raw_text"), F.least("f.base", "sure").alias("confidence")).alias("x"))
+    return facts.groupBy("media_id", "block_id", "entity_type", "normalized_value").agg(F.min("x").alias("x")).select("media_id", "block_id", "entity_type", "x.raw_text", "normalized_value", "x.confidence")
 
 
 def _fact_struct(kind: str, how: str, confidence: float):
@@ -127,16 +133,39 @@ def is_card(candidate: Column) -> Column:
     return F.when(n.between(13, 19), F.call_function("luhn_check", d) & ~time).otherwise(F.lit(False))
 
 
+def sensitive_by_pattern(text: Column) -> Column:
+    """Whether a text has words, addresses, contacts or amounts that are not to be shown."""
+    return (F.trim(text) != "") & (text.rlike(SENSITIVE_WORDS) | text.rlike(EMAIL) | text.rlike(CONTACT) | text.rlike(CURRENCY_AMOUNT) | text.rlike(LABELED_AMOUNT))
+
+
 def sensitive(text: Column) -> Column:
-    cards = F.exists(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), is_card)
-    return (F.trim(text) != "") & (text.rlike(SENSITIVE_WORDS) | text.rlike(EMAIL) | text.rlike(CONTACT) | text.rlike(CURRENCY_AMOUNT) | text.rlike(LABELED_AMOUNT) | cards)
+    """The same, or a card number that passes its checksum."""
+    return sensitive_by_pattern(text) | F.exists(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), is_card)
+
+
+def without_contacts(text: Column) -> Column:
+    """Labelled contacts and addresses replaced, labels kept."""
+    return F.regexp_replace(F.regexp_replace(text, CONTACT, "$1: [REDACTED]"), EMAIL, "[REDACTED_EMAIL]")
+
+
+def searchable(text: Column) -> Column:
+    """What of a text may be searched: sensitive texts are redacted first."""
+    return F.when(sensitive(text), redact(text)).otherwise(text)
+
+
+def sealed(value: Column, key: Column) -> Column:
+    """A value encrypted with AES-GCM under the digest of a key."""
+    return F.aes_encrypt(value, F.substring(F.sha2(key, 256), 1, 32), F.lit("GCM"), F.lit("DEFAULT"))
+
+
+def revealed(value: Column, key: Column) -> Column:
+    """The value again; null under another key, or where it was changed."""
+    return F.try_aes_decrypt(value, F.substring(F.sha2(key, 256), 1, 32), F.lit("GCM"), F.lit("DEFAULT")).cast("string")
 
 
 def redact(text: Column) -> Column:
     """Credentials, contacts, addresses, amounts and cards replaced, labels kept, in this order."""
-    out = F.regexp_replace(text, CREDENTIAL, "$1: [REDACTED]")
-    out = F.regexp_replace(out, CONTACT, "$1: [REDACTED]")
-    out = F.regexp_replace(out, EMAIL, "[REDACTED_EMAIL]")
+    out = without_contacts(F.regexp_replace(text, CREDENTIAL, "$1: [REDACTED]"))
     out = F.regexp_replace(out, LABELED_AMOUNT, "$1: [REDACTED_AMOUNT]")
     out = F.regexp_replace(out, CURRENCY_AMOUNT, "[REDACTED_AMOUNT]")
     # cards have to pass a check, so the text is cut at the candidates and put together again

@@ -9,7 +9,6 @@ from lumenark.functions import text as T
 from lumenark.operators import answers, events, filters, identity, ingest, metrics, retrieval
 from lumenark.operators.components import components
 from lumenark.operators.duplicates import duplicate_links, pick_diverse, selected_diverse, thinned_frames
-from lumenark.plans.documents import blocks
 from lumenark.sources.tables import captures, load, media
 
 
@@ -20,6 +19,49 @@ def test_components_of_chain_and_star(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 130)) and got[0] == 0 and got[150] == 150
 
 
+SAMPLES = [
+    (1, 1, "Blue Cafe", 0.05, 0.9), (1, 2, "Receipt", 0.1, 0.95), (1, 3, "Subtotal INR 1,100.00", 0.5, 0.9), (1, 4, "Tax INR 148", 0.6, 0.9), (1, 5, "Grand Total INR 1,248", 0.8, 0.9), (1, 6, "12 March 2024", 0.2, 0.9),
+    (2, 1, "Flight AG 204 departure time 18:45", 0.1, 0.8), (2, 2, "Order no: QX7-991 www.example.com/x", 0.2, 0.8), (3, 1, "WiFi password: s3cret, call phone +44 20 7946 0958", 0.3, 0.7), (3, 2, "visit https://a.example/b on 2024-05-06", 0.4, 0.7),
+    (4, 1, "Card 4111 1111 1111 1111 paid $12.50", 0.5, 0.6), (4, 2, "Total 950", 0.9, 0.6), (4, 3, "at 1700000000000 ms", 0.9, 0.6), (5, 1, "INR 5 or Rs 5.00, inr 5", 0.9, 0.6), (5, 2, None, None, 0.5),
+]
+
+
+def blocks(spark):
+    return spark.createDataFrame(SAMPLES, "media_id long, block_id long, text string, top double, confidence double")
+
+
+def test_totals_and_merchants(spark):
+    totals = {r.media_id: (r.raw_text, float(r.value), r.label, r.score, r.confidence) for r in T.receipt_totals(blocks(spark)).where("media_id < 5").collect()}
+    assert totals == {1: ("INR 1,248", 1248.0, "grand_total", 13, 0.945), 4: ("Total 950", 950.0, "total", 5, 0.87)}
+    assert {r.media_id: r.raw_text for r in T.merchants(blocks(spark)).collect()} == {1: "Blue Cafe", 2: "Flight AG 204 departure time 18:45", 3: "WiFi password: s3cret, call phone +44 20 7946 0958"}
+    assert {(r.raw_text, r.normalized_value) for r in T.typed_facts(blocks(spark)).where("media_id = 5").collect()} == {("INR 5", "5.00")}  # the first of equal facts
+
+
+def test_sensitive_content_against_python(spark, sf_dir):
+    import re
+
+    from lumenark.plans.documents import blocks as table_blocks
+    from lumenark.plans.documents import sensitive_content
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def card(raw):
+        d = re.sub(r"[^0-9]", "", raw)
+        return 13 <= len(d) <= 19 and luhn(d) and not (len(d) == 13 and T.EPOCH_MS[0] <= int(d) <= T.EPOCH_MS[1])
+
+    patterns = [re.compile(p, re.ASCII) for p in (T.SENSITIVE_WORDS, T.EMAIL, T.CONTACT, T.CURRENCY_AMOUNT, T.LABELED_AMOUNT)]
+    text = {(r.media_id, r.block_id): r.text for r in table_blocks(spark, sf_dir).collect()}
+    n = 0
+    for r in sensitive_content(spark, sf_dir).collect():
+        t = text[r.media_id, r.block_id]
+        want = bool(t.strip(" ")) and (any(p.search(t) for p in patterns) or any(card(m[0]) for m in re.finditer(T.CARD, t, re.ASCII)))
+        assert r.labelled == want, t
+        n += want
+    assert n > 1_000
+    assert spark.createDataFrame([("pin 1234",), ("a tree",)], "t string").select(T.searchable(F.col("t"))).collect() == [("pin: [REDACTED]",), ("a tree",)]
+
+
 def test_typed_facts(spark):
     got = {(r.media_id, r.entity_type, r.normalized_value) for r in T.typed_facts(blocks(spark)).collect()}
     assert {(1, "AMOUNT", "1248.00"), (1, "DATE", "12 MARCH 2024"), (2, "FLIGHT_NUMBER", "AG204"), (2, "FLIGHT_TIME", "18:45"), (2, "ORDER_ID", "QX7-991"), (2, "URL", "www.example.com/x"), (3, "PASSWORD", "s3cret,"), (3, "PHONE", "442079460958"), (3, "URL", "https://a.example/b"), (3, "DATE", "2024-05-06"), (4, "AMOUNT", "12.50")} <= got
