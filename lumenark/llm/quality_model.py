@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +87,17 @@ def calibrated(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def sampled(documents: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
-    """(quality, h, text): for each label the documents of the lowest hashes of their ids, ``2 * per_label`` at most."""
-    known = labels.select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
-    place = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
-    ids = known.withColumn("place", place).where(F.col("place") <= 2 * per_label).select("doc_id", "quality", "h")
+    """(quality, h, text): for each label the documents of the lowest hashes of their ids, ``2 * per_label`` at most.
+
+    A threshold on the hash, by the estimated number of documents of a label, lets through twice as many on the average:
+    so labels are cut where they are read, and only what is left is put in order, however many there are.
+    """
+    known = labels.select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    sizes = {r.quality: max(1, r.n) for r in known.groupBy("quality").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    low, span = -(1 << 63), 1 << 64
+    limit = reduce(lambda c, q: c.when(F.col("quality") == q, F.lit(min((1 << 63) - 1, low + span * 4 * per_label // sizes[q]))), sizes, F.when(F.lit(False), F.lit(low)))
+    place = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))  # of about 4 * per_label ids
+    ids = known.where(F.col("h") <= limit).distinct().withColumn("place", place).where(F.col("place") <= 2 * per_label).drop("place")
     texts = documents.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(ids), "doc_id")  # the bound is per_label's
     return texts.groupBy("quality", "h", "doc_id").agg(F.min("text").alias("text")).select("quality", "h", "text")
 

@@ -126,3 +126,11 @@ def test_every_coordinate_is_filled_and_agreement_estimates_similarity():
     a, b = sketches([np.unique(pairs[0][0]), np.unique(pairs[0][1])], bins=2048)
     assert abs((a == b).mean() - 2 / 3) < 0.06
     assert (band_keys(sketches([base, base]), 5)[0] == band_keys(sketches([base]), 5)[0]).all()
+
+
+def test_the_row_that_stays_does_not_depend_on_the_plan(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, f"lang{i}") for i in range(50)] + [(2, text, "z"), (3, "other words here now too", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [sorted(tuple(r) for r in deduplicated(df.repartition(n)).collect()) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == [1, 3]

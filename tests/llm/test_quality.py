@@ -174,3 +174,18 @@ def test_the_sample_bounds_rows_alone(spark):
     assert {r.quality: r.n for r in got} == {0: 80, 1: 80} and all(r.longest == 30_000 for r in got)
     every = quality_model.sampled(texts, labels, 1000).collect()
     assert len(every) == 301 and sum(r.text in ("again", "x" * 30_000) for r in every) >= 200
+
+
+def test_labels_are_cut_where_they_are_read(spark):
+    from lumenark.llm.quality_model import sampled
+
+    n = 30_000
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as quality")
+    texts = spark.range(n).selectExpr("id as doc_id", "concat('text ', id) as text")
+    rows = sampled(texts, labels.union(labels), 100)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.rindex("CASE WHEN") > plan.rindex("Window")  # the threshold is below the window
+    got = rows.collect()
+    by = {q: sorted(r.h for r in got if r.quality == q) for q in (0, 1)}
+    hashes = {r.doc_id: r.h for r in labels.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h").collect()}
+    assert all(by[q] == sorted(h for i, h in hashes.items() if (i % 10 == 0) == q)[:200] for q in by)
