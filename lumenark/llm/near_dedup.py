@@ -375,6 +375,7 @@ def deduplicated(documents: DataFrame, words_per_shingle: int = WORDS, percent:
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
     whole = F.xxhash64(*[F.col(f"row.`{c}`") for c, t in documents.dtypes if "map<" not in t and t not in ("void", "variant")])
     own = documents.select(row).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"), whole.alias("whole"))
-    # of rows with one id and text that differ in other columns the one with the least hash stays
-    one = own.join(kept.hint("merge"), ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min_by("row", "whole").alias("row"))
+    # of rows with one id and text that differ in other columns the one with the least hash stays: it is chosen among hashes, and rows are read again for it
+    kept = written(kept.join(own.groupBy("doc_id", "hash").agg(F.min("whole").alias("whole")), ["doc_id", "hash"]), "kept")
+    one = own.join(kept.hint("merge"), ["doc_id", "hash", "whole"], "left_semi").dropDuplicates(["doc_id", "hash", "whole"])
     return one.select("row").union(own.where("doc_id is null").select("row")).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
