@@ -20,7 +20,7 @@ def duplicate_links(items: DataFrame) -> DataFrame:
     hash are blocks: of two hashes at a distance of 6, one band is equal. Items of an equal hash are linked with the
     least of them, not with each other; times are in blocks of 15 s that are compared with the next one.
     """
-    text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    text = F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))  # compared by digest
     known = items.where("phash is not null").select("id", "kind", text.alias("text"), "phash", "captured_ms")
     least = known.groupBy("kind", "text", "phash").agg(F.min("id").alias("a"))
     equal = known.join(least, ["kind", "text", "phash"]).where("a < id").select("a", F.col("id").alias("b"))
@@ -34,9 +34,38 @@ def duplicate_links(items: DataFrame) -> DataFrame:
     return equal.union(near.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
+def class_links(known: DataFrame) -> DataFrame:
+    """Links (a < b) between classes of rows (t, phash, cls, captured_ms): hashes of one text that differ little, near in time.
+
+    A class is at hand in a slot of 15 s with its first and its last time alone: within a slot all times are near, and of
+    two neighbouring slots the last of one and the first of the other are the nearest. So the rows of a class do not
+    multiply, however many they are.
+    """
+    slot = F.floor(F.col("captured_ms") / BURST_MS).alias("slot")
+    seen = known.where("captured_ms is not null").groupBy("t", "phash", "cls", slot).agg(F.min("captured_ms").alias("low"), F.max("captured_ms").alias("high"))
+    width = HASH_BITS // (MAX_DISTANCE + 1) + 1
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("phash", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(MAX_DISTANCE + 1)])
+    banded = seen.select("*", F.explode(bands).alias("band"))
+    left = banded.select("t", "band", F.col("cls").alias("a"), F.col("phash").alias("x"), F.col("slot").alias("at"), F.col("high").alias("until"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
+    right = banded.select("t", "band", "slot", F.col("cls").alias("b"), F.col("phash").alias("y"), F.col("low").alias("since"))
+    near = left.join(right, ["t", "band", "slot"]).where((F.col("x") != F.col("y")) & ((F.col("at") == F.col("slot")) | (F.col("since") - F.col("until") <= BURST_MS)) & (hamming(F.col("x"), F.col("y")) <= MAX_DISTANCE))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def collapse(items: DataFrame) -> DataFrame:
-    """Items with their ``component``: the least id of what shows the same, transitively."""
-    return items.join(components(items, duplicate_links(items)), "id")
+    """Items with their ``component``: the least id of what shows the same (see ``duplicate_links``), transitively.
+
+    Items of one kind, text and hash are a class, known by its least id; texts are compared by digest, and components are
+    found among classes.
+    """
+    text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    keyed = items.withColumn("_t", F.when(F.col("phash").isNotNull(), F.md5(F.concat("kind", F.lit("\u001f"), text))))
+    known = checkpointed(keyed.where("_t is not null").select("id", F.col("_t").alias("t"), "phash", "captured_ms"))
+    classes = checkpointed(known.groupBy("t", "phash").agg(F.min("id").alias("cls")))
+    links = class_links(known.groupBy("t", "phash", "captured_ms").agg(F.count("*").alias("n")).join(classes, ["t", "phash"]))
+    found = classes.join(components(classes.select(F.col("cls").alias("id")), links).withColumnRenamed("id", "cls"), "cls").select(F.col("t").alias("_t"), F.col("phash").alias("_phash"), "component")
+    out = keyed.join(found, (F.col("phash") == F.col("_phash")) & (keyed["_t"] == found["_t"]), "left").drop("_t", "_phash")
+    return out.withColumn("component", F.coalesce("component", "id"))
 
 
 def representatives(items: DataFrame) -> DataFrame:

@@ -2,27 +2,95 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .components import checkpointed
 from .retrieval import dot
 
 # Thresholds of the cluster decision, of identity expansion, and of refinement.
 MIN_SCORE, SUPPORT, STRONG, MARGIN, NEIGHBOURS = 0.45, 0.40, 0.58, 0.05, 12
 EXPAND_STRONG, EXPAND_SECOND, EXPAND_MEAN, SEEDS = 0.58, 0.46, 0.50, 8
 KEEP = 0.42
+#: Queries that ``similarities`` takes, and bytes of vectors that a round of ``nearest_faces`` sends to the tasks.
+FEW, ROUND_BYTES = 256, 64 << 20
 
 
 def similarities(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """Dot products of unit vectors: every query with every reference, in blocks.
+    """Dot products of unit vectors: every query with every reference.
 
-    ``queries`` (query_id, vector) is a stated, bounded set (new faces of a batch, or seeds), sent to the tasks, so that
-    the references are read once and not moved.
+    ``queries`` (query_id, vector) is a small set, as the seeds of a cluster; its size is checked before it is sent to the tasks,
+    and more than ``FEW`` are an error (``nearest_faces`` takes any number).
     """
+    if len(queries.limit(FEW + 1).collect()) > FEW:
+        raise ValueError(f"more than {FEW} queries")
     q = F.broadcast(queries.select("query_id", F.col("vector").alias("q")))
     return references.crossJoin(q).select("query_id", references["*"], dot(F.col("vector"), F.col("q")).alias("score"))
 
 
+def nearest_faces(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS, digits: int = 6, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """(query_id, face_id, cluster_id, score): the k nearest references (face_id, cluster_id, vector) of each query (query_id, vector), but itself.
+
+    Queries go in rounds of so many bytes of vectors, each a block that is sent to the tasks; a task multiplies its
+    references by the block as matrices and keeps k of each query. So what leaves a task is k rows a query, and a round is one
+    pass over the references. Vectors that are null or of another length than the queries' are in no result.
+    """
+    spark = references.sparkSession
+    q = checkpointed(queries.where("vector is not null").select("query_id", "vector"))
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((references, "face_id"), (queries, "query_id")))
+    schema = f"query_id {query_kind}, face_id {id_kind}, score double"
+    if not size.n:
+        return spark.createDataFrame([], f"query_id {query_kind}, face_id {id_kind}, cluster_id {references.schema['cluster_id'].dataType.simpleString()}, score double")
+    rounds = max(1, -(-size.n * size.d * 8 // round_bytes))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "face_id")
+    found = None
+    for r in range(rounds):
+        block = q.where((F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) & (F.size("vector") == size.d)).collect() if rounds > 1 else q.where(F.size("vector") == size.d).collect()  # a round's bytes
+        if not block:
+            continue
+        sent = spark.sparkContext.broadcast(([x.query_id for x in block], np.array([x.vector for x in block], np.float64)))
+        part = references.select("face_id", "vector").mapInArrow(_nearest(sent, k, digits), schema)
+        part = written(part.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= k).drop("_p"), "near")
+        found = part if found is None else found.unionByName(part)
+    return found.join(references.select("face_id", "cluster_id"), "face_id").select("query_id", "face_id", "cluster_id", "score")
+
+
+def _nearest(sent, k: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, block = sent.value
+        own = {name: i for i, name in enumerate(names)}
+        best: list[list[tuple]] = [[] for _ in names]  # of each query (-score, id), the k least
+        for batch in batches:
+            right = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), block.shape[1]), False)
+            part = batch.filter(right)
+            for lo in range(0, part.num_rows, 1024):
+                some = part.slice(lo, 1024)
+                ids = some.column(0).to_pylist()
+                vectors = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, block.shape[1])
+                scores = np.round(vectors @ block.T, digits)
+                for i, face in enumerate(ids):
+                    if face in own:
+                        scores[i, own[face]] = -np.inf
+                least = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best])
+                for i, j in zip(*np.nonzero((scores >= least) & np.isfinite(scores)), strict=True):
+                    insort(best[j], (-scores[i, j], ids[i]))
+                    del best[j][k:]
+        rows = [(names[j], face, -s) for j, b in enumerate(best) for s, face in b]
+        if rows:
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.float64())], names=["query_id", "face_id", "score"])
+
+    return run
+
+
 def nearest_clusters(scores: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """The cluster of each query from its k nearest references (query_id, face_id, cluster_id, score), or null.
 

@@ -29,8 +29,7 @@ def faces(spark, sf_dir) -> DataFrame:
 def resolve_face_cluster(spark, sf_dir) -> DataFrame:
     f = faces(spark, sf_dir)
     asked = f.where("face_id % 100 = 0").select(F.col("face_id").alias("query_id"), "vector")
-    scores = I.similarities(asked, f).where("face_id <> query_id").withColumn("score", F.round("score", 6))
-    return I.nearest_clusters(scores)
+    return I.nearest_clusters(I.nearest_faces(asked, f))
 
 
 @query(f"""WITH {FACE_SQL}, s AS (SELECT q.face_id AS query_id, f.face_id, round(list_dot_product(f.vector, q.vector), 6) AS score FROM face f JOIN face q ON q.asked WHERE f.face_id <> q.face_id)
@@ -38,7 +37,7 @@ def resolve_face_cluster(spark, sf_dir) -> DataFrame:
 def nearest_face(spark, sf_dir) -> DataFrame:
     f = faces(spark, sf_dir)
     asked = f.where("face_id % 100 = 0").select(F.col("face_id").alias("query_id"), "vector")
-    return I.nearest_face(I.similarities(asked, f).where("face_id <> query_id").withColumn("score", F.round("score", 6)))
+    return I.nearest_face(I.nearest_faces(asked, f, 1))
 
 
 @query(f"""WITH {FACE_SQL} SELECT face_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY face_id * 37 % 101 DESC, face_id) AS place FROM face QUALIFY place <= 3""")
