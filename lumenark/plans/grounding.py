@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import grounding as G
+from ..operators.patches import active_plans
 from ..registry import query
 from ..sources.tables import load
 
@@ -59,3 +60,18 @@ def tables(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(_sql())
 def grounded_claims(spark, sf_dir) -> DataFrame:
     return G.judged_claims(*tables(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE p AS (SELECT conv_id AS session_id, turn AS set_id, turn AS created_ms, CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 3 THEN turn - 2 WHEN turn % 4 = 0 THEN turn - 2 ELSE turn - 1 END AS parent_id, ['TIME', 'PLACE', 'SORT'][turn % 3 + 1] AS field,
+      CASE turn % 5 WHEN 4 THEN 'REMOVE' WHEN 3 THEN 'REPLACE' ELSE 'ADD' END AS type, md5(max(text)) AS value FROM conversations GROUP BY ALL),
+    c AS (SELECT session_id, arg_min(set_id, created_ms) AS set_id, 0 AS depth FROM p WHERE parent_id IS NULL GROUP BY session_id
+      UNION ALL SELECT c.session_id, (SELECT arg_min(x.set_id, x.created_ms) FROM p x WHERE x.session_id = c.session_id AND x.parent_id = c.set_id AND x.created_ms > c.set_id), c.depth + 1 FROM c WHERE c.set_id IS NOT NULL),
+    o AS (SELECT session_id, p.field, arg_max(p.type, depth) AS type, arg_max(p.value, depth) AS value, arg_max(p.set_id, depth) AS set_id FROM c JOIN p USING (session_id, set_id) GROUP BY ALL)
+    SELECT session_id, field, value, set_id FROM o WHERE type <> 'REMOVE'""")
+def patched_plans(spark, sf_dir) -> DataFrame:
+    """The conversations as sessions whose turns patch the plan; some refer to a set that is no longer the latest."""
+    turn = F.col("turn")
+    t = load(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    parent = F.when(turn == 0, None).when(turn % 4 == 3, turn - 2).when(turn % 4 == 0, turn - 2).otherwise(turn - 1)
+    one = F.struct(F.when(turn % 5 == 4, "REMOVE").when(turn % 5 == 3, "REPLACE").otherwise("ADD").alias("type"), F.get(F.array(F.lit("TIME"), F.lit("PLACE"), F.lit("SORT")), (turn % 3).cast("int")).alias("field"), F.md5("text").alias("value"))
+    return active_plans(t.select(F.col("conv_id").alias("session_id"), turn.alias("set_id"), parent.alias("parent_id"), turn.alias("created_ms"), F.array(one).alias("operations")))
