@@ -170,3 +170,15 @@ def progress(processed: Column, remaining: Column, elapsed_ms: Column) -> tuple[
     """Items a minute, and milliseconds to go; null before anything is done."""
     rate = F.when((processed > 0) & (elapsed_ms > 0), processed * 60000.0 / elapsed_ms)
     return rate, F.when(rate > 0, F.ceil(remaining * 60000.0 / rate))
+
+
+def frequently_retrieved(members: DataFrame, n: int) -> DataFrame:
+    """The n items that most result sets hold (id, times), from a row for each item of each set."""
+    return members.groupBy("id").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "id").limit(n)
+
+
+def shelves(items: DataFrame) -> DataFrame:
+    """Items by the day of their capture and by shelf: the album, else the place, else ``Other``; those without a time are on none."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    day, shelf = F.to_date(F.timestamp_millis("captured_ms")).cast("string"), F.coalesce(blank("album"), blank("location"), F.lit("Other"))
+    return items.where("captured_ms is not null").groupBy(day.alias("day"), shelf.alias("shelf")).agg(F.count("*").alias("items"))

@@ -122,6 +122,12 @@ def to_items(scores: DataFrame, targets: DataFrame, allowed: DataFrame) -> DataF
     return scores.join(own, "chunk_id").select("variant", "id", (F.col("score") * factor).alias("score"))
 
 
+def vector_hits(hits: DataFrame, targets: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(id, score, chunk_id): the best of the vector hits of chunks (chunk_id, score) for each allowed item; direct ones whole, contextual ones by 0.72."""
+    own = to_items(hits.select("chunk_id", F.col("chunk_id").alias("variant"), "score"), targets, allowed)
+    return own.groupBy("id").agg(F.max("score").alias("score"), F.max_by("variant", F.struct("score", F.negative("variant"))).alias("chunk_id"))
+
+
 def caption_search(chunks: DataFrame, targets: DataFrame, allowed: DataFrame, queries: Sequence[str], limit: int = LIMIT) -> DataFrame | None:
     """Items by captions: BM25 by variant, fused; None where no variant has a term to search for (the channel isn't required)."""
     found = matches(chunks, queries)

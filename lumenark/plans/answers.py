@@ -196,13 +196,12 @@ def event_summary(spark, sf_dir) -> DataFrame:
 
 @query("SELECT l_partkey AS id, count(*) AS times FROM lineitem GROUP BY 1 ORDER BY times DESC, id LIMIT 15")
 def frequently_retrieved(spark, sf_dir) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), "id").limit(15)
+    return A.frequently_retrieved(load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")), 15)
 
 
 @query(f"""WITH {MEDIA_SQL} SELECT strftime(make_timestamp(captured_ms * 1000), '%Y-%m-%d') AS day, coalesce(nullif(trim(album), ''), nullif(trim(location), ''), 'Other') AS shelf, count(*) AS items FROM media WHERE captured_ms IS NOT NULL GROUP BY 1, 2""")
 def library_shelves(spark, sf_dir) -> DataFrame:
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return media(spark, sf_dir).where("captured_ms is not null").groupBy(F.to_date(F.timestamp_millis("captured_ms")).cast("string").alias("day"), F.coalesce(blank("album"), blank("location"), F.lit("Other")).alias("shelf")).agg(F.count("*").alias("items"))
+    return A.shelves(media(spark, sf_dir))
 
 
 EVIDENCE_SQL = """ev AS (SELECT l_orderkey AS media_id, l_linenumber AS n, ['MEDIA', 'EVENT', 'VISUAL_GROUP', 'EXACT_DUPLICATE_GROUP', 'QUERY_VERIFICATION'][l_suppkey % 5 + 1] AS scope, ['CONTEXTUAL', 'SAFE_FOR_EXACT_DUPLICATES', 'EXACT_DUPLICATE_SHARED', 'POSSIBLE_INFERENCE', NULL, 'DIRECT'][l_partkey % 6 + 1] AS applicability,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import captions as K
+from ..operators import expansion as E
+from ..operators.retrieval import cosine
 from ..registry import query
 from ..sources.tables import load
 
@@ -88,3 +90,40 @@ def embedding_backlog(spark, sf_dir) -> DataFrame:
     captions = captions.withColumns({"chunk_policy_version": F.lit("v1"), "applicability": F.lit("DIRECT")})
     state = lambda n: chunks.withColumns({"embedding_state": F.when(F.col("cluster_id") == n, "PENDING").otherwise("COMPLETE"), "embedding_model_version": F.lit("e1")})
     return spark.createDataFrame([(K.has_backlog(captions, state(3), "v1"), K.has_backlog(captions, state(99), "v1"))], "backlog boolean, none_left boolean")
+
+
+@query(f"""WITH {TARGETS_SQL}, q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+    hits AS (SELECT vec_id AS chunk_id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 6) AS score FROM embeddings, q)
+    SELECT id, round(max(score * CASE WHEN direct THEN 1.0::DOUBLE ELSE 0.72::DOUBLE END), 6) AS score FROM hits JOIN targets USING (chunk_id) WHERE id % 5 > 0 GROUP BY id""")
+def caption_vector_hits(spark, sf_dir) -> DataFrame:
+    _, targets, allowed = bound(spark, sf_dir)
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = [float(x) for x in vectors.where("chunk_id = 0").first().embedding]
+    hits = cosine(vectors, asked).select("chunk_id", F.round("score", 6).alias("score"))
+    return K.vector_hits(hits, targets, allowed).select("id", F.round("score", 6).alias("score"))
+
+
+#: Questions of the conversations: their first words are terms, some with a concept, and some parts are clauses.
+QUESTIONS_SQL = """t AS (SELECT conv_id * 1000 + turn AS id, trim(coalesce(text, '')) AS query, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w, (conv_id + turn) % 4 AS k FROM conversations),
+    questions AS (SELECT id, query, CASE k WHEN 3 THEN 'SUM' ELSE 'FIND' END AS intent, CASE k WHEN 0 THEN ['Birthday'] || w[1:3] WHEN 1 THEN w[1:2] || ['holiday', 'birthday'] ELSE w[1:k] END AS terms,
+      CASE k WHEN 0 THEN [{'text': 'Red ' || w[1], 'canonical': 'Canon ' || query, 'polarity': 'POSITIVE'}, {'text': 'no', 'canonical': NULL, 'polarity': 'NEGATIVE'}] WHEN 2 THEN [{'text': 'BIRTHDAY CAKE', 'canonical': NULL, 'polarity': 'POSITIVE'}] ELSE [] END AS clauses FROM t),
+    concepts AS (SELECT 'birthday' AS term, unnest(range(4)) AS place, unnest(['birthday cake', 'birthday candles', 'birthday party', 'birthday celebration']) AS text UNION ALL SELECT 'holiday', 0, 'the sea')"""
+
+
+@query(f"""WITH {QUESTIONS_SQL}, x AS (SELECT id, unnest(range(len(terms))) AS pos, unnest(terms) AS term FROM questions),
+    e AS (SELECT id, list(text ORDER BY pos, place) AS queries FROM x JOIN concepts ON concepts.term = lower(x.term) GROUP BY id),
+    a AS (SELECT id, list_filter(list_transform([query] || flatten(list_transform(list_filter(clauses, lambda c: c.polarity = 'POSITIVE'), lambda c: list_filter([c.text, c.canonical], lambda y: y IS NOT NULL))) || coalesce(queries, []), lambda y: trim(y)), lambda y: y <> '') AS v
+      FROM questions LEFT JOIN e USING (id) WHERE (len(terms) > 0 OR len(clauses) > 0) AND NOT (intent = 'SUM' AND len(clauses) = 0)),
+    d AS (SELECT id, list_filter(v, lambda y, i: list_position(list_transform(v, lambda z: lower(z)), lower(y)) = i)[1:8] AS v FROM a)
+    SELECT id, unnest(range(len(v)))::INT AS place, sha256(unnest(v)) AS variant FROM d""")
+def question_variants(spark, sf_dir) -> DataFrame:
+    t, k = load(spark, sf_dir, "conversations"), (F.col("conv_id") + F.col("turn")) % 4
+    w, body = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), F.trim(F.coalesce("text", F.lit("")))
+    first = lambda n: F.slice(w, F.lit(1), F.least(F.lit(n), F.size(w)))
+    terms = F.when(k == 0, F.concat(F.array(F.lit("Birthday")), first(3))).when(k == 1, F.concat(first(2), F.array(F.lit("holiday"), F.lit("birthday")))).otherwise(F.slice(w, F.lit(1), k.cast("int")))
+    clause = lambda text, canonical, polarity: F.struct(text.alias("text"), canonical.cast("string").alias("canonical"), F.lit(polarity).alias("polarity"))
+    none = F.lit(None)
+    clauses = F.when(k == 0, F.array(clause(F.concat(F.lit("Red "), F.get(w, F.lit(0))), F.concat(F.lit("Canon "), body), "POSITIVE"), clause(F.lit("no"), none, "NEGATIVE"))).when(k == 2, F.array(clause(F.lit("BIRTHDAY CAKE"), none, "POSITIVE"))).otherwise(F.array().cast("array<struct<text:string,canonical:string,polarity:string>>"))
+    questions = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("query"), F.when(k == 3, "SUM").otherwise("FIND").alias("intent"), terms.alias("terms"), clauses.alias("clauses"))
+    concepts = E.known_concepts(spark).unionByName(spark.createDataFrame([("holiday", 0, "QUERY", "the sea")], E.CONCEPT))
+    return E.query_variants(questions, concepts).select("id", "place", F.sha2("variant", 256).alias("variant"))
