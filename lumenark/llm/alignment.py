@@ -1,6 +1,7 @@
 """Alignment of two tokenizers over the same texts: a byte-level BPE (A) and a piece BPE with byte fallback (B).
 
-Both tokenizers run over the whole text first. Where a token of A and one of B begin with a blank at the same byte, the
+Both tokenizers run over the whole text first; it is cut into chunks where neither can have a token, and chunks that are
+known are not tokenised again. Where a token of A and one of B begin with a blank at the same byte, the
 tokens before them end together: these verified ends are anchors, which cut the token sequences into windows of about a
 word. A window is known by its two tuples of ids; its alignment (groups between shared ends, and links of tokens that end
 together) is found once and remembered, in a bounded cache. A text is aligned only if the bytes of both sequences are the
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK_BYTES = 4 << 20
-CACHE_ENTRIES, CACHED_TOKENS = 200_000, 48
+#: Bounds of the caches of chunks and of windows, and what is too long for them.
+CACHE_ENTRIES, CACHED_TOKENS, CACHED_CHARS = 200_000, 48, 64
 #: Longer texts are cut into pre-tokens without a regular expression, which may not hold endless runs of white space.
 LONG_TEXT = 100_000
 _SHIFT = 32
@@ -67,68 +69,172 @@ class Aligner:
         for piece, i in ranks.items():
             self.bytes_a[i] = piece
         self.bytes_b = [self._bytes_of(self.pieces.id_to_piece(i), self.pieces.is_byte(i)) for i in range(self.pieces.get_piece_size())]
-        self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.size_a, self.size_b = ([len(x) for x in t] for t in (self.bytes_a, self.bytes_b))
+        self.len_a, self.len_b = np.array(self.size_a, np.int64), np.array(self.size_b, np.int64)
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.marked_a, self.marked_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.cache: dict[tuple, tuple[str, tuple[int, ...]]] = {}
+        self.kind = np.uint16 if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else np.uint32
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.cache: dict[tuple[bytes, bytes], tuple[str, tuple[int, ...]]] = {}
 
     @staticmethod
     def _bytes_of(piece: str, is_byte: bool) -> bytes:
         return bytes([int(piece[3:-1], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
-    def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """The ids of each text by A and by B; None where there are none."""
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """The text cut before blanks that follow something else than white space, without these blanks.
+
+        No pre-token of A and no piece of B goes on over such a cut, so the tokens of a text are those of its chunks.
+        """
+        out, at = [], None
+        for part in text.split(" "):
+            if at is None:
+                at = part
+            elif not at or at[-1].isspace():
+                at += " " + part
+            else:
+                out.append(at)
+                at = part
+        if out and not at.strip(" "):  # blanks alone would have no blank of their own in front
+            out[-1] += " " + at
+        else:
+            out.append(at)
+        return out
+
+    def _tokenized(self, chunks: list[str]) -> None:
+        """Adds the packed ids of chunks to ``known``; None where the bytes are not those of the blank and the chunk."""
         from .bpe import encode_batch
 
-        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1), strict=True):
-            if not text:
+        for chunk, b in zip(chunks, self.pieces.encode(chunks, num_threads=1), strict=True):
+            whole = " " + chunk
+            a = self.fast.encode_ordinary(whole) if len(chunk) <= LONG_TEXT else next(encode_batch(pa.array([whole]), self.slow))
+            raw = whole.encode()
+            ok = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            self.known[chunk] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if ok else None
+
+    def _learned(self, chunks: list[str]) -> None:
+        """Tokenises chunks side by side: they are put in a row, as the tokens of a text are those of its chunks, and told apart by their ends."""
+        alone = []
+        short = [c for c in chunks if c and len(c) <= CACHED_CHARS and not c[-1].isspace()]
+        groups = [short[i : i + 256] for i in range(0, len(short), 256)]
+        texts = [" ".join(g) for g in groups]
+        for group, text, ids_b in zip(groups, texts, self.pieces.encode(texts, num_threads=1), strict=True):
+            whole = " " + text
+            ids_a, raw = self.fast.encode_ordinary(whole), whole.encode()
+            ok = b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw
+            ends, found = np.cumsum([len(c.encode()) + 1 for c in group]), []
+            for ids, sizes in ((np.array(ids_a, self.kind), self.len_a), (np.array(ids_b, self.kind), self.len_b)):
+                own = np.cumsum(sizes[ids])
+                at = np.minimum(np.searchsorted(own, ends), len(own) - 1)
+                ok = ok and bool((own[at] == ends).all())
+                data, bounds = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
+                found.append([data[i:k] for i, k in zip(bounds, bounds[1:], strict=False)])
+            if ok:
+                self.known.update(zip(group, zip(*found, strict=True), strict=True))
+            else:  # each by itself tells which it is
+                alone += group
+        self._tokenized([*alone, *(c for c in chunks if not c or len(c) > CACHED_CHARS or c[-1].isspace())])
+
+    def packed(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of each text by A and by B, tokenised whole; None where there are none. Chunks that are known are not tokenised again."""
+        cut = [self.chunks(t) if t else [] for t in texts]
+        new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in self.known]
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known.clear()
+            new = list(dict.fromkeys(chain.from_iterable(cut)))
+        self._learned(new)
+        for chunks in cut:
+            if not chunks:
                 yield None
                 continue
-            whole = " " + text
-            a = self.fast.encode_ordinary(whole) if len(text) <= LONG_TEXT else next(encode_batch(pa.array([whole]), self.slow))
-            raw = whole.encode()
-            yield (a, b) if b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw else None
+            found = list(map(self.known.__getitem__, chunks))
+            yield None if None in found else tuple(np.frombuffer(b"".join(x), self.kind) for x in zip(*found, strict=True))
+        for c in new:
+            if len(c) > CACHED_CHARS:
+                del self.known[c]
+
+    def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """The same as lists."""
+        for found in self.packed(texts):
+            yield found and (found[0].tolist(), found[1].tolist())
+
+    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the first A and B tokens of each window, and the numbers of all tokens."""
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        # a token begins where the one before it ends; the first begins a window anyway
+        shared = np.intersect1d(ends_a[:-1][self.marked_a[a[1:]]], ends_b[:-1][self.marked_b[b[1:]]], assume_unique=True)
+        return (np.concatenate(([0], np.searchsorted(ends, shared) + 1, [len(ends)])) for ends in (ends_a, ends_b))
 
     def windows(self, a: list[int], b: list[int]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
         """Tuples of ids between anchors."""
-        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        starts_a, starts_b = ends_a - self.len_a[a], ends_b - self.len_b[b]
-        shared = np.intersect1d(starts_a[self.marked_a[a]], starts_b[self.marked_b[b]], assume_unique=True)
-        shared = shared[shared > 0]
-        at_a, at_b = np.searchsorted(starts_a, shared).tolist(), np.searchsorted(starts_b, shared).tolist()
-        ids_a, ids_b = tuple(a), tuple(b)
-        i = j = 0
-        for k, m in zip([*at_a, len(a)], [*at_b, len(b)], strict=True):
-            yield ids_a[i:k], ids_b[j:m]
-            i, j = k, m
+        at_a, at_b = self.anchors(np.array(a), np.array(b))
+        for i, k, j, m in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False):
+            yield tuple(a[i:k]), tuple(b[j:m])
+
+    def aligned(self, a: np.ndarray, b: np.ndarray) -> list[tuple[str, tuple[int, ...]]]:
+        """What ``window`` gives for each window of a text, in its order; id tuples are looked up as packed numbers, all in one go."""
+        at_a, at_b = self.anchors(a, b)
+        keys = []
+        for ids, at in ((a, at_a), (b, at_b)):
+            data, bounds = ids.tobytes(), (at * ids.itemsize).tolist()
+            keys.append([data[i:k] for i, k in zip(bounds, bounds[1:], strict=False)])
+        found = list(map(self.cache.get, zip(*keys, strict=True)))
+        if None in found:
+            all_a, all_b, first_a, first_b = a.tolist(), b.tolist(), at_a.tolist(), at_b.tolist()
+            for n, x in enumerate(found):
+                if x is None:
+                    packed = keys[0][n], keys[1][n]
+                    found[n] = self.cache.get(packed) or self._found(packed, all_a[first_a[n] : first_a[n + 1]], all_b[first_b[n] : first_b[n + 1]])
+        return found
 
     def groups(self, a: tuple[int, ...], b: tuple[int, ...]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-        """Shortest runs of A and B tokens that end together."""
+        """Shortest runs of A and B tokens that end together; ``a`` and ``b`` do."""
+        if len(a) == 1 or len(b) == 1:
+            return [(a, b)]
         out, i, j, k, m = [], 0, 0, 0, 0
         end_a = end_b = 0
+        size_a, size_b = self.size_a, self.size_b
         while k < len(a) or m < len(b):
             if end_a <= end_b and k < len(a):
-                end_a += len(self.bytes_a[a[k]])
+                end_a += size_a[a[k]]
                 k += 1
             else:
-                end_b += len(self.bytes_b[b[m]])
+                end_b += size_b[b[m]]
                 m += 1
             if end_a == end_b:
                 out.append((a[i:k], b[j:m]))
                 i, j = k, m
         return out
 
-    def window(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, tuple[int, ...]]:
-        """The groups of a window as text, and the pair of ids of each link."""
-        got = self.cache.get(key)
-        if got is None:
-            found = self.groups(*key)
-            got = (";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found), tuple(x[-1] << _SHIFT | y[-1] for x, y in found))
-            if len(key[0]) + len(key[1]) <= CACHED_TOKENS:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[key] = got
+    def _found(self, packed: tuple[bytes, bytes], a: Sequence[int], b: Sequence[int]) -> tuple[str, tuple[int, ...]]:
+        """The groups of a window as text, and the pair of ids of each link; remembered unless the window is long."""
+        name, size_a, size_b = self.names, self.size_a, self.size_b
+        texts, links = [], []
+        ids_a, ids_b, end_a, end_b, m, y = [], [], 0, 0, 0, 0
+        for x in a:
+            end_a += size_a[x]
+            ids_a.append(name[x])
+            while end_b < end_a:
+                y = b[m]
+                m += 1
+                end_b += size_b[y]
+                ids_b.append(name[y])
+            if end_a == end_b:
+                texts.append(",".join(ids_a) + "|" + ",".join(ids_b))
+                links.append(x << _SHIFT | y)
+                ids_a, ids_b = [], []
+        got = ";".join(texts), tuple(links)
+        if len(a) + len(b) <= CACHED_TOKENS:
+            if len(self.cache) >= CACHE_ENTRIES:
+                self.cache.clear()
+            self.cache[packed] = got
         return got
 
+    def window(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, tuple[int, ...]]:
+        packed = tuple(np.array(ids, self.kind).tobytes() for ids in key)
+        return self.cache.get(packed) or self._found(packed, *key)
+
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -158,11 +264,11 @@ def _aligned(path_a: str, path_b: str):
             for lo, texts in _blocks(batch.column(1)):
                 docs, pairs, times, ends = [], [], [], []
                 total = 0
-                for tokens in own.tokens(texts):
+                for tokens in own.packed(texts):
                     if tokens is None:
                         docs.append((0, 0, 0, 0, ""))
                     else:
-                        found = [own.window(key) for key in own.windows(*tokens)]
+                        found = own.aligned(*tokens)
                         links = np.fromiter(chain.from_iterable(x[1] for x in found), np.int64)
                         one, n = np.unique(links, return_counts=True)
                         pairs.append(one)
