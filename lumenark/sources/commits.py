@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import tempfile
 import time
 from urllib.parse import urlparse
@@ -17,7 +18,7 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 _MANIFESTS = "_manifests"
-_PATIENCE_S = 10.0
+_PATIENCE_S = 60.0
 
 
 def _files(spark: SparkSession, folder: str):
@@ -84,7 +85,7 @@ def commit(spark: SparkSession, folder: str, version: int, content: dict) -> boo
 
 def updated(spark: SparkSession, folder: str, change, tries_s: float = _PATIENCE_S) -> dict:
     """Commits what ``change`` makes of the last content, again from the new one where another writer was first."""
-    end = time.monotonic() + tries_s
+    end, turn = time.monotonic() + tries_s, 0
     while True:
         version, content = latest(spark, folder)
         new = change(content)
@@ -92,3 +93,5 @@ def updated(spark: SparkSession, folder: str, change, tries_s: float = _PATIENCE
             return new
         if time.monotonic() > end:
             raise TimeoutError(f"others keep committing to {folder}")
+        turn += 1
+        time.sleep(random.uniform(0, min(1.0, 0.02 * 2**turn)))  # so that writers do not meet again
