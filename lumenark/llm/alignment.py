@@ -1,7 +1,6 @@
 """Alignment of two tokenizers over the same texts: a byte-level BPE (A) and a piece BPE with byte fallback (B).
 
-Both tokenizers run over the whole text first; it is cut into chunks where neither can have a token, and chunks that are
-known are not tokenised again. Where a token of A and one of B begin with a blank at the same byte, the
+Both tokenizers run over the whole text first. Where a token of A and one of B begin with a blank at the same byte, the
 tokens before them end together: these verified ends are anchors, which cut the token sequences into windows of about a
 word. A window is known by its two tuples of ids; its alignment (groups between shared ends, and links of tokens that end
 together) is found once and remembered, in a bounded cache. A text is aligned only if the bytes of both sequences are the
@@ -35,8 +34,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK_BYTES = 4 << 20
-#: Bounds of the caches of chunks and of windows, and what is too long for them.
-CACHE_ENTRIES, CACHED_TOKENS, CACHED_CHARS = 200_000, 48, 64
+#: Bound of the cache of windows, and tokens of those that are kept.
+CACHE_ENTRIES, CACHED_TOKENS = 300_000, 48
 #: Longer texts are cut into pre-tokens without a regular expression, which may not hold endless runs of white space.
 LONG_TEXT = 100_000
 _SHIFT = 32
@@ -74,85 +73,25 @@ class Aligner:
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.marked_a, self.marked_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
         self.kind = np.uint16 if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else np.uint32
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.cache: dict[tuple[bytes, bytes], tuple[str, tuple[int, ...]]] = {}
 
     @staticmethod
     def _bytes_of(piece: str, is_byte: bool) -> bytes:
         return bytes([int(piece[3:-1], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text cut before blanks that follow something else than white space, without these blanks.
-
-        No pre-token of A and no piece of B goes on over such a cut, so the tokens of a text are those of its chunks.
-        """
-        out, at = [], None
-        for part in text.split(" "):
-            if at is None:
-                at = part
-            elif not at or at[-1].isspace():
-                at += " " + part
-            else:
-                out.append(at)
-                at = part
-        if out and not at.strip(" "):  # blanks alone would have no blank of their own in front
-            out[-1] += " " + at
-        else:
-            out.append(at)
-        return out
-
-    def _tokenized(self, chunks: list[str]) -> None:
-        """Adds the packed ids of chunks to ``known``; None where the bytes are not those of the blank and the chunk."""
+    def packed(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of each text by A and by B; None where there are none."""
         from .bpe import encode_batch
 
-        for chunk, b in zip(chunks, self.pieces.encode(chunks, num_threads=1), strict=True):
-            whole = " " + chunk
-            a = self.fast.encode_ordinary(whole) if len(chunk) <= LONG_TEXT else next(encode_batch(pa.array([whole]), self.slow))
-            raw = whole.encode()
-            ok = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            self.known[chunk] = (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if ok else None
-
-    def _learned(self, chunks: list[str]) -> None:
-        """Tokenises chunks side by side: they are put in a row, as the tokens of a text are those of its chunks, and told apart by their ends."""
-        alone = []
-        short = [c for c in chunks if c and len(c) <= CACHED_CHARS and not c[-1].isspace()]
-        groups = [short[i : i + 256] for i in range(0, len(short), 256)]
-        texts = [" ".join(g) for g in groups]
-        for group, text, ids_b in zip(groups, texts, self.pieces.encode(texts, num_threads=1), strict=True):
-            whole = " " + text
-            ids_a, raw = self.fast.encode_ordinary(whole), whole.encode()
-            ok = b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, ids_b)) == raw
-            ends, found = np.cumsum([len(c.encode()) + 1 for c in group]), []
-            for ids, sizes in ((np.array(ids_a, self.kind), self.len_a), (np.array(ids_b, self.kind), self.len_b)):
-                own = np.cumsum(sizes[ids])
-                at = np.minimum(np.searchsorted(own, ends), len(own) - 1)
-                ok = ok and bool((own[at] == ends).all())
-                data, bounds = ids.tobytes(), [0, *((at + 1) * ids.itemsize).tolist()]
-                found.append([data[i:k] for i, k in zip(bounds, bounds[1:], strict=False)])
-            if ok:
-                self.known.update(zip(group, zip(*found, strict=True), strict=True))
-            else:  # each by itself tells which it is
-                alone += group
-        self._tokenized([*alone, *(c for c in chunks if not c or len(c) > CACHED_CHARS or c[-1].isspace())])
-
-    def packed(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of each text by A and by B, tokenised whole; None where there are none. Chunks that are known are not tokenised again."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = list(dict.fromkeys(chain.from_iterable(cut)))
-        self._learned(new)
-        for chunks in cut:
-            if not chunks:
+        for text, b in zip(texts, self.pieces.encode(texts, num_threads=1), strict=True):
+            if not text:
                 yield None
                 continue
-            found = list(map(self.known.__getitem__, chunks))
-            yield None if None in found else tuple(np.frombuffer(b"".join(x), self.kind) for x in zip(*found, strict=True))
-        for c in new:
-            if len(c) > CACHED_CHARS:
-                del self.known[c]
+            whole = " " + text
+            a = self.fast.encode_ordinary(whole) if len(text) <= LONG_TEXT else next(encode_batch(pa.array([whole]), self.slow))
+            raw = whole.encode()
+            ok = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            yield (np.array(a, self.kind), np.array(b, self.kind)) if ok else None
 
     def tokens(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """The same as lists."""

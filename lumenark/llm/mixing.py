@@ -104,7 +104,7 @@ def mixture(documents: DataFrame, quality: DataFrame | None = None, weights: Seq
 
 
 def mixed(documents: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of the mix: each of ``documents`` as often as it is taken, whole.
+    """The rows of the mix: each of ``documents`` as often as it is taken, whole, with all its columns, whatever their names.
 
     The last document that a source takes of its fraction is an edge, one for each source, and documents are held against it.
     """
@@ -112,6 +112,8 @@ def mixed(documents: DataFrame, quality: DataFrame | None = None, weights: Seque
     place = F.struct(F.col("sample_key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("size"))
     low = F.floor(F.col("target") / F.col("source_size"))
     edges = written(plan.where("source_size > 0").groupBy("source").agg(F.first(low).cast("int").alias("lk_whole"), F.max(F.when(F.col("copies") > low, place)).alias("lk_edge")), "edges")
-    rows = _with_targets(keyed(documents, quality, seed), edges, edges)
+    # the row is one column, so that no name of the table can clash with ours
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = _with_targets(keyed(documents.select(row, "doc_id", "source", "text"), quality, seed, ["row", "doc_id", "source"]), edges, edges)
     copies = F.col("lk_whole") + F.coalesce(place <= F.col("lk_edge"), F.lit(False)).cast("int")
-    return rows.where(F.col("size") > 0).withColumn("lk_copies", copies).where("lk_copies > 0").withColumn("lk_copy", F.explode(F.sequence(F.lit(1), "lk_copies"))).select(*documents.columns)
+    return rows.where(F.col("size") > 0).withColumn("lk_copies", copies).where("lk_copies > 0").withColumn("lk_copy", F.explode(F.sequence(F.lit(1), "lk_copies"))).select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

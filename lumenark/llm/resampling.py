@@ -135,7 +135,7 @@ def resampled(documents: DataFrame, target: DataFrame, max_n: int = 1, buckets:
 
 
 def drawn(documents: DataFrame, target: DataFrame, max_n: int = 1, buckets: int = BUCKETS, percent: int = PERCENT, min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
-    """The drawn rows of ``documents`` themselves, with n_words, n_features, weight and score (wholly equal rows at the edge all stay).
+    """The drawn rows of ``documents`` themselves, with all their columns, whatever their names (rows of equal score and id at the edge all stay).
 
     Texts aren't shuffled: the last drawn row's score and id are the edge that a pass over the documents filters by.
     """
@@ -145,8 +145,11 @@ def drawn(documents: DataFrame, target: DataFrame, max_n: int = 1, buckets: int
     scored = written(weighed(docs, gain, max_n, seed).drop("text").where(able), "scored")
     n = percent * scored.count() // 100
     edge = running_totals(scored, best_first()).where(F.col("before") == n - 1).first()
-    rows = weighed(documents, gain, max_n, seed)
     if edge is None:
-        return rows.where(F.lit(False))
+        return documents.where(F.lit(False))
+    # the row is one column, so that no name of the table can clash with ours
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = weighed(documents.select(row, "doc_id", "text"), gain, max_n, seed)
     tied = F.lit(True) if edge["doc_id"] is None else F.coalesce(F.col("doc_id") <= F.lit(edge["doc_id"]), F.lit(False))
-    return rows.where(able & ((F.col("score") > edge["score"]) | (F.col("score") == edge["score"]) & tied))
+    kept = rows.where(able & ((F.col("score") > edge["score"]) | (F.col("score") == edge["score"]) & tied))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -102,7 +102,6 @@ def test_very_long_texts_and_white_space():
         assert sum(len(g[0]) for k in keys for g in own.groups(*k)) == len(a)
     short = "line\n\n  of text " * 20
     whole = list(own.tokens([short]))
-    own.known.clear()
     module_limit, module.LONG_TEXT = module.LONG_TEXT, 10
     try:
         assert list(own.tokens([short])) == whole
@@ -130,19 +129,3 @@ def test_groups_and_empty_table(docs):
     assert token_groups(docs([(1, None)]), A, B).first().groups == []
     assert alignment(docs([]), A, B).count() == 0
     assert rows_of(alignment(docs([(1, None), (2, "")]), A, B)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
-
-
-def test_chunks_give_the_tokens_of_whole_texts(monkeypatch):
-    monkeypatch.setattr(module, "CACHE_ENTRIES", 400)
-    rng = random.Random(12)
-    own = Aligner(A, B)
-    marks = [" ", " ", "  ", "   ", "\n", "\t ", " \n ", "\u3000", "\xa0", " \xa0", "\x1c", "\u2028 ", "▁", " ▁", "\r\n", ""]
-    words = ["a", "It's", "don't", "WORD", "12", "3.5", "é", "漢字", "\U0001f600", "…", "<s>", "'ll", "x" * 70, "\u0301", "-", "<0x41>", "ß", "नमस्ते"]
-    texts = [" ", "  ", "   ", " a", "a ", "a  ", "a   ", "  a  ", "\n", "\n ", " \n", "a\n ", "a \n b"]
-    texts += ["".join(rng.choice(words) + rng.choice(marks) for _ in range(rng.randrange(1, 25))) for _ in range(4_000)]
-    texts += [rng.choice(marks) + t for t in texts[:500]]
-    got_all = [got for i in range(0, len(texts), 90) for got in own.tokens(texts[i : i + 90])]
-    for text, got in zip(texts, got_all, strict=True):
-        a, b = own.fast.encode_ordinary(" " + text), own.pieces.encode(text)
-        whole = b"".join(own.bytes_a[i] for i in a) == b"".join(own.bytes_b[i] for i in b) == (" " + text).encode()
-        assert got == ((a, b) if whole else None), repr(text)

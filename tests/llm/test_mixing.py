@@ -67,7 +67,7 @@ def test_like_plain_python(spark, monkeypatch, few):
     rng = random.Random(11)
     rows = corpus_rows(rng)
     quality = [(i, rng.choice([0.0, 1.0, None])) for i in range(0, 400, 3)] + [(3, 1.0), (6, 0.0), (None, 1.0)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as before", "'x' as weight", "2 as target").repartition(5)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as before", "'x' as weight", "2 as target", "9 as size", "8 as sample_key", "7 as row").repartition(5)
     marks = spark.createDataFrame(quality, "doc_id long, quality double")
     got = mixture(df, marks)
     assert rows_of(got) == plain(rows, quality)

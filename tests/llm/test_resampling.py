@@ -70,9 +70,10 @@ def test_whole_table(spark, sf_dir, corpus):
     rows = [(r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()]
     got = rows_of(resampled(corpus, target))
     assert got == plain(rows, [r.text for r in target.collect()])
-    kept = drawn(corpus, target)
+    wide = corpus.selectExpr("*", "1 as score", "2 as weight", "3 as n_words", "4 as row")
+    kept = drawn(wide, target)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in got if r[4] is not None)
-    assert kept.columns[: len(corpus.columns)] == corpus.columns
+    assert kept.columns == wide.columns and kept.select("score", "row").distinct().collect() == [(1, 4)]
 
 
 def test_empty_tables(spark, docs):
