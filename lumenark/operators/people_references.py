@@ -1,15 +1,18 @@
 """People whom questions refer to: names from a table of any size, found among the words of all questions at once.
 
 The words of a question are cut once, in normal form. Runs of up to ``LONGEST`` words are joined with the names, so the table of
-names may hold as many as it likes and neither side is looped over. Each run carries the few words around it, which tell
-whether the person is to be absent (a negation among the three words before, or a trailing one among the three behind),
-or whether a first person only tells who took the picture (a verb of capture among the four words behind) or who asks
-(``show me``). Mentions that contradict each other give both clauses, so that nothing is found rather than too much.
+names may hold as many as it likes and neither side is looped over. The few words around a run are looked at where it is cut,
+so that what is joined of it is the run and one flag: they tell whether the person is to be absent (a negation among the
+three words before, or a trailing one among the three behind), or whether a first person only tells who took the picture (a
+verb of capture among the four words behind) or who asks (``show me``). Mentions that contradict each other give both
+clauses, so that nothing is found rather than too much. The work on a question grows with its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
@@ -47,20 +50,25 @@ def person_clauses(questions: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select(F.array_join(F.regexp_extract_all(nfkc(F.col("name")), F.lit(TOKEN), F.lit(0)), " ").alias("run"), "person_id").where("run <> ''").distinct()
     words = questions.select("id", F.regexp_extract_all(nfkc(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("w")).where("size(w) > 0")
 
-    def run(n: int):
-        part = lambda w, low, size: F.slice(w, F.greatest(low, F.lit(1)), F.greatest(size, F.lit(0)))
-        return lambda w: F.transform(
-            F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(
-                F.array_join(F.slice(w, i, F.lit(n)), " ").alias("run"), part(w, i - NEGATION_WORDS, F.least(i - 1, F.lit(NEGATION_WORDS))).alias("before"), part(w, i + n, F.lit(AUTHOR_WORDS)).alias("behind"),
-            ),
-        )
+    def runs(w: Column) -> Column:
+        """The distinct runs of the words with ``present``; words are read by their place alone, as a slice copies the whole array."""
+        at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+        some = lambda places, of: reduce(Column.__or__, [at(i).isin(*of) for i in places])
+
+        def one(i: Column, n: int) -> Column:
+            run = F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
+            behind = [i + (n + k) for k in range(AUTHOR_WORDS)]
+            present = ~some([i - k for k in range(1, NEGATION_WORDS + 1)], NEGATIONS) & ~some(behind[:NEGATION_WORDS], TRAILING_NEGATIONS)
+            out = F.struct(run.alias("run"), present.alias("present"))
+            if n > 1:
+                return F.when(i + n <= F.size(w), out)
+            author = run.isin(*FIRST_PERSON) & some(behind, CAPTURE_VERBS)
+            recipient = (run == "me") & at(i - 1).isin(*REQUEST_VERBS) & ~at(i + 1).isin(*CONTINUATIONS)
+            return F.when(~author & ~recipient, out)
+
+        of_length = lambda n: F.filter(F.transform(w, lambda _, i: one(i, n)), lambda x: x.isNotNull())
+        return F.array_distinct(F.concat(*map(of_length, range(1, LONGEST + 1))))
 
-    runs = F.transform(F.array("w"), lambda w: F.concat(*[run(n)(w) for n in range(1, LONGEST + 1)]))[0]  # the words are computed once
-    hits = words.select("id", F.explode(runs).alias("r")).select("id", "r.*").join(known, "run")
-    some = lambda words_, of: F.arrays_overlap(words_, F.array(*map(F.lit, of)))
-    author = F.col("run").isin(*FIRST_PERSON) & some(F.col("behind"), CAPTURE_VERBS)
-    last, following = F.coalesce(F.try_element_at("before", F.lit(-1)), F.lit("")), F.coalesce(F.get("behind", F.lit(0)), F.lit(""))
-    recipient = (F.col("run") == "me") & last.isin(*REQUEST_VERBS) & ~following.isin(*CONTINUATIONS)
-    present = ~some(F.col("before"), NEGATIONS) & ~some(F.slice("behind", 1, NEGATION_WORDS), TRAILING_NEGATIONS)
-    return hits.where(~author & ~recipient).select("id", "person_id", present.alias("present")).distinct()
+    cut = F.transform(F.array("w"), runs)[0]  # the words are computed once
+    hits = words.select("id", F.explode(cut).alias("r")).select("id", "r.*").join(known, "run")
+    return hits.select("id", "person_id", "present").distinct()

@@ -64,6 +64,14 @@ def test_references_like_a_plain_matcher(spark):
         assert got.get(i, set()) == want, text
 
 
+def test_references_are_joined_as_runs_with_one_flag(spark):
+    names = spark.createDataFrame([("Anna Maria", "p1")], "name string, person_id string")
+    out = P.person_clauses(spark.createDataFrame([(1, "not Anna Maria, " + "with x " * 20_000 + "Anna Maria")], "id long, text string"), names)
+    assert sorted(out.collect()) == [(1, "p1", False), (1, "p1", True)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "before" not in plan and "behind" not in plan  # a slice copies all words, and its words were shuffled
+
+
 def plain_object(raw):
     start, depth, inside, escaped = -1, 0, False, False
     for i, c in enumerate(raw or ""):
