@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.ids import signless_long
-from .components import checkpointed, components
+from .components import checkpointed, joined_sets
 
 HOUR = 3_600_000
 LONG_GAP, ALBUM_GAP, MOVE_GAP, MOVE_KM = 18 * HOUR, 45 * 60_000, 30 * 60_000, 100.0
@@ -76,84 +75,33 @@ def _known(corrections: DataFrame) -> DataFrame:
     return corrections.withColumn("operation", F.when(F.col("operation").isin(*OPERATIONS), F.col("operation")).otherwise(wrong))
 
 
-def replayed(steps: Iterable[tuple[int, str, list[tuple[int, str]]]]) -> tuple[dict[int, str], dict[str, str]]:
-    """The group of each named id, and the new name of each group's other members, after steps (number, operation, (id, first group)).
-
-    A set of named ids and of rests of groups has one name; a merge moves the smaller sets into the largest, so that the
-    work is about that of reading the steps.
-    """
-    set_of: dict[object, int] = {}
-    items: dict[int, set] = {}
-    name: dict[int, str] = {}
-    first: dict[str, int] = {}
-
-    def open_set(label: str) -> int:
-        items[len(name)] = set()
-        name[len(name)] = label
-        return len(name) - 1
-
-    def move(x: object, to: int) -> None:
-        items[set_of[x]].discard(x)
-        set_of[x] = to
-        items[to].add(x)
-
-    steps = list(steps)
-    for _, _, named in steps:
-        for i, group in named:
-            if group not in first:
-                first[group] = open_set(group)
-                set_of["rest", group] = first[group]
-                items[first[group]].add(("rest", group))
-            if i not in set_of:
-                set_of[i] = first[group]
-                items[first[group]].add(i)
-    for number, operation, named in steps:
-        ids = dict.fromkeys(i for i, _ in named)
-        if operation == "SPLIT":
-            to = open_set(f"split-{number}")
-            for i in ids:
-                move(i, to)
-        elif operation == "MERGE":
-            hit = sorted({set_of[i] for i in ids}, key=lambda k: (len(items[k]), k))
-            if len(hit) > 1:
-                for k in hit[:-1]:
-                    for x in items[k]:
-                        set_of[x] = hit[-1]
-                    items[hit[-1]] |= items.pop(k)
-                name[hit[-1]] = f"merge-{number}"
-    return {x: name[k] for x, k in set_of.items() if not isinstance(x, tuple)}, {x[1]: name[k] for x, k in set_of.items() if isinstance(x, tuple)}
-
-
-def _replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["number", "id"])
-    steps = [(int(n), part.operation.iloc[0], list(zip(part.id.tolist(), part.grp.tolist(), strict=True))) for n, part in rows.groupby("number", sort=True)]
-    ids, rests = replayed(steps)
-    return pd.DataFrame({"id": pd.array([*ids, *[None] * len(rests)], "Int64"), "rest": [*[None] * len(ids), *rests], "new_grp": [*ids.values(), *rests.values()]})
-
-
 def corrected(sessions: DataFrame, corrections: DataFrame | Sequence[tuple], by: Sequence[str] = ("user_id",)) -> DataFrame:
     """Sessions after MERGE and SPLIT corrections in the order of their numbers, with ``grp``, the key of a group.
 
     ``corrections`` is a table (number, operation, ids, label) or a list for ``correction_table``; RENAME and LOCATION leave the groups
     as they are and are applied by ``compiled``; any other operation is an error; ids that no session has change nothing.
+    Merges of one number are one merge, and come before splits of that number.
 
-    Corrections that touch a group in common are linked, and components of these links are replayed side by side, each in
-    one call over the ids that its corrections name and a token for the other members of each group. So the plan is the same for
-    any number of corrections, and what a call gets grows with the linked corrections and not with the groups.
+    Nothing is replayed step by step. An id stands in its first group until a split names it, then in the set of the last
+    split that did, so a merge links the sets in which its ids stand at its number. Sets are never parted, only left: what comes
+    of them are the components of these links, each named by the last merge that joined two sets, or by its only set. The plan is
+    the same for any number of corrections, and corrections that are all linked are no more in one task than others.
     """
     grouped = _grouped(sessions, by)
     if not isinstance(corrections, DataFrame):
         corrections = correction_table(sessions.sparkSession, corrections)
-    steps = _known(corrections).where("operation in ('MERGE', 'SPLIT')").select("number", "operation", F.explode(F.array_distinct("ids")).alias("id"))
-    touched = checkpointed(steps.join(grouped.select("id", "grp"), "id"))
-    least = touched.groupBy("grp").agg(F.min("number").alias("b"))
-    links = touched.select("grp", F.col("number").alias("a")).distinct().join(least, "grp").where("a <> b").select("a", "b")
-    parts = components(touched.select(F.col("number").alias("id")).distinct(), links).withColumnRenamed("id", "number")
-    new = checkpointed(touched.join(parts, "number").groupBy("component").applyInPandas(_replay, "id long, rest string, new_grp string"))
-    by_id = new.where("id is not null").select("id", F.col("new_grp").alias("_named"))
-    by_rest = new.where("rest is not null").select(F.col("rest").alias("grp"), F.col("new_grp").alias("_rest"))
-    out = grouped.join(by_id, "id", "left").join(by_rest, "grp", "left")
-    return out.withColumn("grp", F.coalesce("_named", "_rest", "grp")).select(*grouped.columns)
+    known = _known(corrections).where("operation in ('MERGE', 'SPLIT') and number is not null")
+    steps = known.select("number", (F.col("operation") == "SPLIT").alias("split"), F.explode(F.array_distinct("ids")).alias("id"))
+    own = lambda number: F.concat(F.lit("split-"), number.cast("string"))
+    before = F.last(F.when(F.col("split"), F.col("number")), ignorenulls=True).over(Window.partitionBy("id").orderBy("number", "split").rowsBetween(Window.unboundedPreceding, 0))
+    stands = steps.join(grouped.select("id", "grp"), "id").select("number", "split", F.coalesce(own(before), "grp").alias("at"))
+    merges = stands.where("not split").select("number", "at").distinct()
+    order = Window.partitionBy("number").orderBy("at")
+    links = merges.select(F.first("at").over(order).alias("a"), F.col("at").alias("b"), "number", F.row_number().over(order).alias("part")).where("part > 1")
+    sets = joined_sets(links).where("last is not null").select(F.col("id").alias("_at"), "last")
+    parted = steps.where("split").groupBy("id").agg(F.max("number").alias("_split"))
+    out = grouped.join(parted, "id", "left").withColumn("_at", F.coalesce(own(F.col("_split")), "grp")).join(sets, "_at", "left")
+    return out.withColumn("grp", F.coalesce(F.concat(F.lit("merge-"), F.col("last").cast("string")), "_at")).select(*grouped.columns)
 
 
 def _labels(groups: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 
 from lumenark.operators import events as E
+from lumenark.operators.components import joined_sets
 from lumenark.plans import events as plans
 from lumenark.sources.tables import captures
 
@@ -58,6 +59,32 @@ def test_ten_thousand_corrections_have_one_plan(spark, sf_dir):
     assert size(got) == size(E.corrected(sessions, made.limit(5)))
 
 
+def test_linked_corrections_are_not_one_call(spark):
+    """All corrections are linked by one id; no task of Python gets them as one group."""
+    rng = random.Random(6)
+    groups = {i: f"1:{i // 3}" for i in range(600)}
+    sessions = spark.createDataFrame([(i, 1, i // 3) for i in groups], "id long, user_id long, session long")
+    made = [(k, ["MERGE", "MERGE", "SPLIT"][k % 3], [0, *rng.sample(range(600), 4)] if k % 3 < 2 else [rng.randrange(600), 0], None) for k in range(400)]
+    got = E.corrected(sessions, spark.createDataFrame(made, E.CORRECTION))
+    assert {r.id: r.grp for r in got.collect()} == plain(groups, made)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString() and not hasattr(E, "replayed")
+
+
+def test_sets_joined_in_order(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(80), rng.randrange(80), n // 2, n % 2) for n in range(70)]
+    root, last = list(range(80)), [None] * 80
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b, n, _ in links:
+        a, b = find(a), find(b)
+        if a != b:
+            root[b], last[a] = a, n
+    got = {r.id: (r.component, r.last) for r in joined_sets(spark.createDataFrame([(f"{a:02}", f"{b:02}", n, p) for a, b, n, p in links], "a string, b string, number long, part int")).collect()}
+    used = {x for a, b, *_ in links if a != b for x in (a, b)}
+    assert {i: v[1] for i, v in got.items()} == {f"{x:02}": last[find(x)] for x in used}
+    assert all((got[f"{x:02}"][0] == got[f"{y:02}"][0]) == (find(x) == find(y)) for x in used for y in used)
+
+
 def test_unknown_operations_are_refused(spark):
     sessions = spark.createDataFrame([(1, 1, 1)], "id long, user_id long, session long")
     with pytest.raises(PySparkException, match="unknown correction ERASE"):
