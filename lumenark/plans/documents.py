@@ -61,13 +61,13 @@ def typed_document_facts(spark, sf_dir) -> DataFrame:
 @query(r"""SELECT doc_id AS media_id, lower(unnest(list_distinct(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b')))) AS normalized_value, 'EMAIL' AS entity_type, 0.96::DOUBLE AS confidence FROM documents""")
 def email_facts(spark, sf_dir) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.lit(0).alias("block_id"), "text", F.lit(1.0).alias("confidence"))
-    return T.typed_facts(docs).where("entity_type = 'EMAIL'").select("media_id", "normalized_value", "entity_type", "confidence")
+    return T.typed_facts(docs, ["EMAIL"]).select("media_id", "normalized_value", "entity_type", "confidence")
 
 
 @query(f"WITH {BLOCKS_SQL}, {_facts_sql()} SELECT media_id, list_sort(list(normalized_value)) AS phones FROM facts WHERE entity_type = 'PHONE' GROUP BY media_id")
 def phone_facts(spark, sf_dir) -> DataFrame:
     """The telephone numbers of each item."""
-    return T.typed_facts(blocks(spark, sf_dir)).where("entity_type = 'PHONE'").groupBy("media_id").agg(F.array_sort(F.collect_list("normalized_value")).alias("phones"))
+    return T.typed_facts(blocks(spark, sf_dir), ["PHONE"]).groupBy("media_id").agg(F.array_sort(F.collect_list("normalized_value")).alias("phones"))
 
 
 @query(None)
