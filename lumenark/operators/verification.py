@@ -10,8 +10,9 @@ from .retrieval import TOKEN
 
 TOLERANCE = 0.02
 SIDES = ("left", "top", "right", "bottom")
-#: Cells are a little wider than the tolerance, so that two sides within it lie in one cell or in neighbours.
-_CELL = TOLERANCE * 1.001
+#: The reach around a corner is a little wider than the tolerance, so that rounding loses no pair. Cells of four tolerances hold the whole
+#: reach of half the corners on each axis, so that a row asks 2.25 cells on average.
+_REACH, _CELL = TOLERANCE * 1.001, TOLERANCE * 4
 
 
 def canonical_predicate(text: Column) -> Column:
@@ -19,22 +20,25 @@ def canonical_predicate(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(nfkc(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), " ")
 
 
+def asked_cells(wanted: DataFrame) -> DataFrame:
+    """Each box with the cells (_x, _y) that its reach touches, one to four."""
+    touched = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / _CELL) for d in (-_REACH, _REACH)]))
+    return wanted.select("*", F.explode(touched("left")).alias("_x")).select("*", F.explode(touched("top")).alias("_y"))
+
+
 def within_tolerance(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of rows of ``wanted`` and ``known`` with equal keys and boxes (left, top, right, bottom) that differ by the tolerance at most.
 
-    The boxes' left upper corners lie in a grid; a wanted one asks its cell and the eight around it, so rows are compared
-    only with those of nine cells of their keys. A cell with very many rows is a key of a plain join, which Spark splits.
+    The boxes' left upper corners lie in a grid; a wanted one asks the cells that its reach touches, one to four, so rows are compared
+    only with those of these cells of their keys. A cell with very many rows is a key of a plain join, which Spark splits.
     Columns of ``known`` other than the keys get the prefix ``known_``; a box with a null or missing side is near none.
     """
     cell = lambda c: F.floor(F.col(c) / _CELL)
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    asked = wanted.select("*", F.explode(around).alias("_dx")).select("*", F.explode(around).alias("_dy"))
-    asked = asked.select(*wanted.columns, (cell("left") + F.col("_dx")).alias("_x"), (cell("top") + F.col("_dy")).alias("_y"))
     there = known.select(*keys, cell("left").alias("_x"), cell("top").alias("_y"), *[F.col(c).alias(f"known_{c}") for c in known.columns if c not in keys])
     near = F.lit(True)
     for side in SIDES:
         near = near & (F.abs(F.col(side) - F.col(f"known_{side}")) <= TOLERANCE)
-    return asked.join(there, [*keys, "_x", "_y"]).where(near).drop("_x", "_y")
+    return asked_cells(wanted).join(there, [*keys, "_x", "_y"]).where(near).drop("_x", "_y")
 
 
 def reusable_verdicts(conditions: DataFrame, bindings: DataFrame, facts: DataFrame, prompt_version: str, region_version: str, model_version: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenark.functions.objects import first_balanced, first_object
 from lumenark.operators import people_references as P
-from lumenark.operators.verification import TOLERANCE, within_tolerance
+from lumenark.operators.verification import TOLERANCE, asked_cells, within_tolerance
 
 BOX = "id long, k int, left double, top double, right double, bottom double"
 
@@ -31,6 +31,17 @@ def test_boxes_near_each_other_are_those_of_all_pairs(spark):
     assert got == want and len(want) > 300
 
 
+def test_a_box_asks_few_cells(spark):
+    rng = random.Random(7)
+    a = [(i, 0, x := rng.uniform(-3, 3), y := rng.uniform(-3, 3), x + 0.1, y + 0.1) for i in range(2_000)]
+    b = [(i, k, x + rng.choice([-0.02, 0.0, 0.0199, 0.03]), y + rng.choice([0.02, -0.0199, -0.03]), x2, y2) for i, k, x, y, x2, y2 in a]
+    wanted, known = spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)
+    near = lambda x, y: all(abs(p - q) <= TOLERANCE for p, q in zip(x[2:], y[2:], strict=True))
+    got = within_tolerance(wanted, known, ["k"])
+    assert {r.id for r in got.where("id = known_id").collect()} == {x[0] for x, y in zip(a, b, strict=True) if near(x, y)}
+    assert asked_cells(wanted).count() < 2.6 * len(a)  # it was nine for each
+
+
 def clauses(text, names):
     words = re.findall(r"\w+", text.lower())
     out = set()
