@@ -1,8 +1,8 @@
 """An inverted index as a table: postings by term, kept up by changed items, and searches that read only the terms asked for.
 
 The index is a list of segments, each with the postings (term, id, tf, n) and the items (id, n) of one build or change; a
-manifest names the live segments. Postings are laid out in buckets by the hash of the term, sorted by term, and a bucket is
-split over files where a term is frequent: a search reads the buckets of its terms, and of these the row groups that can hold
+manifest names the live segments. Postings are laid out in buckets by the hash of the term, sorted by term, and each bucket is
+split over files by the hash of the item, as a term may be in most items: a search reads the buckets of its terms, and of these the row groups that can hold
 them. A change writes a segment with the postings of the changed items alone, and voids (id) for what they and removed
 items had before; postings of older segments that a later one voids do not count. ``compacted`` makes one segment of all.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -24,18 +25,36 @@ from pyspark.sql import functions as F
 from ..sources import commits
 from .retrieval import tokens
 
-BUCKETS = 64
+BUCKETS, ROWS = 64, 512
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While words go to Python it gets ``ROWS`` texts at a time, so that its memory does not grow with the files that a task reads."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _laid(rows: DataFrame) -> DataFrame:
+    """Postings dealt to where they are stored, by hashes: ranges would be found by a first run over all texts."""
+    slices = max(1, -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
+    return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(slices))).sortWithinPartitions("bucket", "term", "id")
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The terms of each row with their frequencies: a row is counted in its task, so the terms are shuffled once, to where they are stored."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
+        for lo in range(0, batch.num_rows, ROWS):
+            part = batch.slice(lo, ROWS)
             words = part.column(1)
             pairs = pa.table({"row": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
             counts = pairs.group_by(["row", "term"]).aggregate([([], "count_all")]).combine_chunks()
@@ -51,9 +70,8 @@ def _segment(items: DataFrame, voids: DataFrame | None, folder: str, buckets: in
     words.select("id", F.size("w").alias("n")).write.parquet(f"{folder}/{place}/items")
     kind = items.schema["id"].dataType.simpleString()
     counted = words.mapInArrow(_counted, f"id {kind}, n int, term string, tf int").withColumn("bucket", bucket_of(F.col("term"), buckets))
-    # by ranges, so that a term which most items hold is spread over files
-    laid = counted.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-    laid.write.partitionBy("bucket").parquet(f"{folder}/{place}/postings")
+    with _small_batches(items.sparkSession):
+        _laid(counted).write.partitionBy("bucket").parquet(f"{folder}/{place}/postings")
     if voids is not None:
         voids.select("id").distinct().write.parquet(f"{folder}/{place}/voids")
     return {"place": place, "voids": voids is not None}
@@ -125,7 +143,7 @@ def compacted(spark: SparkSession, folder: str) -> None:
     place, known = f"segments/{uuid.uuid4().hex}", len(index["segments"])
     _read(spark, folder, index, "items", f"id {index['id']}, n int").write.parquet(f"{folder}/{place}/items")
     rows = _read(spark, folder, index, "postings", f"id {index['id']}, n int, term string, tf int, bucket int")
-    rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{folder}/{place}/postings")
+    _laid(rows).write.partitionBy("bucket").parquet(f"{folder}/{place}/postings")
 
     def replaced(now: dict) -> dict:
         if now["segments"][:known] != index["segments"]:

@@ -50,6 +50,26 @@ def test_a_search_reads_its_buckets(spark, tmp_path):
     assert len(buckets) == 1
 
 
+def test_texts_are_cut_once_and_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    sizes, runs = str(tmp_path / "sizes"), spark.sparkContext.accumulator(0)
+    counted = P._counted
+
+    def watched(batches):
+        runs.add(1)
+        for batch in batches:
+            with open(sizes, "a") as f:
+                f.write(f"{batch.num_rows}\n")
+            yield from counted(iter([batch]))
+
+    monkeypatch.setattr(P, "_counted", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(3_000).selectExpr("id", "concat('the w', id % 50) as text").coalesce(1)
+    P.create(rows, str(tmp_path / "i"))
+    assert runs.value == 1  # layout by ranges ran it once more, to find them
+    assert max(map(int, open(sizes).read().split())) <= P.ROWS and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert P.postings(spark, str(tmp_path / "i"), ("the", "w7")).count() == 3_060
+
+
 def test_empty_and_repeated(spark, tmp_path):
     P.create(table(spark, []), str(tmp_path / "e"))
     assert P.bm25(spark, str(tmp_path / "e"), ("a",)).count() == 0
