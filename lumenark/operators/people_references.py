@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import nfkc
+from ..functions.text import let, nfkc
 from .retrieval import TOKEN
 
 LONGEST, NEGATION_WORDS, AUTHOR_WORDS = 3, 3, 4
@@ -48,27 +48,42 @@ def well_known(spark) -> DataFrame:
 def person_clauses(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(id, person_id, present): who must, or must not, be in what a question (id, text) asks for, by ``names`` (name, person_id)."""
     known = names.select(F.array_join(F.regexp_extract_all(nfkc(F.col("name")), F.lit(TOKEN), F.lit(0)), " ").alias("run"), "person_id").where("run <> ''").distinct()
-    words = questions.select("id", F.regexp_extract_all(nfkc(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("w")).where("size(w) > 0")
+    words = questions.select("id", F.regexp_extract_all(nfkc(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0)).alias("w"))
+    cut = words.select("id", F.explode(let(F.col("w"), signed_runs)).alias("r")).where("r is not null")
+    runs = cut.select("id", F.expr("substring(r, 2)").alias("run"), F.col("r").startswith("+").alias("present"))
+    # Spark takes the runs to be as few as the questions, and would send them all through the driver to broadcast them.
+    return runs.hint("merge").join(known, "run").select("id", "person_id", "present").distinct()
 
-    def runs(w: Column) -> Column:
-        """The distinct runs of the words with ``present``; words are read by their place alone, as a slice copies the whole array."""
-        at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
-        some = lambda places, of: reduce(Column.__or__, [at(i).isin(*of) for i in places])
+
+def signed_runs(words: Column) -> Column:
+    """The distinct runs of the words, each behind ``+`` or, where a negation is near, ``-``; maybe a null among them.
+
+    The words that turn a run are marked once for each place, and words are read by their place alone, as a slice copies the whole
+    array. Runs are strings, as Spark compares each struct of an array with all others to find the distinct ones.
+    """
+    kind = lambda x: reduce(Column.__add__, [F.when(x.isin(*of), bit).otherwise(0) for of, bit in ((NEGATIONS, 1), (TRAILING_NEGATIONS, 2), (CAPTURE_VERBS, 4))])
+
+    def near(kinds: Column) -> Column:
+        """By place, and one behind the last: 1 for a negation before it; 2 for a trailing one, 4 for a verb of capture, from it on."""
+        some = lambda places, bit: reduce(Column.bitwiseOR, [F.coalesce(F.get(kinds, i), F.lit(0)) for i in places]).bitwiseAND(F.lit(bit))
+        one = lambda i: some([i - k for k in range(1, NEGATION_WORDS + 1)], 1) + some([i + k for k in range(NEGATION_WORDS)], 2) + some([i + k for k in range(AUTHOR_WORDS)], 4)
+        return F.transform(F.concat(kinds, F.array(F.lit(0))), lambda _, i: one(i))
+
+    def runs(around: Column) -> Column:
+        has = lambda i, bit: F.get(around, i).bitwiseAND(F.lit(bit)) != 0
 
         def one(i: Column, n: int) -> Column:
-            run = F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)])
-            behind = [i + (n + k) for k in range(AUTHOR_WORDS)]
-            present = ~some([i - k for k in range(1, NEGATION_WORDS + 1)], NEGATIONS) & ~some(behind[:NEGATION_WORDS], TRAILING_NEGATIONS)
-            out = F.struct(run.alias("run"), present.alias("present"))
+            """The run of n words from a place on; null if the words end before it does, or if it names nobody."""
+            sign = F.when(has(i, 1) | has(i + n, 2), "-").otherwise("+")
+            run = F.concat(sign, F.get(words, i), *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))])
             if n > 1:
-                return F.when(i + n <= F.size(w), out)
-            author = run.isin(*FIRST_PERSON) & some(behind, CAPTURE_VERBS)
-            recipient = (run == "me") & at(i - 1).isin(*REQUEST_VERBS) & ~at(i + 1).isin(*CONTINUATIONS)
-            return F.when(~author & ~recipient, out)
+                return run
+            word = F.get(words, i)
+            author = word.isin(*FIRST_PERSON) & has(i + 1, 4)
+            recipient = (word == "me") & F.coalesce(F.get(words, i - 1), F.lit("")).isin(*REQUEST_VERBS) & ~F.coalesce(F.get(words, i + 1), F.lit("")).isin(*CONTINUATIONS)
+            return F.when(~author & ~recipient, run)
 
-        of_length = lambda n: F.filter(F.transform(w, lambda _, i: one(i, n)), lambda x: x.isNotNull())
+        of_length = lambda n: F.transform(words, lambda _, i: one(i, n))
         return F.array_distinct(F.concat(*map(of_length, range(1, LONGEST + 1))))
 
-    cut = F.transform(F.array("w"), runs)[0]  # the words are computed once
-    hits = words.select("id", F.explode(cut).alias("r")).select("id", "r.*").join(known, "run")
-    return hits.select("id", "person_id", "present").distinct()
+    return let(let(F.transform(words, kind), near), runs)

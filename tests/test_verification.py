@@ -83,6 +83,22 @@ def test_references_are_joined_as_runs_with_one_flag(spark):
     assert "slice(" not in plan and "before" not in plan and "behind" not in plan  # a slice copies all words, and its words were shuffled
 
 
+def test_runs_of_few_questions_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i, f"not Anna Maria, wife {i}") for i in range(50)], "id long, text string").write.parquet(f"{tmp_path}/questions")
+    names = P.well_known(spark).unionByName(spark.createDataFrame([("Anna Maria", "p1")], "name string, person_id string"))
+    out = P.person_clauses(spark.read.parquet(f"{tmp_path}/questions"), names)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan  # it was built from all runs, on the driver
+    assert sorted(out.where("id = 7").collect()) == [(7, "p1", False), (7, "wife", False)]
+
+
+def test_references_in_a_long_text_of_different_words(spark):
+    text = " ".join(f"a{i} wife" if i % 5_000 == 0 else f"a{i}" for i in range(20_000)) + " not wife"
+    names = spark.createDataFrame([("wife", "wife"), ("a19998  A19999", "p1"), ("a19999 not wife", "p2"), ("a4 a6", "p3")], "name string, person_id string")
+    out = P.person_clauses(spark.createDataFrame([(1, text)], "id long, text string"), names)
+    assert sorted(out.collect()) == [(1, "p1", True), (1, "p2", True), (1, "wife", False), (1, "wife", True)]
+
+
 def plain_object(raw):
     start, depth, inside, escaped = -1, 0, False, False
     for i, c in enumerate(raw or ""):
